@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from . import source_mix
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +25,24 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_documents(spark, sf_dir), public_tokenizer()))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(_documents(spark, sf_dir))
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mix import mix_sources
+
+    return mix_sources(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_license_scan": op7_license_scan,
+    "op8_source_mix": op8_source_mix,
     "op10_token_shards": op10_token_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_source_mix": source_mix.SQL,
+}
