@@ -25,6 +25,12 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_documents(spark, sf_dir), public_tokenizer()))
 
 
+def op1_chunk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunk_fingerprint import edited_fingerprints
+
+    return edited_fingerprints(_documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_scan
 
@@ -38,6 +44,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chunk_fingerprint": op1_chunk_fingerprint,
     "op7_license_scan": op7_license_scan,
     "op8_source_mix": op8_source_mix,
     "op10_token_shards": op10_token_shards,
