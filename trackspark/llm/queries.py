@@ -31,6 +31,12 @@ def op1_chunk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(_documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_scan
 
@@ -45,6 +51,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_fingerprint": op1_chunk_fingerprint,
+    "op2_language_id": op2_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_source_mix": op8_source_mix,
     "op10_token_shards": op10_token_shards,
