@@ -50,7 +50,7 @@ def _trigrams(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray
 def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low, s, e = _letters(data, offs)
     code, at = _trigrams(low, s, e)
-    return code, at[np.searchsorted(s, offs)]
+    return code, np.repeat(np.arange(len(offs) - 1), np.diff(at[np.searchsorted(s, offs)]))
 
 
 class Mixture:

@@ -16,7 +16,7 @@ BLOCK = 4096
 #: Groups whose counts are brought to the driver, at most; each is one dense vector.
 MOST_GROUPS = 1000
 
-#: (bytes, offsets) -> buckets of all n-grams in turn, and how many each document has before it.
+#: (bytes, offsets) -> buckets of all n-grams, and the document of each.
 Grams = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
@@ -26,10 +26,9 @@ def count_grams(docs: DataFrame, group: Column, grams: Grams, buckets: int) -> d
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for rows, data, offs in text_views(batches):
-            bucket, at = grams(data, offs)
+            bucket, doc = grams(data, offs)
             names, code = np.unique(np.array(rows.column(0).to_pylist(), object).astype(str), return_inverse=True)
-            of = np.repeat(code, np.diff(at))
-            both = np.bincount(of * buckets + bucket, minlength=len(names) * buckets).reshape(len(names), buckets)
+            both = np.bincount(code[doc] * buckets + bucket, minlength=len(names) * buckets).reshape(len(names), buckets)
             for k, g in enumerate(names.tolist()):
                 sums[g] = sums[g] + both[k] if g in sums else both[k]
         yield from _blocks(sums, buckets)

@@ -19,6 +19,12 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op9_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance_resample import importance_scores
+
+    return importance_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_shards import read_shards, write_shards
 
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_source_mix": op8_source_mix,
+    "op9_importance_resample": op9_importance_resample,
     "op10_token_shards": op10_token_shards,
 }
 
