@@ -15,7 +15,7 @@ from . import storage
 from .ngram_counts import count_grams
 from .textbytes import mix, prefix_hash, span_hash, text_views, words
 
-BYTE_BUCKETS, PAIR_BUCKETS = 1 << 15, 1 << 14
+BYTE_BUCKETS, PAIR_BUCKETS = 1 << 15, 1 << 10
 BUCKETS = BYTE_BUCKETS + PAIR_BUCKETS
 #: The bucket of all pairs of equal words; other pairs are hashed over the rest.
 EQUAL_PAIR = BYTE_BUCKETS
