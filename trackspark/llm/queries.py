@@ -49,6 +49,12 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_scan
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_fingerprint": op1_chunk_fingerprint,
     "op2_language_id": op2_language_id,
     "op5_html_extract": op5_html_extract,
+    "op6_decontaminate": op6_decontaminate,
     "op7_license_scan": op7_license_scan,
     "op8_source_mix": op8_source_mix,
     "op9_importance_resample": op9_importance_resample,
