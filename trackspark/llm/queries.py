@@ -43,6 +43,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(_documents(spark, sf_dir))
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -70,6 +76,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_fingerprint": op1_chunk_fingerprint,
     "op2_language_id": op2_language_id,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_html_extract": op5_html_extract,
     "op6_decontaminate": op6_decontaminate,
     "op7_license_scan": op7_license_scan,
