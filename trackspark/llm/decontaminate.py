@@ -18,9 +18,9 @@ RECALL = 0.95
 #: Characters of a gram, and diagonals of a band; a band is wider than any item's edits (see Items).
 Q, BAND = 8, 64
 #: Characters of the embedding that one sample takes; a class holds lengths within this ratio.
-BITS, CLASS = 6, 1.25
+BITS, CLASS = 3, 1.25
 #: Simulated pairs for the number of samples, and the largest number.
-TRIALS, MOST_SAMPLES = 60, 200
+TRIALS, MOST_SAMPLES = 60, 400
 #: Characters of items searched for in one pass over the documents; more items take more passes.
 BLOCK_CHARS = 4_000_000
 _SLOTS = 22
@@ -85,7 +85,7 @@ class _Class:
     walk: np.ndarray  # steps x bytes: whether the walk moves on
     at: np.ndarray  # samples x BITS: places of the embedding
     mult: np.ndarray  # samples x BITS: multipliers of the hash
-    table: dict[tuple[int, int], list[int]]
+    rows: np.ndarray  # the items' sample hashes
 
     def embed(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """CGK random walks over text[start : start + length], zeros beyond end: windows x steps."""
@@ -129,7 +129,7 @@ class Items:
         self.slots[_slot(self.codes)] = True
         self.longest = int(n.max()) if len(n) else 0
         self.classes: list[_Class] = []
-        self.class_of = np.full(len(ids), -1)
+        self.class_of, self.row_of = np.full(len(ids), -1), np.full(len(ids), -1)
         rng = np.random.default_rng(seed)
         for k in sorted(use, key=lambda k: n[k]):
             if not self.classes or n[k] > CLASS * self.classes[-1].length:
@@ -139,15 +139,14 @@ class Items:
             own = np.flatnonzero(self.class_of == c)
             text = np.concatenate([np.frombuffer(self.texts[k], np.uint8) for k in own])
             ends = np.cumsum(n[own])
-            for k, row in zip(own.tolist(), cl.samples(cl.embed(text, ends - n[own], ends)).tolist(), strict=True):
-                for s, h in enumerate(row):
-                    cl.table.setdefault((s, h), []).append(k)
+            cl.rows = cl.samples(cl.embed(text, ends - n[own], ends))
+            self.row_of[own] = np.arange(len(own))
 
     @staticmethod
     def _new_class(length: int, edits: float, recall: float, rng: np.random.Generator) -> _Class:
         """As many samples as meet a pair at the largest distance with probability `recall`, by simulated edits."""
-        steps = 3 * length
-        cl = _Class(length, rng.integers(0, 2, (steps, 256)).astype(np.int64), np.zeros((0, BITS), int), np.zeros((0, BITS), np.uint64), {})
+        steps = 2 * length  # a walk moves on at every other step: further ones would compare what lies beyond the text
+        cl = _Class(length, rng.integers(0, 2, (steps, 256)).astype(np.int64), np.zeros((0, BITS), int), np.zeros((0, BITS), np.uint64), np.zeros((0, 0), np.uint64))
         alphabet = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz      ", np.uint8)
         a = rng.choice(alphabet, (TRIALS, length + length // 5 + 1))
         pairs = []
@@ -203,33 +202,33 @@ class Items:
         """(document, item) -> edits, for all documents of a slice."""
         x, at = normalise(data, offs)
         found: dict[tuple[int, int], int] = {}
-        by_class: dict[int, set[tuple[int, int]]] = {}
         begins = np.zeros(len(x) + 1, bool)
         begins[1:] = x == 32
         begins[at] = True
         words = np.flatnonzero(begins)
+        places: dict[int, list[tuple[int, int, int, int, np.ndarray]]] = {}
         for item, low, doc in self._bands(x, at):
             k = int(self.most[item])
             a, b = max(int(at[doc]), low - k), min(int(at[doc + 1]), low + 2 * BAND + k)
-            i, j = np.searchsorted(words, (a, b))
-            by_class.setdefault(int(self.class_of[item]), set()).update((int(s), doc) for s in words[i:j])
+            own = words[np.searchsorted(words, a) : np.searchsorted(words, b)]
+            places.setdefault(int(self.class_of[item]), []).append((item, doc, a, b, own))
         raw = x.tobytes()
-        tried: set[tuple[int, int, int]] = set()
-        for c, windows in by_class.items():
-            cl, windows = self.classes[c], sorted(windows)
-            starts = np.array([s for s, _ in windows])
-            ends = at[np.array([d for _, d in windows]) + 1]
-            for (s, doc), row in zip(windows, cl.samples(cl.embed(x, starts, ends)).tolist(), strict=True):
-                for item in {k for n, h in enumerate(row) for k in cl.table.get((n, h), ())}:
-                    most = int(self.most[item])
-                    cell = (doc, item, s // (most + 1))
-                    if (doc, item) in found and found[doc, item] == 0 or cell in tried:
-                        continue
-                    tried.add(cell)
-                    lo = max(int(at[doc]), s - 2 * most - 1)
-                    d = edit_distance(self.texts[item], raw[lo : min(int(at[doc + 1]), s + len(self.texts[item]) + 2 * most + 1)], most)
-                    if d <= most:
-                        found[doc, item] = min(d, found.get((doc, item), d))
+        for c, likely in places.items():
+            cl = self.classes[c]
+            size = [len(own) for *_, own in likely]
+            starts = np.concatenate([own for *_, own in likely])
+            ends = np.repeat(at[np.array([doc for _, doc, *_ in likely]) + 1], size)
+            met = (cl.samples(cl.embed(x, starts, ends)) == np.repeat(cl.rows[self.row_of[[item for item, *_ in likely]]], size, axis=0)).any(axis=1)
+            to = np.cumsum(size)
+            for (item, doc, a, b, _), e, n in zip(likely, to.tolist(), size, strict=True):
+                # windows whose sample the item shares; an item without its grams on these diagonals cannot be here
+                if found.get((doc, item)) == 0 or not met[e - n : e].any():
+                    continue
+                most = int(self.most[item])
+                lo, hi = max(int(at[doc]), a - most), min(int(at[doc + 1]), b + len(self.texts[item]) + most)
+                d = edit_distance(self.texts[item], raw[lo:hi], most)
+                if d <= most:
+                    found[doc, item] = min(d, found.get((doc, item), d))
         for item in self.short:
             for doc in range(len(at) - 1) if self.texts[item] in raw else ():
                 if b" %b " % self.texts[item] in b" %b " % raw[at[doc] : at[doc + 1]]:
