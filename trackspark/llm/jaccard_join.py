@@ -135,14 +135,15 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _membership(rows: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, v of every row."""
+    """doc_id, n, v, bits of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in text_views(batches):
             own = sets(data, offs, k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, own), pa.int64()), pa.array(map(vertex, own), pa.int64())], names=["doc_id", "n", "v"])
+            cols = [batch.column(0), pa.array(map(len, own), pa.int64()), pa.array(map(vertex, own), pa.int64()), pa.array([bitmap(s).tobytes() for s in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "v", "bits"])
 
-    return storage.table(rows.mapInArrow(run, "doc_id bigint, n bigint, v bigint"), "membership")
+    return storage.table(rows.mapInArrow(run, "doc_id bigint, n bigint, v bigint, bits binary"), "membership")
 
 
 def _postings(rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -178,30 +179,26 @@ def _postings(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return storage.table(shared_entries.distinct(), "postings")
 
 
-def _fetch(rows: DataFrame, members: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """v, n, bits, tokens of the wanted sets: one document of each is read again."""
-    ids = storage.table(members.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("null_id")), "ids")
-    some = ids.where("doc_id IS NOT NULL").select("doc_id")
+def _tokens(rows: DataFrame, members: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """v, tokens of the wanted sets, from one document of each; a set may come more than once where identifiers repeat."""
+    ids = storage.table(members.select("v", "doc_id").join(wanted, "v", "left_semi").groupBy("v").agg(F.min("doc_id").alias("doc_id")), "ids")
     few = ids.count() <= MOST_IDS
-    near = rows.join(F.broadcast(some) if few else some, "doc_id", "left_semi").unionAll(rows.where("doc_id IS NULL"))
+    maybe = F.broadcast if few else lambda df: df
+    near = rows.join(maybe(ids.where("doc_id IS NOT NULL").select("doc_id")), "doc_id", "left_semi").unionAll(rows.where("doc_id IS NULL"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offs in text_views(batches):
             own = [s for s in sets(data, offs, k) if len(s)]
-            cols = [pa.array([vertex(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array([bitmap(s).tobytes() for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["v", "n", "bits", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([vertex(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["v", "tokens"])
 
-    got = near.where("text IS NOT NULL").mapInArrow(run, "v bigint, n bigint, bits binary, tokens binary")
-    # documents of one identifier may have several sets, and of null ones any: only wanted sets, once each
-    got = got.join(ids.select("v"), "v", "left_semi")
-    return storage.table(got.dropDuplicates(["v"]), "sets")
+    got = near.where("text IS NOT NULL").mapInArrow(run, "v bigint, tokens binary")
+    return storage.table(got.join(maybe(ids.select("v")), "v", "left_semi"), "sets")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: sizes and bitmaps rule out most others before the sets themselves meet."""
-    brief = known.select("v", "n", "bits")
+def _likely(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps do not rule out; no pair that links is ruled out."""
     p = pairs.join(brief.toDF("a", "na", "bits_a"), "a").join(brief.toDF("b", "nb", "bits_b"), "b")
-    p = p.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
+    p = p.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
@@ -213,9 +210,13 @@ def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             most = (na + nb - differ) // 2
             yield r.filter(pa.array(100 * most >= percent * (na + nb - most))).select(["a", "b"])
 
-    p = p.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(may, "a bigint, b bigint")
-    tokens = known.select("v", "tokens")
-    p = p.join(tokens.toDF("a", "x"), "a").join(tokens.toDF("b", "y"), "b")
+    return storage.table(p.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(may, "a bigint, b bigint"), "likely")
+
+
+def _verified(likely: DataFrame, rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their sets."""
+    tokens = _tokens(rows, members, likely.select(F.explode(F.array("a", "b")).alias("v")).distinct(), k)
+    p = likely.join(tokens.toDF("a", "x"), "a").join(tokens.toDF("b", "y"), "b")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
@@ -226,7 +227,7 @@ def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield r.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return p.select("a", "b", "x", "y").mapInArrow(link, "a bigint, b bigint")
+    return storage.table(p.select("a", "b", "x", "y").mapInArrow(link, "a bigint, b bigint"), "edges")
 
 
 def linked_sets(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -237,17 +238,20 @@ def linked_sets(rows: DataFrame, members: DataFrame, k: int, percent: int) -> Da
     pairs across these checked. A pair within one component cannot change the components, so none is lost.
     """
     post = _postings(rows, k, percent)
-    known = _fetch(rows, members, post.select("v").distinct(), k)
+    brief = storage.table(members.select("v", "n", "bits").join(post.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"]), "brief")
     star = post.select(F.explode(F.array("lo", "hi")).alias("b"), F.col("v").alias("a")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = storage.table(_verified(star, known, percent), "edges")
+    edges = _verified(_likely(star, brief, percent), rows, members, k, percent)
     label = components(edges)
     every = Window.partitionBy("sig")
     open_ = post.select("sig", "v").join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
     open_ = open_.withColumns({"l0": F.min("label").over(every), "l1": F.max("label").over(every)}).where("l0 <> l1")
-    open_ = storage.table(open_.join(known.select("v", "n"), "v").select("sig", "v", "label", "n"), "open")
+    open_ = storage.table(open_.join(brief.select("v", "n"), "v").select("sig", "v", "label", "n"), "open")
     x, y = open_.toDF("sig", "a", "la", "na"), open_.toDF("sig", "b", "lb", "nb")
     across = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-    more = storage.table(_verified(across.select("a", "b").distinct(), known, percent), "edges")
+    likely = _likely(across.select("a", "b").distinct(), brief, percent)
+    if not likely.limit(1).count():
+        return label
+    more = _verified(likely, rows, members, k, percent)
     return components(edges.unionAll(more)) if more.limit(1).count() else label
 
 
