@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import storage
 from .components import components
@@ -273,3 +274,34 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     return out.unionAll(members.where("v IS NULL").select("doc_id", "n", "doc_id", F.lit(1).cast("bigint")))
 
 
+
+
+def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns as they are, without those of a set whose component has a row before it.
+
+    A component keeps the row of its smallest doc_id (a null one comes last) and, where several sets have that
+    identifier, of its smallest set; equal rows that tie in both are kept once. Rows without words all stay.
+    """
+    rows = _rows(docs)
+    members = _membership(rows, k)
+    label = linked_sets(rows, members, k, percent)
+    m = members.where("v IS NOT NULL").select("doc_id", "v").join(label, "v", "left").withColumn("c", F.coalesce("label", "v"))
+    each = m.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "v")).alias("stay"), F.count("*").alias("rows"))
+    # rows to take out, by identifier and set: all of the component but the one that stays, and that one's repetitions
+    out = m.join(each.where("rows > 1"), "c").groupBy("doc_id", "v").agg(
+        F.first("stay").alias("stay"), F.count("*").alias("same")
+    ).withColumn("stays", F.col("stay.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("stay.v") == F.col("v")))
+    out = storage.table(out.where("NOT stays OR same > 1").select(F.col("doc_id").alias("x_id"), F.col("v").alias("x_v"), "stays"), "out")
+    few = out.count() <= MOST_IDS
+    key = f"{storage.PREFIX}v"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offs in text_views(batches):
+            v = pa.array(map(vertex, sets(data, offs, k)), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, v], names=[*batch.schema.names, key])
+
+    keyed = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())]))
+    on = F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col(key) == F.col("x_v"))
+    kept = keyed.join(F.broadcast(out) if few else out, on, "left").where("x_v IS NULL OR stays")
+    again = kept.where("stays").dropDuplicates(["doc_id", key])
+    return kept.where("x_v IS NULL").unionAll(again).select(*docs.columns)
