@@ -35,8 +35,9 @@ def local_quadratic(points: DataFrame, keys: list[str], value: str, weight: str,
     near = F.collect_list(F.struct(frame, value, weight)).over(Window.partitionBy(*keys).orderBy(frame).rangeBetween(-reach, reach))
     p = points.withColumn("_n", near)
     t = lambda e: (e[frame] - F.col(frame)).cast("double")
-    s = [F.aggregate("_n", F.lit(0.0), lambda a, e, k=k: a + e[weight] * F.pow(t(e), F.lit(float(k)))) for k in range(5)]
-    m = [F.aggregate("_n", F.lit(0.0), lambda a, e, k=k: a + e[weight] * e[value] * F.pow(t(e), F.lit(float(k)))) for k in range(3)]
+    power = lambda k, of: F.aggregate("_n", F.lit(0.0), lambda a, e: a + of(e) * F.pow(t(e), F.lit(float(k))))
+    s = [power(k, lambda e: e[weight]) for k in range(5)]
+    m = [power(k, lambda e: e[weight] * e[value]) for k in range(3)]
     p = p.withColumns({f"_s{k}": c for k, c in enumerate(s)} | {f"_m{k}": c for k, c in enumerate(m)})
     s, m = [F.col(f"_s{k}") for k in range(5)], [F.col(f"_m{k}") for k in range(3)]
     det = s[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (s[1] * s[4] - s[2] * s[3]) + s[2] * (s[1] * s[3] - s[2] * s[2])
