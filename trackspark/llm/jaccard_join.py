@@ -26,8 +26,8 @@ FREQUENT, FREQUENT_MORE = 2, 64
 LEVEL = 4
 #: Sets that a task remembers having indexed; forgetting costs rows only.
 SEEN = 500_000
-#: Bits of a set's parity bitmap.
-BITMAP = 2048
+#: Bits of the smallest parity bitmap; a larger set has as many as the power of two that it fits in.
+BITMAP = 256
 #: Identifiers that are broadcast to fetch texts, at most; beyond, texts are joined by shuffle.
 MOST_IDS = 2_000_000
 
@@ -123,9 +123,20 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> n
     return np.unique(np.concatenate(out))
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens by bit: two sets differ by at least as many tokens as their bitmaps by bits."""
-    return np.packbits(np.bincount((s % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1)
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of the number of tokens by their hash modulo the number of bits: two sets differ by as many tokens at least as their bitmaps by bits."""
+    bits = max(BITMAP, 1 << (len(s) - 1).bit_length()) if len(s) else BITMAP
+    return np.packbits(np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ; the halves of a longer one, put together, are its bitmap of half the bits."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half]) ^ int.from_bytes(x[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
 
 
 # ---------------------------------------------------------------- stages
@@ -141,7 +152,7 @@ def _membership(rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in text_views(batches):
             own = sets(data, offs, k)
-            cols = [batch.column(0), pa.array(map(len, own), pa.int64()), pa.array(map(vertex, own), pa.int64()), pa.array([bitmap(s).tobytes() for s in own], pa.binary())]
+            cols = [batch.column(0), pa.array(map(len, own), pa.int64()), pa.array(map(vertex, own), pa.int64()), pa.array(map(bitmap, own), pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "v", "bits"])
 
     return storage.table(rows.mapInArrow(run, "doc_id bigint, n bigint, v bigint, bits binary"), "membership")
@@ -206,8 +217,7 @@ def _likely(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
             if not r.num_rows:
                 continue
             na, nb = (r.column(k).to_numpy() for k in (2, 3))
-            x, y = (np.frombuffer(b"".join(r.column(k).to_pylist()), np.uint8).reshape(r.num_rows, -1) for k in (4, 5))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            differ = np.fromiter(map(differing, r.column(4).to_pylist(), r.column(5).to_pylist()), np.int64, r.num_rows)
             most = (na + nb - differ) // 2
             yield r.filter(pa.array(100 * most >= percent * (na + nb - most))).select(["a", "b"])
 
