@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import storage
-from .textbytes import prefix_hash, span_hash, text_views
+from .textbytes import prefix_hash, runs, span_hash, text_views
 
 #: Bytes of a string that may not repeat, and of an anchor's gram.
 LENGTH, GRAM = 200, 24
@@ -296,23 +296,23 @@ def _across(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dig, size, t, start = [], [], [], []
-        for b in batches:
-            for h, x, s, n, body in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                dig.append(digests(np.frombuffer(body, np.uint8)) ^ np.uint64(h & 2**64 - 1))
-                size.append(n)
-                t.append(x)
-                start.append(s)
+        for b, data, offs in text_views(batches, "body"):
+            n = b.column(3).to_numpy()
+            at = np.arange(n.sum()) + np.repeat(offs[:-1] - (np.cumsum(n) - n), n)
+            dig.append(span_hash(prefix_hash(data), at, at + LENGTH) ^ np.repeat(b.column(0).to_numpy().view(np.uint64), n))
+            size.append(n)
+            t.append(b.column(1).to_numpy())
+            start.append(b.column(2).to_numpy())
         if not dig:
             return
         all_ = np.concatenate(dig)
         ordered = np.sort(all_)
         again = np.searchsorted(ordered, all_, side="right") - np.searchsorted(ordered, all_, side="left") > 1
-        to = np.cumsum(size)
-        rows = []
-        for k, e in enumerate(to.tolist()):
-            rows += [(t[k], start[k] + int(s), int(n)) for s, n in zip(*runs_of(again[e - size[k] : e]), strict=True)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["t", "start", "count"])
+        bounds = np.r_[0, np.cumsum(np.concatenate(size))]
+        a, e = runs(again, bounds)
+        row = np.searchsorted(bounds, a, side="right") - 1
+        cols = (np.concatenate(t)[row], np.concatenate(start)[row] + a - bounds[row], e - a)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["t", "start", "count"])
 
     cold = found.where("kind = 1").select("h", "t", "start", "count", "body").repartition("h").mapInArrow(run, "t bigint, start bigint, count bigint")
     hot = found.where("kind = 2").withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").select("t", "start", "count")
