@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import storage
 from .textbytes import BYTE, prefix_hash, span_hash, text_views
 
 #: Bytes of a chunk: at least, where the boundary rule turns easier, at most. Lengths fit one byte.
@@ -102,6 +103,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         for rows, data, offs in text_views(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([encode(s) for s in chunk_sets(data, offs)], pa.string())], names=["doc_id", "fingerprint"])
 
+    storage.bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fingerprint string")
 
 
@@ -113,6 +115,7 @@ def neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     counted by quantiles of doc_id; only one row of a range is copied, and texts are shuffled once.
     """
     spark = docs.sparkSession
+    storage.bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = min(MOST_RANGES, ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = sorted(set(rows.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from .textbytes import text_views
 
 #: Edits that a passage may have, as a share of the item's length.
@@ -237,6 +238,7 @@ class Items:
 
 
 def _blocks(items: DataFrame, most: int) -> Iterator[tuple[list, list[str]]]:
+    storage.bound_batches(items.sparkSession)
     ids, texts, size = [], [], 0
     for r in items.where("text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         if ids and size + len(r.text) > most:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from .textbytes import text_views
 
 #: Common words of the languages that pages are in. Fixed values.
@@ -266,5 +267,6 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h) for h in rows.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    storage.bound_batches(pages.sparkSession)
     cols = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return cols.mapInArrow(run, SCHEMA)

@@ -74,6 +74,7 @@ class Model:
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs and SCORE, from one pass without a shuffle."""
+    storage.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.ratio)  # BUCKETS doubles
     at = docs.columns.index("text")
 

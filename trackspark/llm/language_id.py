@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from .ngram_counts import count_grams
 from .textbytes import runs, text_views
 
@@ -142,6 +143,7 @@ def predict(docs: DataFrame, model: Mixture, held_out: Column) -> DataFrame:
     lang_pred is UNDETERMINED with score 0 for a null text, one without a letter, or without any language learned.
     Only the text is an input. One pass, no shuffle; repeated rows are answered alike, and other columns ignored.
     """
+    storage.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, at most ngram_counts.MOST_GROUPS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from .textbytes import text_views
 
 #: Buckets of a block: what one row of partial counts holds.
@@ -42,6 +43,7 @@ def count_grams(docs: DataFrame, group: Column, grams: Grams, buckets: int) -> d
         for (g, b), c in sums.items():
             yield _row(g, b, c)
 
+    storage.bound_batches(docs.sparkSession)
     rows = docs.select(group.cast("string").alias("g"), F.col("text").cast("string").alias("text")).where("g IS NOT NULL AND text IS NOT NULL")
     schema = "g string, b int, c binary"
     out: dict[str, np.ndarray] = {}

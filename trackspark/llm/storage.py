@@ -11,6 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 PREFIX = "__ts_"
 
 
+#: Bytes of an Arrow batch on its way to Python: rows of text have no bound of their own.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes as well as by rows, for this session; every operator over texts calls this."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(name, None)
+    digits = "".join(c for c in have or "" if c.isdigit())
+    if not digits or not 0 < int(digits) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
     have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -28,6 +41,7 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 def table(df: DataFrame, what: str = "table") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = fresh_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

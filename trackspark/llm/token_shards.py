@@ -311,6 +311,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     only, so files of lost or repeated tasks are never read.
     """
     spark = docs.sparkSession
+    storage.bound_batches(spark)
     folder = folder or storage.fresh_path(spark, "token-shards")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
