@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trackspark.functions import clock, ids
+from trackspark.functions import clock, geometry, ids
 from trackspark.operators import asof, intervals, jobs, merge, pixels, ring, search, stats, validate
 from trackspark.plans import finalize
 from trackspark.sources import synthetic, tracks
@@ -154,8 +154,16 @@ def test_pixels(spark):
     got = pixels.detect_peaks(df, ["video_id", "frame"]).collect()
     assert len(got) == 2 and abs(got[0].x - 20.3) < 0.2 and abs(got[0].y - 11.7) < 0.2
     disc = 60.0 * (np.hypot(xx - 30, yy - 20) <= 5)
-    m = pixels.measure(spark.createDataFrame([("v", 40, 60, disc.ravel().tolist(), 30.0, 20.0)], "video_id string, h int, w int, values array<double>, cx double, cy double"), ["video_id"]).first()
-    assert abs(m.r - 5) < 1 and abs(m.x - 30) < 0.6 and m.sl < 1
+    m = pixels.measure(spark.createDataFrame([("v", 40, 60, disc.ravel().tolist(), 30.0, 20.0)], "video_id string, h int, w int, values array<double>, cx double, cy double"), ["video_id"], 1920.0).first()
+    assert abs(m.r - 5) < 1.2 and abs(m.x - 30.5) < 0.6 and m.sl < 1
+    u = np.clip((xx - 30) * np.cos(0.6) + (yy - 20) * np.sin(0.6), -8, 8)
+    pill = 60.0 * (np.hypot(xx - 30 - u * np.cos(0.6), yy - 20 - u * np.sin(0.6)) <= 3)
+    got = pixels.ball(pill, 30.5, 20.5, 1920.0)
+    assert abs(got["angle"] - 0.6) < 0.1 and abs(got["sl"] - 8) < 2 and abs(got["r"] - 3) < 1.2
+    assert pixels.ball(np.zeros((40, 60)), 30.0, 20.0, 1920.0) is None
+    found = pixels.lost_ball(disc, disc, 33.0, 22.0, 12.0, 5.0, 4.0)
+    assert np.hypot(found[0] - 30.5, found[1] - 20.5) < 1 and 0 < found[2] <= 1
+    assert pixels.lost_ball(disc, -disc, 33.0, 22.0, 12.0, 5.0, 4.0) is None
 
 
 def test_depth_model_and_radii(spark):
@@ -175,3 +183,12 @@ def test_synthetic(spark):
     assert t.count() == 477 or 470 < t.count() < 480
     assert synthetic.in_range(t, 1.0, 2.0).count() == 25
     assert stats.tracklet_score(t.withColumn("score", F.lit(1.0)), ["video_id"]).first().points == t.count()
+
+
+def test_outline_and_coverage(spark):
+    lit = [F.lit(v) for v in (5.0, 6.0, 2.0, 3.0, 0.5)]
+    got = spark.range(1).select(geometry.stadium_outline(*lit).alias("o"), geometry.ring_coverage(F.lit(7.0), F.lit(5.0), F.lit(5.5), F.lit(5.5), F.lit(1.0), F.lit(2.0), F.lit(0.0), F.lit(0.0)).alias("c"), geometry.truncated(F.sequence(F.lit(1), F.lit(20)))["more"].alias("m")).first()
+    for p in got.o:
+        u = max(-3.0, min(3.0, (p.x - 5) * math.cos(0.5) + (p.y - 6) * math.sin(0.5)))
+        assert math.isclose(math.hypot(p.x - 5 - u * math.cos(0.5), p.y - 6 - u * math.sin(0.5)), 2.0, rel_tol=1e-9)
+    assert 0 < got.c < 1 and got.m == 8

@@ -128,3 +128,25 @@ def quality(rms: Column, tol: float) -> Column:
 def presented_time(current: Column, pts: Column, offset: Column) -> Column:
     """The last presented frame's time if it is less than a tenth of a second old, else the clock's."""
     return F.when((current - pts >= 0) & (current - pts < 0.1), pts).otherwise(current) + offset
+
+
+def ring_coverage(px: Column, py: Column, cx: Column, cy: Column, inner: Column, outer: Column, sl: Column, sa: Column, parts: int = 4) -> Column:
+    """Share of a pixel's parts * parts middle points whose distance to the ball's segment lies between two radii."""
+
+    def hit(k: Column) -> Column:
+        d = segment_distance(px + (k % parts + 0.5) / parts, py + (F.floor(k / parts) + 0.5) / parts, cx, cy, sl, sa)
+        return F.when((d >= inner) & (d <= outer), 1).otherwise(0)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(parts * parts - 1)), F.lit(0), lambda s, k: s + hit(k)) / float(parts * parts)
+
+
+def stadium_outline(cx: Column, cy: Column, radius: Column, half: Column, angle: Column, steps: int = 16) -> Column:
+    """array<struct<x, y>> along the outline: a half circle around either end of the segment."""
+    turn = lambda k: F.when(k < steps, angle - math.pi / 2 + k * (math.pi / (steps - 1))).otherwise(angle + math.pi / 2 + (k - steps) * (math.pi / (steps - 1)))
+    side = lambda k: F.when(k < steps, half).otherwise(-half)
+    return F.transform(F.sequence(F.lit(0), F.lit(2 * steps - 1)), lambda k: F.struct((cx + side(k) * F.cos(angle) + radius * F.cos(turn(k))).alias("x"), (cy + side(k) * F.sin(angle) + radius * F.sin(turn(k))).alias("y")))
+
+
+def truncated(items: Column, most: int = 12) -> Column:
+    """struct<shown, more>: the first items of a list, and how many are left out."""
+    return F.struct(F.slice(items, 1, most).alias("shown"), F.greatest(F.lit(0), F.size(items) - most).alias("more"))
