@@ -289,8 +289,8 @@ def _shards(candidates: DataFrame) -> DataFrame:
 def _across(found: DataFrame) -> DataFrame:
     """t, start, count of the strings that repeat between shards.
 
-    Strings of one anchor come together in one task as digests, sorted; each is searched for in the list, and one
-    whose place from the left and from the right are more than 1 apart has an equal. Those of hot anchors are
+    Strings of one anchor come together in one task as digests, sorted; each is searched for in the list
+    of those that occur twice. Those of hot anchors are
     dealt by digest instead, with one row for each shard that has the string.
     """
 
@@ -307,7 +307,8 @@ def _across(found: DataFrame) -> DataFrame:
             return
         all_ = np.concatenate(dig)
         ordered = np.sort(all_)
-        again = np.searchsorted(ordered, all_, side="right") - np.searchsorted(ordered, all_, side="left") > 1
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])  # a short list to search in
+        again = twice[np.minimum(np.searchsorted(twice, all_), len(twice) - 1)] == all_ if len(twice) else np.zeros(len(all_), bool)
         bounds = np.r_[0, np.cumsum(np.concatenate(size))]
         a, e = runs(again, bounds)
         row = np.searchsorted(bounds, a, side="right") - 1
