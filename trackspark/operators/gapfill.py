@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import FLAG_INTERPOLATED, TrackParams
 from ..functions.geometry import hermite, kink_class, kink_time, quality
+from ..tables import table
 
 
 def _at(c: str, t: Column) -> Column:
@@ -129,13 +130,13 @@ def track(candidates: DataFrame, cuts: DataFrame, width: float, height: float, f
     moving = ident.join(bad.select(key, "_id"), [key, "_id"], "left_anti").drop("_id")
     keys = [key, "shot_id"]
     in_shots = shots(moving, cuts, key)
-    pieces = fit_pieces(in_shots, keys, width, fps, p)
-    # a span is a part of a shot that no step sees across
-    own = inside(pieces, [*keys, "span"], p, width)
+    # a span is a part of a shot that no step sees across; what several steps read is written once
+    pieces = table(fit_pieces(in_shots, keys, width, fps, p), "pieces")
+    own = table(inside(pieces, [*keys, "span"], p, width), "points")
     filled = own.unionByName(gaps(pieces, own, [*keys, "span"], p, width, height, fps).drop("mode"))
     ev = events(pieces, [*keys, "span"], height, fps)
     pts = filled.join(ev, [*keys, "span", "frame"], "left").withColumn("flags", F.col("flags").bitwiseOR(F.coalesce("event", F.lit(0)))).drop("event", "span")
-    pts = pts.where(F.col("conf") >= p.min_conf)
+    pts = table(pts.where(F.col("conf") >= p.min_conf), "track")
     weak = moving.where(F.col("score") >= 0.5 * p.min_score).select(key, "frame", "cand_idx", "x", "y")
     snap = pts.where(~F.col("detected")).select(key, "frame", F.col("x").alias("_px"), F.col("y").alias("_py")).join(weak, [key, "frame"])
     snap = snap.withColumn("_d", F.hypot(F.col("x") - F.col("_px"), F.col("y") - F.col("_py"))).where(F.col("_d") <= 0.015 * width)
