@@ -19,13 +19,15 @@ from .textbytes import lower_ascii, mix, prefix_hash, span_hash, text_views, wor
 #: Words of a shingle; two sets link when 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 4, 85
 #: Counters of the sketch of all shingles' frequencies: one byte each is sent to the tasks.
-SKETCH = 1 << 19
+SKETCH = 1 << 20
 #: A shingle is of a frequent class when its counter exceeds this many mean counters and so many more.
-FREQUENT, FREQUENT_MORE = 2, 64
+FREQUENT, FREQUENT_MORE = 1.5, 16
 #: Sets below 2**LEVEL shingles index single tokens of every class; above, frequent ones in pairs within 2**(level - 3) groups.
 LEVEL = 4
 #: Sets that a task remembers having indexed; forgetting costs rows only.
 SEEN = 500_000
+#: Rounds of checks against one other set of an entry before all pairs across components are checked.
+ROUNDS = 3
 #: Bits of the smallest parity bitmap; a larger set has as many as the power of two that it fits in.
 BITMAP = 256
 #: Identifiers that are broadcast to fetch texts, at most; beyond, texts are joined by shuffle.
@@ -73,7 +75,7 @@ def vertex(s: np.ndarray) -> int | None:
 
 
 def sketch_slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - 19)).astype(np.int64)
+    return (h >> np.uint64(64 - 20)).astype(np.int64)
 
 
 def frequent_slots(counts: np.ndarray) -> np.ndarray:
@@ -244,26 +246,33 @@ def _verified(likely: DataFrame, rows: DataFrame, members: DataFrame, k: int, pe
 def linked_sets(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """v, label: the components of the sets that have links at all.
 
-    First each entry's sets are checked against its least and greatest set, which connects groups of near copies
-    with as many pairs as entries. Then, only where an entry's sets still lie in different components, are all
-    pairs across these checked. A pair within one component cannot change the components, so none is lost.
+    First each entry's sets are checked against its least and greatest set, and then, where these lie in different
+    components, against drawn ones: that connects groups of near copies with as many pairs as entries. Only where
+    an entry's sets still lie in different components are all pairs across these checked. A pair within one component cannot change the components, so none is lost.
     """
     post = _postings(rows, k, percent)
     brief = storage.table(members.select("v", "n", "bits").join(post.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"]), "brief")
     star = post.select(F.explode(F.array("lo", "hi")).alias("b"), F.col("v").alias("a")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = _verified(_likely(star, brief, percent), rows, members, k, percent)
-    label = components(edges)
-    every = Window.partitionBy("sig")
-    open_ = post.select("sig", "v").join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    open_ = open_.withColumns({"l0": F.min("label").over(every), "l1": F.max("label").over(every)}).where("l0 <> l1")
-    open_ = storage.table(open_.join(brief.select("v", "n"), "v").select("sig", "v", "label", "n"), "open")
-    x, y = open_.toDF("sig", "a", "la", "na"), open_.toDF("sig", "b", "lb", "nb")
-    across = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-    likely = _likely(across.select("a", "b").distinct(), brief, percent)
-    if not likely.limit(1).count():
-        return label
-    more = _verified(likely, rows, members, k, percent)
-    return components(edges.unionAll(more)) if more.limit(1).count() else label
+    for turn in range(1, ROUNDS + 1):
+        label = components(edges)
+        every = Window.partitionBy("sig")
+        open_ = post.select("sig", "v").join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        open_ = open_.withColumns({"l0": F.min("label").over(every), "l1": F.max("label").over(every)}).where("l0 <> l1")
+        open_ = storage.table(open_.join(brief.select("v", "n"), "v").select("sig", "v", "label", "n"), "open")
+        if turn < ROUNDS:  # another set of each entry, drawn by hash
+            drawn = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)), F.col("v"), F.col("label"))).alias("x"))
+            pairs = open_.join(drawn, "sig").where(F.col("label") != F.col("x.label")).select(F.least("v", "x.v").alias("a"), F.greatest("v", "x.v").alias("b")).distinct()
+        else:
+            x, y = open_.toDF("sig", "a", "la", "na"), open_.toDF("sig", "b", "lb", "nb")
+            across = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
+            pairs = across.select("a", "b").distinct()
+        likely = _likely(pairs, brief, percent)
+        if likely.limit(1).count():
+            edges = storage.table(edges.unionAll(_verified(likely, rows, members, k, percent)), "edges")
+        elif turn == ROUNDS:
+            return label
+    return components(edges)
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
