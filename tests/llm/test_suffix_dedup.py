@@ -67,5 +67,43 @@ def test_repeats(seed):
     assert sum(first[:whole]) >= len(count) and len({raw[k : k + S.LENGTH] for k in range(whole) if first[k]}) == len(count)
 
 
+def substituted(seed, size=2500, copies=4, letters=9):
+    """Copies of a text that differ by single letters, so that many pairs share just a bit more or less than the order looks at."""
+    r = np.random.default_rng(seed)
+    base, out = r.integers(97, 123, size).astype(np.uint8), []
+    for _ in range(copies):
+        x = base.copy()
+        x[r.integers(0, size, letters)] = r.integers(97, 123, letters)
+        out.append(x.tobytes())
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeats_of_substituted_copies(seed):
+    raw = S.joined(substituted(seed))[0].tobytes()
+    whole = len(raw) - S.LENGTH + 1
+    count = collections.Counter(raw[k : k + S.LENGTH] for k in range(whole))
+    shared, first = S.repeats(np.frombuffer(raw, np.uint8))
+    assert shared[:whole].tolist() == [count[raw[k : k + S.LENGTH]] > 1 for k in range(whole)]
+    assert {raw[k : k + S.LENGTH] for k in range(whole) if first[k]} == set(count)
+
+
+def test_exactly_256_shared_bytes():
+    r = np.random.default_rng(1)
+    passage = r.integers(97, 123, 256).astype(np.uint8).tobytes()
+    # the place after the passage's start gets another predecessor, which shares bytes 192 to 199 and not all before
+    other = passage[1:150] + b"#" + passage[151:256]
+    raw = S.joined([passage + b"z" + passage[:99], other + b"m" + passage[:99], passage + b"a" + passage[99:198]])[0].tobytes()
+    whole = len(raw) - S.LENGTH + 1
+    count = collections.Counter(raw[k : k + S.LENGTH] for k in range(whole))
+    assert S.repeats(np.frombuffer(raw, np.uint8))[0][:whole].tolist() == [count[raw[k : k + S.LENGTH]] > 1 for k in range(whole)]
+
+
+def test_substituted_copies_equal_brute_force(spark):
+    rows = [(10 * s + k, t.decode(), None, None) for s in range(4) for k, t in enumerate(substituted(s))]
+    got = S.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+
+
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []

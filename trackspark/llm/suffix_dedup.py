@@ -113,7 +113,9 @@ def repeats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Kasai: a suffix shares with its predecessor in order at least one byte less than the suffix one place before it
     does. The text is walked in parallel lanes, each carrying its length on; lengths are raised 8 bytes at a time
-    and so may fall short by 7, which the last comparison makes good.
+    and so may fall short by 7, which the last comparison makes good. The order knows no more than a suffix's first
+    bytes (see suffix_array): after a length that reached LENGTH the next predecessor may be any other, so the length
+    goes on only if that is the byte after the last predecessor, and is counted anew if not.
     """
     n = len(x)
     code = eight_bytes(x)
@@ -124,19 +126,20 @@ def repeats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     equal = np.zeros(n, bool)
     lanes = max(1, n // 256)
     steps = -(-n // lanes)
-    start, length = np.arange(lanes) * steps, np.zeros(lanes, np.int64)
+    start, length, before = np.arange(lanes) * steps, np.zeros(lanes, np.int64), np.full(lanes, -1, np.int64)
     for t in range(steps):
         i = start + t
         live = np.flatnonzero(i < n)
         if not len(live):
             break
         p, j = i[live], phi[i[live]]
-        k = np.where(j < 0, 0, np.maximum(length[live] - 1, 0))
+        known = (j >= 0) & ((length[live] < LENGTH) | (j == before[live] + 1))
+        k = np.where(known, np.maximum(length[live] - 1, 0), 0)
         go = np.flatnonzero(j >= 0)
         while len(go):
             go = go[(k[go] < LENGTH) & (padded[p[go] + k[go]] == padded[j[go] + k[go]])]
             k[go] += 8
-        length[live] = k
+        length[live], before[live] = k, j
         far = np.flatnonzero((k >= LENGTH - 8) & (j >= 0))
         equal[p[far]] = padded[p[far] + LENGTH - 8] == padded[j[far] + LENGTH - 8]
     shared = equal.copy()
