@@ -89,6 +89,22 @@ def test_recall_at_the_largest_distance():
     assert sum((k, k) in found for k in range(60)) >= 54
 
 
+def found(texts, docs):
+    raw = [d.encode() for d in docs]
+    return Items(list(range(len(texts))), texts).find(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+
+
+def test_passages_without_spaces_around():
+    r = np.random.default_rng(5)
+    han = lambda n: "".join(map(chr, r.integers(0x4E00, 0x9FA5, n)))
+    thai = lambda n: "".join(map(chr, r.integers(0xE01, 0xE2F, n)))
+    texts = [han(60), thai(70), f"{han(20)}，{han(30)}。", prose(r, 1) + "".join(r.choice(list("aeioulnrst"), 120)), prose(r, 30), han(5), "tiny one"]
+    docs = [han(300) + texts[0] + han(300), thai(200) + texts[1] + thai(99), f"{han(40)}「{texts[2]}」{han(9)}", f"x{texts[3]}y", f"“{texts[4]}”"]
+    docs += [han(30) + texts[5] + han(30), "“tiny one”", "a tiny onerous", "atiny one", "tiny oné", texts[0][:40] + "一" + texts[0][41:]]
+    got = found(texts, docs)
+    assert {p for p, d in got.items() if d == 0} == {*((k, k) for k in range(7))} and set(got) == {*((k, k) for k in range(7)), (10, 0)}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_edit_distance(seed):
     r = np.random.default_rng(seed)

@@ -78,6 +78,22 @@ def edit_distance(item: bytes, text: bytes, most: int) -> int:
     return min(best, most + 1)
 
 
+def _spaced(c: str) -> bool:
+    """Whether c is a letter or digit of a script that puts spaces between words: not Thai to Myanmar, Khmer, Chinese or Japanese."""
+    k = ord(c)
+    return c.isalnum() and not (0xE00 <= k < 0xF00 or 0x1000 <= k < 0x10A0 or 0x1780 <= k < 0x1800 or 0x2E80 <= k < 0xA000 or 0xF900 <= k < 0xFB00 or 0xFF00 <= k < 0xFFF0 or k >= 0x20000)
+
+
+def stands(item: bytes, text: bytes) -> bool:
+    """Whether text, normalised, holds item other than as a part of longer words."""
+    a, b, at = item.decode(errors="replace"), text.decode(errors="replace"), -1
+    while (at := b.find(a, at + 1)) >= 0:
+        left, right = b[at - 1 : at], b[at + len(a) : at + len(a) + 1]
+        if not (left and _spaced(left) and _spaced(a[0])) and not (right and _spaced(right) and _spaced(a[-1])):
+            return True
+    return False
+
+
 @dataclass
 class _Class:
     """Items of like length, embedded over the shortest one's length, and their samples' values."""
@@ -107,7 +123,7 @@ class _Class:
 class Items:
     """What one pass looks for. An item of n characters allows k = EDITS * n edits, but no more than leave 3 of its
     grams whole: k edits destroy Q * k grams at most, so a passage keeps need = n - Q + 1 - Q * k of them on
-    diagonals at most k apart. Items under 2 * Q characters are only found whole."""
+    diagonals at most k apart. Items under 2 * Q characters are only found whole, and not within a longer word."""
 
     def __init__(self, ids: list, texts: list[str], edits: float = EDITS, recall: float = RECALL, seed: int = 11):
         raw = [t.encode() for t in texts]
@@ -171,8 +187,8 @@ class Items:
         cl.mult = rng.integers(1, 2**63, (samples, BITS), dtype=np.uint64) | np.uint64(1)
         return cl
 
-    def _bands(self, x: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, lowest start, document) wherever two neighbouring bands of diagonals hold as many of the item's grams as any passage must."""
+    def _bands(self, x: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, lowest diagonal, end of diagonals, document) wherever two neighbouring bands hold as many of the item's grams as any passage must."""
         if len(x) < Q or not len(self.codes):
             return []
         code = gram_codes(x)
@@ -191,48 +207,31 @@ class Items:
         key, count = np.unique(key, return_counts=True)
         upper = np.searchsorted(key, key + 1)
         both = count + np.where((upper < len(key)) & (key[np.minimum(upper, len(key) - 1)] == key + 1), count[np.minimum(upper, len(key) - 1)], 0)
-        lower = np.searchsorted(key, key - 1)
-        alone = ~((lower < len(key)) & (key[np.minimum(lower, len(key) - 1)] == key - 1))
         pair, band = key // width, key % width
-        good = both >= self.need[pair % len(self.ids)]
-        out = [(int(p % len(self.ids)), int(b) * BAND - self.longest, int(p // len(self.ids))) for p, b in zip(pair[good], band[good], strict=True)]
-        good = alone & (count >= self.need[pair % len(self.ids)]) & ~good
-        return out + [(int(p % len(self.ids)), int(b) * BAND - self.longest, int(p // len(self.ids))) for p, b in zip(pair[good], band[good], strict=True)]
+        # one place for each run of neighbouring bands
+        good = np.flatnonzero(both >= self.need[pair % len(self.ids)])
+        new = np.flatnonzero(np.diff(key[good], prepend=-2) != 1)
+        first, last = good[new], good[np.r_[new[1:], len(good)] - 1] if len(good) else good
+        low, high = band[first] * BAND - self.longest, (band[last] + 2) * BAND - self.longest
+        return list(zip((pair[first] % len(self.ids)).tolist(), low.tolist(), high.tolist(), (pair[first] // len(self.ids)).tolist(), strict=True))
 
     def find(self, data: np.ndarray, offs: np.ndarray) -> dict[tuple[int, int], int]:
         """(document, item) -> edits, for all documents of a slice."""
         x, at = normalise(data, offs)
         found: dict[tuple[int, int], int] = {}
-        begins = np.zeros(len(x) + 1, bool)
-        begins[1:] = x == 32
-        begins[at] = True
-        words = np.flatnonzero(begins)
-        places: dict[int, list[tuple[int, int, int, int, np.ndarray]]] = {}
-        for item, low, doc in self._bands(x, at):
-            k = int(self.most[item])
-            a, b = max(int(at[doc]), low - k), min(int(at[doc + 1]), low + 2 * BAND + k)
-            own = words[np.searchsorted(words, a) : np.searchsorted(words, b)]
-            places.setdefault(int(self.class_of[item]), []).append((item, doc, a, b, own))
         raw = x.tobytes()
-        for c, likely in places.items():
-            cl = self.classes[c]
-            size = [len(own) for *_, own in likely]
-            starts = np.concatenate([own for *_, own in likely])
-            ends = np.repeat(at[np.array([doc for _, doc, *_ in likely]) + 1], size)
-            met = (cl.samples(cl.embed(x, starts, ends)) == np.repeat(cl.rows[self.row_of[[item for item, *_ in likely]]], size, axis=0)).any(axis=1)
-            to = np.cumsum(size)
-            for (item, doc, a, b, _), e, n in zip(likely, to.tolist(), size, strict=True):
-                # windows whose sample the item shares; an item without its grams on these diagonals cannot be here
-                if found.get((doc, item)) == 0 or not met[e - n : e].any():
-                    continue
-                most = int(self.most[item])
-                lo, hi = max(int(at[doc]), a - most), min(int(at[doc + 1]), b + len(self.texts[item]) + most)
-                d = edit_distance(self.texts[item], raw[lo:hi], most)
-                if d <= most:
-                    found[doc, item] = min(d, found.get((doc, item), d))
+        for item, low, high, doc in self._bands(x, at):
+            # a passage starts at most its edits away from the diagonals of its grams
+            most = int(self.most[item])
+            lo, hi = max(int(at[doc]), low - most), min(int(at[doc + 1]), high + len(self.texts[item]) + 2 * most)
+            if found.get((doc, item)) == 0:
+                continue
+            d = edit_distance(self.texts[item], raw[lo:hi], most)
+            if d <= most:
+                found[doc, item] = min(d, found.get((doc, item), d))
         for item in self.short:
             for doc in range(len(at) - 1) if self.texts[item] in raw else ():
-                if b" %b " % self.texts[item] in b" %b " % raw[at[doc] : at[doc + 1]]:
+                if stands(self.texts[item], raw[at[doc] : at[doc + 1]]):
                     found[doc, item] = 0
         return found
 
@@ -254,9 +253,8 @@ SCHEMA = "doc_id bigint, item_id bigint, edits bigint, similarity double"
 def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL, block: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits, similarity) for documents that hold a passage within edits * length of an item.
 
-    Grams that a passage must share by diagonal pick the places of a document; windows there of the items' sizes are
-    embedded and meet items that share a bit sample, and each such pair is verified by edit distance over the
-    normalised texts. Pairs at the largest distance are met with probability `recall`; near and exact ones more surely.
+    Grams that a passage must share by diagonal pick the places of a document, whatever is written before and after
+    them, and each place is verified by edit distance over the normalised texts.
     Null and empty texts hold nothing; null ids stay null; repeated rows answer alike; empty tables give no rows;
     other columns are ignored. No shuffle: a block of items of bounded size travels to the documents.
     """
