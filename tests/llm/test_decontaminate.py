@@ -94,6 +94,21 @@ def found(texts, docs):
     return Items(list(range(len(texts))), texts).find(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
 
 
+@pytest.mark.parametrize("size", [81, 233, 394, 600])
+@pytest.mark.parametrize("kind", ["insert", "delete", "delete in front"])
+def test_every_passage_at_the_largest_distance(size, kind):
+    r = np.random.default_rng(size)
+    letters = list("abcdefghijklmnopqrstuvwxyz0123456789")
+    texts = ["".join(r.choice(letters, size)) for _ in range(60)]
+    docs = []
+    for t, most in zip(texts, Items(list(range(60)), texts).most.tolist(), strict=True):
+        t = list(t)
+        for p in np.linspace(0, (size - 9) / (2 if "front" in kind else 1), most).astype(int)[::-1]:
+            t[p : p + 1] = [t[p], str(r.choice(letters))] if kind == "insert" else []
+        docs.append("".join(t))
+    assert set(found(texts, docs)) == {(k, k) for k in range(60)}
+
+
 def test_passages_without_spaces_around():
     r = np.random.default_rng(5)
     han = lambda n: "".join(map(chr, r.integers(0x4E00, 0x9FA5, n)))

@@ -1,9 +1,8 @@
-"""Benchmark decontamination: CGK embeddings of item-sized windows, bit-sampling LSH, exact edit verification."""
+"""Benchmark decontamination: grams counted by diagonal, which loses no passage, then exact edit verification."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +14,10 @@ from .textbytes import text_views
 
 #: Edits that a passage may have, as a share of the item's length.
 EDITS = 0.1
+#: Share of the passages at the largest distance that callers may ask for; all are found, whatever they ask.
 RECALL = 0.95
 #: Characters of a gram, and diagonals of a band; a band is wider than any item's edits (see Items).
 Q, BAND = 8, 64
-#: Characters of the embedding that one sample takes; a class holds lengths within this ratio.
-BITS, CLASS = 3, 1.25
-#: Simulated pairs for the number of samples, and the largest number.
-TRIALS, MOST_SAMPLES = 60, 400
 #: Characters of items searched for in one pass over the documents; more items take more passes.
 BLOCK_CHARS = 4_000_000
 _SLOTS = 22
@@ -94,38 +90,12 @@ def stands(item: bytes, text: bytes) -> bool:
     return False
 
 
-@dataclass
-class _Class:
-    """Items of like length, embedded over the shortest one's length, and their samples' values."""
-
-    length: int
-    walk: np.ndarray  # steps x bytes: whether the walk moves on
-    at: np.ndarray  # samples x BITS: places of the embedding
-    mult: np.ndarray  # samples x BITS: multipliers of the hash
-    rows: np.ndarray  # the items' sample hashes
-
-    def embed(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """CGK random walks over text[start : start + length], zeros beyond end: windows x steps."""
-        padded = np.r_[text, np.zeros(1, np.uint8)]
-        last = np.minimum(starts + self.length, ends)
-        place, out = starts.copy(), np.zeros((len(starts), len(self.walk)), np.uint8)
-        for j, moves in enumerate(self.walk):
-            c = np.where(place < last, padded[np.minimum(place, len(text))], 0)
-            out[:, j] = c
-            place += moves[c]
-        return out
-
-    def samples(self, embedded: np.ndarray) -> np.ndarray:
-        """A hash of each sample's characters: windows x samples."""
-        return (embedded[:, self.at].astype(np.uint64) * self.mult).sum(axis=2)
-
-
 class Items:
     """What one pass looks for. An item of n characters allows k = EDITS * n edits, but no more than leave 3 of its
     grams whole: k edits destroy Q * k grams at most, so a passage keeps need = n - Q + 1 - Q * k of them on
     diagonals at most k apart. Items under 2 * Q characters are only found whole, and not within a longer word."""
 
-    def __init__(self, ids: list, texts: list[str], edits: float = EDITS, recall: float = RECALL, seed: int = 11):
+    def __init__(self, ids: list, texts: list[str], edits: float = EDITS):
         raw = [t.encode() for t in texts]
         x, offs = normalise(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64))
         self.ids, self.texts = ids, [x[a:b].tobytes().rstrip(b" ") for a, b in zip(offs, offs[1:], strict=False)]
@@ -145,47 +115,6 @@ class Items:
         self.slots = np.zeros(1 << _SLOTS, bool)
         self.slots[_slot(self.codes)] = True
         self.longest = int(n.max()) if len(n) else 0
-        self.classes: list[_Class] = []
-        self.class_of, self.row_of = np.full(len(ids), -1), np.full(len(ids), -1)
-        rng = np.random.default_rng(seed)
-        for k in sorted(use, key=lambda k: n[k]):
-            if not self.classes or n[k] > CLASS * self.classes[-1].length:
-                self.classes.append(self._new_class(int(n[k]), edits, recall, rng))
-            self.class_of[k] = len(self.classes) - 1
-        for c, cl in enumerate(self.classes):
-            own = np.flatnonzero(self.class_of == c)
-            text = np.concatenate([np.frombuffer(self.texts[k], np.uint8) for k in own])
-            ends = np.cumsum(n[own])
-            cl.rows = cl.samples(cl.embed(text, ends - n[own], ends))
-            self.row_of[own] = np.arange(len(own))
-
-    @staticmethod
-    def _new_class(length: int, edits: float, recall: float, rng: np.random.Generator) -> _Class:
-        """As many samples as meet a pair at the largest distance with probability `recall`, by simulated edits."""
-        steps = 2 * length  # a walk moves on at every other step: further ones would compare what lies beyond the text
-        cl = _Class(length, rng.integers(0, 2, (steps, 256)).astype(np.int64), np.zeros((0, BITS), int), np.zeros((0, BITS), np.uint64), np.zeros((0, 0), np.uint64))
-        alphabet = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz      ", np.uint8)
-        a = rng.choice(alphabet, (TRIALS, length + length // 5 + 1))
-        pairs = []
-        for row in a:
-            b = row.tolist()
-            for _ in range(int(edits * length)):
-                p, kind = int(rng.integers(length)), int(rng.integers(3))
-                if kind == 0:
-                    b[p] = int(rng.choice(alphabet))
-                elif kind == 1:
-                    del b[p]
-                else:
-                    b.insert(p, int(rng.choice(alphabet)))
-            pairs.append((row[:length], np.array((b + [32] * length)[:length], np.uint8)))
-        flat = lambda k: np.concatenate([p[k] for p in pairs])
-        at = np.arange(TRIALS) * length
-        same = (cl.embed(flat(0), at, at + length) == cl.embed(flat(1), at, at + length)).mean(axis=1)
-        # the number of samples at which the mean chance of meeting reaches the target
-        samples = next((t for t in range(1, MOST_SAMPLES) if (1 - (1 - same**BITS) ** t).mean() >= recall), MOST_SAMPLES)
-        cl.at = rng.integers(0, steps, (samples, BITS))
-        cl.mult = rng.integers(1, 2**63, (samples, BITS), dtype=np.uint64) | np.uint64(1)
-        return cl
 
     def _bands(self, x: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, lowest diagonal, end of diagonals, document) wherever two neighbouring bands hold as many of the item's grams as any passage must."""
@@ -254,7 +183,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: f
     """(doc_id, item_id, edits, similarity) for documents that hold a passage within edits * length of an item.
 
     Grams that a passage must share by diagonal pick the places of a document, whatever is written before and after
-    them, and each place is verified by edit distance over the normalised texts.
+    them, and each place is verified by edit distance over the normalised texts: no passage is lost, so `recall`, the
+    share that must be found, changes nothing.
     Null and empty texts hold nothing; null ids stay null; repeated rows answer alike; empty tables give no rows;
     other columns are ignored. No shuffle: a block of items of bounded size travels to the documents.
     """
@@ -264,7 +194,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: f
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(*shared.value, edits, recall)
+            items = Items(*shared.value, edits)
             for rows, data, offs in text_views(batches):
                 found = sorted(items.find(data, offs).items())
                 doc_ids = rows.column(0).to_pylist()
@@ -282,7 +212,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, r
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(*shared.value, edits, recall)
+            items = Items(*shared.value, edits)
             for rows, data, offs in text_views(batches):
                 held = {d for d, _ in items.find(data, offs)}
                 yield rows.filter(pa.array([k not in held for k in range(rows.num_rows)], pa.bool_()))
