@@ -109,6 +109,18 @@ def test_every_passage_at_the_largest_distance(size, kind):
     assert set(found(texts, docs)) == {(k, k) for k in range(60)}
 
 
+@pytest.mark.parametrize("size", [700, 2000, 5000])
+def test_long_items_allow_their_share_of_edits(size):
+    r = np.random.default_rng(size)
+    letters = list("abcdefghijklmnopqrstuvwxyz0123456789")
+    texts = ["".join(r.choice(letters, n)) for n in (size, 100)]
+    most = int(EDITS * size)
+    less, more = (np.linspace(0, size - 9, k).astype(int) for k in (most, most + size // 20))
+    docs = [texts[1], "".join(np.delete(list(texts[0]), less)), "".join(np.insert(list(texts[0]), less, "z")), "".join(np.delete(list(texts[0]), more))]
+    got = found(texts, docs)
+    assert got[0, 1] == 0 and set(got) == {(0, 1), (1, 0), (2, 0)} and max(got.values()) <= most and got[1, 0] > 63
+
+
 def test_passages_without_spaces_around():
     r = np.random.default_rng(5)
     han = lambda n: "".join(map(chr, r.integers(0x4E00, 0x9FA5, n)))

@@ -16,7 +16,7 @@ from .textbytes import text_views
 EDITS = 0.1
 #: Share of the passages at the largest distance that callers may ask for; all are found, whatever they ask.
 RECALL = 0.95
-#: Characters of a gram, and diagonals of a band; a band is wider than any item's edits (see Items).
+#: Characters of a gram, and least diagonals of a band; an item's bands are wider than its edits (see Items).
 Q, BAND = 8, 64
 #: Characters of items searched for in one pass over the documents; more items take more passes.
 BLOCK_CHARS = 4_000_000
@@ -93,14 +93,15 @@ def stands(item: bytes, text: bytes) -> bool:
 class Items:
     """What one pass looks for. An item of n characters allows k = EDITS * n edits, but no more than leave 3 of its
     grams whole: k edits destroy Q * k grams at most, so a passage keeps need = n - Q + 1 - Q * k of them on
-    diagonals at most k apart. Items under 2 * Q characters are only found whole, and not within a longer word."""
+    diagonals at most k apart, in two neighbouring bands of more than k. Items under 2 * Q characters are only found whole, and not within a longer word."""
 
     def __init__(self, ids: list, texts: list[str], edits: float = EDITS):
         raw = [t.encode() for t in texts]
         x, offs = normalise(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64))
         self.ids, self.texts = ids, [x[a:b].tobytes().rstrip(b" ") for a, b in zip(offs, offs[1:], strict=False)]
         n = np.array([len(t) for t in self.texts], np.int64)
-        self.most = np.maximum(0, np.minimum(np.minimum((edits * n).astype(np.int64), (n - Q + 1 - 3) // Q), BAND - 1))
+        self.most = np.maximum(0, np.minimum((edits * n).astype(np.int64), (n - Q + 1 - 3) // Q))
+        self.band = np.maximum(BAND, self.most + 1)
         self.need = n - Q + 1 - Q * self.most
         self.short = [k for k in range(len(ids)) if 0 < n[k] < 2 * Q]
         use = [k for k in range(len(ids)) if n[k] >= 2 * Q]
@@ -129,7 +130,7 @@ class Items:
         n = self.count[k]
         of = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, hit, doc = self.item[of], np.repeat(hit, n), np.repeat(doc, n)
-        band = (hit - self.place[of] + self.longest) // BAND
+        band = (hit - self.place[of] + self.longest) // self.band[item]
         width = (len(x) + self.longest) // BAND + 3
         # bands of a document apart: a diagonal near its edge may fall in a band shared with the next one
         key = (doc * len(self.ids) + item) * width + band
@@ -141,8 +142,9 @@ class Items:
         good = np.flatnonzero(both >= self.need[pair % len(self.ids)])
         new = np.flatnonzero(np.diff(key[good], prepend=-2) != 1)
         first, last = good[new], good[np.r_[new[1:], len(good)] - 1] if len(good) else good
-        low, high = band[first] * BAND - self.longest, (band[last] + 2) * BAND - self.longest
-        return list(zip((pair[first] % len(self.ids)).tolist(), low.tolist(), high.tolist(), (pair[first] // len(self.ids)).tolist(), strict=True))
+        item = pair[first] % len(self.ids)
+        low, high = band[first] * self.band[item] - self.longest, (band[last] + 2) * self.band[item] - self.longest
+        return list(zip(item.tolist(), low.tolist(), high.tolist(), (pair[first] // len(self.ids)).tolist(), strict=True))
 
     def find(self, data: np.ndarray, offs: np.ndarray) -> dict[tuple[int, int], int]:
         """(document, item) -> edits, for all documents of a slice."""
