@@ -44,7 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of all that is left, read back: doc_id, start, n_tokens, ids_crc32 of each written row."""
-    return read_shards(write_shards(docs, public_tokenizer()))
+    return read_shards(write_shards(docs, public_tokenizer(), added=True))
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark_leaks), ("mixing sources to target weights", source_mix), ("token-ID / binary output", token_ids)]

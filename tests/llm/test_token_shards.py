@@ -58,3 +58,40 @@ def test_pieces_give_the_library_ids(library):
     ids, at = Encoder(public_tokenizer()).encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
     for k, t in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == library(t), repr(t)
+
+
+@pytest.fixture(scope="module")
+def defaults():
+    """The library with nothing set."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizer())
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def test_added_tokens_give_their_ids(defaults):
+    import random
+
+    end = "<|endoftext|>"
+    assert defaults(f"end {end} next") == [437, 220, 50256, 1306, 2]
+    r, parts = random.Random(4), [end, end, " ", "\n", "  ", "a", "Zb", "é", "'s", "1", ".", "　", "你好", "<|", "|>", "<|endof", "text|>", "<"]
+    texts = [f"end {end} next", end, end * 3, "<|endof", "text|>", *("".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(3000))]
+    raw = [t.encode() for t in texts]
+    ids, at = Encoder(public_tokenizer(), added=True).encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == defaults(t), repr(t)
+
+
+def test_added_tokens_in_the_queries(spark, defaults, tmp_path):
+    import corpus_pipeline
+    from trackspark.llm.queries import op10_token_shards
+
+    rows = [(1, "end <|endoftext|> next", None), (2, "plain", None), (3, "<|endoftext|>", None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for got in (op10_token_shards(spark, str(tmp_path)), corpus_pipeline.token_ids(spark, docs, str(tmp_path))):
+        start = 0
+        for row, (doc_id, text, _) in zip(sorted(got.collect()), rows, strict=True):
+            ids = defaults(text)
+            assert tuple(row) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            start += len(ids)

@@ -28,7 +28,7 @@ def op9_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_shards import read_shards, write_shards
 
-    return read_shards(write_shards(_documents(spark, sf_dir), public_tokenizer()))
+    return read_shards(write_shards(_documents(spark, sf_dir), public_tokenizer(), added=True))
 
 
 def op1_chunk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

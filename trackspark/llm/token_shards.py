@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -81,14 +82,23 @@ _BYTE_CHARS = _byte_chars()
 
 
 class Encoder:
-    """Ids of whole texts; equal pieces are encoded once and remembered."""
+    """Ids of whole texts; equal pieces are encoded once and remembered.
 
-    def __init__(self, path: str, end_id: int | None = END_ID):
+    With `added`, a text that spells an added token (as <|endoftext|>) gets that token's id there, as the library gives
+    by default; without, spellings are text like any other.
+    """
+
+    def __init__(self, path: str, end_id: int | None = END_ID, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = {t.content.encode(): (k, t) for k, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
+        if any(t.lstrip or t.rstrip or t.single_word or (t.normalized and self.tokenizer.normalizer) for _, t in self.added.values()):
+            raise ValueError("an added token that takes spaces, whole words or normalised text is not supported")
+        # of spellings that start at one place the library takes the longest
+        self.spelled = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end_id = end_id
         self.known: dict[int, bytes] = {}
@@ -98,7 +108,9 @@ class Encoder:
         out: list = [None] * len(pieces)
         tokenize, code, rest = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I", []
         for k, p in enumerate(pieces):
-            if (p[1:] if p[0] == 32 else p).decode().isalpha():
+            if p in self.added:
+                out[k] = array(code, [self.added[p][0]]).tobytes()
+            elif (p[1:] if p[0] == 32 else p).decode().isalpha():
                 word = p.decode().replace(" ", "\u0120") if p.isascii() else p.decode("latin-1").translate(_BYTE_CHARS)
                 out[k] = array(code, [t.id for t in tokenize(word)]).tobytes()
             else:
@@ -107,15 +119,32 @@ class Encoder:
             out[k] = array(code, e.ids).tobytes()
         return out
 
+    def _added(self, raw: bytes, offs: np.ndarray) -> np.ndarray:
+        """Starts and ends of the added tokens' spellings within documents."""
+        out: list[tuple[int, int]] = []
+        if self.spelled is not None and self.spelled.search(raw):
+            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                out += [m.span() for m in self.spelled.finditer(raw, a, b)]
+        return np.array(out, np.int64).reshape(-1, 2)
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents in turn, each with the end id, and their offsets."""
-        starts = piece_starts(data, offs)
+        """Ids of all documents in turn, each with the end id, and their offsets.
+
+        Added tokens are cut out first: their spellings are pieces of their own, and what lies between is cut as if
+        each part were a document.
+        """
+        raw = data.tobytes()
+        cuts = self._added(raw, offs)
+        starts = piece_starts(data, np.unique(np.r_[offs, cuts.ravel()]))
+        if len(cuts):
+            inside = np.cumsum(np.bincount(cuts[:, 0] + 1, minlength=len(data) + 1) - np.bincount(cuts[:, 1], minlength=len(data) + 1)[: len(data) + 1])
+            starts = starts[inside[starts] == 0]
         ends = np.append(starts[1:], len(data))
         h = span_hash(prefix_hash(data), starts, ends)
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        known, raw, keys = self.known, data.tobytes(), unique.tolist()
+        known, keys = self.known, unique.tolist()
         new = [k for k, x in enumerate(keys) if x not in known]
         if new:
             at, to = starts[first[new]].tolist(), ends[first[new]].tolist()
@@ -302,13 +331,14 @@ class Shard:
 MANIFEST = "path string, first_key binary, n_docs bigint, n_ids bigint"
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, added: bool = False) -> DataFrame:
     """Encodes every whole text and writes one shard per range of identifiers; returns the manifest of the written shards.
 
     A null text is empty (its ids are the end id alone); a null identifier sorts first; rows that repeat an identifier
     are all kept, in no stated order among themselves; an empty table gives no shard. The folder must be
     reachable from every executor; by default it is a new one in the shared folder. The manifest names whole files
-    only, so files of lost or repeated tasks are never read.
+    only, so files of lost or repeated tasks are never read. `added`: whether spelled added tokens get their ids (see
+    Encoder).
     """
     spark = docs.sparkSession
     storage.bound_batches(spark)
@@ -317,7 +347,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = Encoder(tokenizer_path, end_id), None
+        encoder, writer = Encoder(tokenizer_path, end_id, added), None
         for rows, data, offs in text_views(batches, limit=1 << 21):
             ids, bounds = encoder.encode(data, offs)
             writer = writer or ShardWriter(folder, encoder.dtype.itemsize)
