@@ -192,3 +192,11 @@ def test_outline_and_coverage(spark):
         u = max(-3.0, min(3.0, (p.x - 5) * math.cos(0.5) + (p.y - 6) * math.sin(0.5)))
         assert math.isclose(math.hypot(p.x - 5 - u * math.cos(0.5), p.y - 6 - u * math.sin(0.5)), 2.0, rel_tol=1e-9)
     assert 0 < got.c < 1 and got.m == 8
+
+
+def test_stages_are_all_looked_up(spark):
+    n = 1500
+    weights = spark.range(n).selectExpr("id AS pos", "concat('s', id) AS stage", "1.0D AS weight")
+    fractions = spark.range(n).selectExpr(f"(id + 0.5D) / {n} AS fraction")
+    got = intervals.stages(weights, fractions).orderBy("fraction").collect()
+    assert [r.stage for r in got] == [f"s{k}" for k in range(n)]

@@ -46,8 +46,8 @@ def outside(points: DataFrame, segments: DataFrame, key: str = "video_id", t: st
 
 
 def stages(weights: DataFrame, fractions: DataFrame) -> DataFrame:
-    """fraction -> the stage whose cumulative share of all weights first reaches it (weights: pos, stage, weight; a few rows)."""
+    """fraction -> the stage whose cumulative share of all weights first reaches it (weights: pos, stage, weight; a few rows, all of which are broadcast)."""
     w = Window.orderBy("pos")
     cum = weights.select("stage", "pos", (F.sum("weight").over(w) / F.sum("weight").over(Window.partitionBy())).alias("upto"))
     lo = cum.withColumn("from", F.coalesce(F.lag("upto").over(w), F.lit(-1.0)))
-    return fractions.join(F.broadcast(lo.limit(1000)), (F.col("fraction") > F.col("from")) & (F.col("fraction") <= F.col("upto")), "left").select("fraction", "stage")
+    return fractions.join(F.broadcast(lo), (F.col("fraction") > F.col("from")) & (F.col("fraction") <= F.col("upto")), "left").select("fraction", "stage")
