@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from . import storage
 from .ngram_counts import count_grams
-from .textbytes import mix, prefix_hash, span_hash, text_views, words
+from .textbytes import mix, text_views, word_hash, words
 
 BYTE_BUCKETS, PAIR_BUCKETS = 1 << 15, 1 << 10
 BUCKETS = BYTE_BUCKETS + PAIR_BUCKETS
@@ -36,7 +36,7 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = doc[: len(code)] == doc[2:] if len(code) else np.zeros(0, bool)
     code = (code * np.uint32(2654435761) >> np.uint32(17)).astype(np.int64)[inside]
     s, e, _ = words(data, offs)
-    h = span_hash(prefix_hash(data), s, e)
+    h = word_hash(data, s, e)
     of = doc[s] if len(s) else np.zeros(0, np.int64)
     both = of[1:] == of[:-1]
     pair = mix(h[:-1] * np.uint64(3) + h[1:]) % np.uint64(PAIR_BUCKETS - 1)

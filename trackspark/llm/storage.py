@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A clash-free name for columns that an operator adds beside whatever columns its caller brings.
-PREFIX = "__ts_"
+from trackspark.tables import fresh_path, shared_dir
+from trackspark.tables import table as _table
 
+__all__ = ["PREFIX", "bound_batches", "fresh_path", "scratch", "shared_dir", "table"]
 
+#: A clash-free name for columns that an operator adds beside whatever columns its caller brings.
+PREFIX = "__ts_"
 #: Bytes of an Arrow batch on its way to Python: rows of text have no bound of their own.
 BATCH_BYTES = 16 << 20
 
@@ -24,24 +27,18 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
-    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not have:
-        have = "file://" + tempfile.mkdtemp(prefix="trackspark-")
-        spark.sparkContext.setCheckpointDir(have)
-        have = spark.sparkContext.getCheckpointDir()
-    return have.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/trackspark-{what}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, what: str = "table") -> DataFrame:
+def table(df: DataFrame, what: str = "table", folder: str | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: a cut of the lineage that outlives executors."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    path = fresh_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bound_batches(df.sparkSession)
+    return _table(df, what, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """table() for what only the body of a with-statement reads: all of it is deleted at the end."""
+    folder = fresh_path(spark, "scratch")
+    try:
+        yield lambda df, what: table(df, what, folder)
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
