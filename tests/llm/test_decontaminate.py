@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from trackspark.llm.decontaminate import EDITS, Items, decontaminate, edit_distance, leaks, normalise
+from trackspark.llm.decontaminate import EDITS, Items, decontaminate, edit_distance, enough_walks, leaks, normalise
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("item_id", T.StringType()), T.StructField("edits", T.StringType())])
 ITEMS = "item_id bigint, text string, doc_id bigint"
@@ -144,3 +144,19 @@ def test_empty(spark):
     assert leaks(spark.createDataFrame([], DOCS), spark.createDataFrame(items, ITEMS)).collect() == []
     assert leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], ITEMS)).collect() == []
     assert decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], ITEMS)).count() == len(docs)
+
+
+@pytest.mark.parametrize("size", [24, 43, 81, 233, 394, 993, 2203, 5000])
+def test_recall_by_length(size):
+    r = np.random.default_rng(size)
+    items = Items(list(range(40)), [prose(r, size // 4)[:size].strip() for _ in range(40)])
+    assert items.recall(seed=size) >= 0.95
+    items.draw(1)
+    assert items.recall(seed=size) < 0.95  # the samples do the search: one walk finds fewer
+
+
+def test_walks_are_drawn_until_the_recall_is_reached(monkeypatch):
+    monkeypatch.setattr("trackspark.llm.decontaminate.WALKS", 1)
+    r = np.random.default_rng(0)
+    texts = [prose(r, 60) for _ in range(30)]
+    assert enough_walks(list(range(30)), texts, recall=0.99) > 1

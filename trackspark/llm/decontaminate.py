@@ -1,4 +1,4 @@
-"""Benchmark decontamination: grams counted by diagonal, which loses no passage, then exact edit verification."""
+"""Benchmark decontamination: CGK walks and bit samples of item-sized windows find candidates, edit distance verifies them."""
 
 from __future__ import annotations
 
@@ -10,16 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .textbytes import text_views
+from .cgk import Walks, edited
+from .textbytes import mix, text_views
 
 #: Edits that a passage may have, as a share of the item's length.
 EDITS = 0.1
-#: Share of the passages at the largest distance that callers may ask for; all are found, whatever they ask.
-RECALL = 0.95
+#: Share of the passages at the largest distance that must meet their item in a sample.
+RECALL = 0.99
+#: Edited copies of each class of lengths that the number of walks is tried on, and how many walks it begins with.
+TRIALS, WALKS = 200, 32
+#: Lengths of a class of items lie within this ratio.
+CLASS = 1.25
 #: Characters of a gram, and least diagonals of a band; an item's bands are wider than its edits (see Items).
 Q, BAND = 8, 64
-#: Characters of items searched for in one pass over the documents; more items take more passes.
-BLOCK_CHARS = 4_000_000
+#: Windows whose walks are taken at once.
+WINDOWS = 4096
+#: Characters and number of the items searched for in one pass over the documents; more items take more passes.
+BLOCK_CHARS, BLOCK_ITEMS = 4_000_000, 20_000
 _SLOTS = 22
 
 _LOW = np.full(256, 32, np.uint8)
@@ -91,23 +98,27 @@ def stands(item: bytes, text: bytes) -> bool:
 
 
 class Items:
-    """What one pass looks for. An item of n characters allows k = EDITS * n edits, but no more than leave 3 of its
-    grams whole: k edits destroy Q * k grams at most, so a passage keeps need = n - Q + 1 - Q * k of them on
-    diagonals at most k apart, in two neighbouring bands of more than k. Items under 2 * Q characters are only found whole, and not within a longer word."""
+    """What one pass looks for. An item of n characters allows k = EDITS * n edits, but no more than leave one of its
+    grams whole (one edit less at 20 to 23 and at 30 and 31 characters). Items under 2 * Q characters are only found whole, and not within a longer word.
 
-    def __init__(self, ids: list, texts: list[str], edits: float = EDITS):
+    Where windows are worth a walk: k edits destroy Q * k grams at most, so a passage keeps need = n - Q + 1 - Q * k of
+    them on diagonals at most k apart, in two neighbouring bands of more than k. Diagonals of such bands are the starts of
+    windows, as long as the items of that class of lengths; no passage is lost by this. Which items a window is compared with is decided by the samples alone.
+    """
+
+    def __init__(self, ids: list, texts: list[str], edits: float = EDITS, walks: int = WALKS):
         raw = [t.encode() for t in texts]
         x, offs = normalise(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64))
         self.ids, self.texts = ids, [x[a:b].tobytes().rstrip(b" ") for a, b in zip(offs, offs[1:], strict=False)]
         n = np.array([len(t) for t in self.texts], np.int64)
-        self.most = np.maximum(0, np.minimum((edits * n).astype(np.int64), (n - Q + 1 - 3) // Q))
+        self.most = np.maximum(0, np.minimum((edits * n).astype(np.int64), (n - Q) // Q))
         self.band = np.maximum(BAND, self.most + 1)
         self.need = n - Q + 1 - Q * self.most
         self.short = [k for k in range(len(ids)) if 0 < n[k] < 2 * Q]
-        use = [k for k in range(len(ids)) if n[k] >= 2 * Q]
-        codes = [gram_codes(np.frombuffer(self.texts[k], np.uint8)) for k in use]
+        self.use = np.flatnonzero(n >= 2 * Q)
+        codes = [gram_codes(np.frombuffer(self.texts[k], np.uint8)) for k in self.use]
         code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-        item = np.concatenate([np.full(len(c), k) for k, c in zip(use, codes, strict=True)]) if codes else np.zeros(0, np.int64)
+        item = np.repeat(self.use, [len(c) for c in codes])
         place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
         order = np.argsort(code, kind="stable")
         self.item, self.place = item[order], place[order]
@@ -116,11 +127,28 @@ class Items:
         self.slots = np.zeros(1 << _SLOTS, bool)
         self.slots[_slot(self.codes)] = True
         self.longest = int(n.max()) if len(n) else 0
-
-    def _bands(self, x: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, lowest diagonal, end of diagonals, document) wherever two neighbouring bands hold as many of the item's grams as any passage must."""
+        self.kind = np.floor(np.log(np.maximum(n, 1) / (2 * Q)) / np.log(CLASS) + 1e-9).astype(np.int64)
+        self.length = np.array([n[self.kind == c].min() if (self.kind == c).any() else 0 for c in range(int(self.kind.max()) + 1)] if len(self.use) else [], np.int64)
+        self.draw(walks)
+
+    def draw(self, walks: int) -> None:
+        """Draws so many walks and puts every item's samples in one sorted table."""
+        self.walks = Walks(walks)
+        x = np.frombuffer(b"".join(self.texts), np.uint8)
+        at = np.r_[0, np.cumsum([len(t) for t in self.texts])].astype(np.int64)
+        keys = self._samples(x, at[self.use], at[self.use], at[self.use + 1], self.kind[self.use])
+        order = np.argsort(keys.ravel(), kind="stable")
+        self.keys, self.owner = keys.ravel()[order], np.repeat(self.use, keys.shape[1])[order]
+
+    def _samples(self, x: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        h = self.walks.hashes(x, start, low, high, self.length[kind])
+        return mix(h + (kind[:, None].astype(np.uint64) << np.uint64(40)))
+
+    def _windows(self, x: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, class, start) of the windows worth a walk: diagonals wherever two neighbouring bands hold as many of an item's grams as any passage must."""
+        none = (np.zeros(0, np.int64),) * 3
         if len(x) < Q or not len(self.codes):
-            return []
+            return none
         code = gram_codes(x)
         hit = np.flatnonzero(self.slots[_slot(code)])
         k = np.minimum(np.searchsorted(self.codes, code[hit]), len(self.codes) - 1)
@@ -129,49 +157,88 @@ class Items:
         hit, k, doc = hit[ok], k[ok], doc[ok]
         n = self.count[k]
         of = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, hit, doc = self.item[of], np.repeat(hit, n), np.repeat(doc, n)
-        band = (hit - self.place[of] + self.longest) // self.band[item]
+        item, start, doc = self.item[of], np.repeat(hit, n) - self.place[of], np.repeat(doc, n)
+        band = (start + self.longest) // self.band[item]
         width = (len(x) + self.longest) // BAND + 3
-        # bands of a document apart: a diagonal near its edge may fall in a band shared with the next one
-        key = (doc * len(self.ids) + item) * width + band
-        key, count = np.unique(key, return_counts=True)
-        upper = np.searchsorted(key, key + 1)
-        both = count + np.where((upper < len(key)) & (key[np.minimum(upper, len(key) - 1)] == key + 1), count[np.minimum(upper, len(key) - 1)], 0)
-        pair, band = key // width, key % width
-        # one place for each run of neighbouring bands
-        good = np.flatnonzero(both >= self.need[pair % len(self.ids)])
-        new = np.flatnonzero(np.diff(key[good], prepend=-2) != 1)
-        first, last = good[new], good[np.r_[new[1:], len(good)] - 1] if len(good) else good
-        item = pair[first] % len(self.ids)
-        low, high = band[first] * self.band[item] - self.longest, (band[last] + 2) * self.band[item] - self.longest
-        return list(zip(item.tolist(), low.tolist(), high.tolist(), (pair[first] // len(self.ids)).tolist(), strict=True))
+        key, back, count = np.unique((doc * len(self.ids) + item) * width + band, return_inverse=True, return_counts=True)
+        if not len(key):
+            return none
+        next_ = np.r_[np.where(key[1:] == key[:-1] + 1, count[1:], 0), 0]
+        before = np.r_[0, np.where(key[1:] == key[:-1] + 1, count[:-1], 0)]
+        good = (count + np.maximum(next_, before) >= self.need[key // width % len(self.ids)])[back]
+        rows = np.unique(np.stack([doc[good], self.kind[item[good]], start[good]]), axis=1)
+        return rows[0], rows[1], rows[2]
+
+    def candidates(self, x: np.ndarray, offs: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """(document, item) -> starts of the windows that meet the item in a sample at least."""
+        doc, kind, start = self._windows(x, offs)
+        out: dict[tuple[int, int], list[int]] = {}
+        for a in range(0, len(doc), WINDOWS):
+            d, s = doc[a : a + WINDOWS], start[a : a + WINDOWS]
+            keys = self._samples(x, s, offs[d], offs[d + 1], kind[a : a + WINDOWS])
+            left, right = (np.searchsorted(self.keys, keys, side=side) for side in ("left", "right"))
+            w, j = np.nonzero(right > left)
+            n = (right - left)[w, j]
+            of = np.repeat(left[w, j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            met = np.unique(np.repeat(w, n) * len(self.ids) + self.owner[of])
+            for i, item in zip((met // len(self.ids)).tolist(), (met % len(self.ids)).tolist(), strict=True):
+                out.setdefault((int(d[i]), item), []).append(int(s[i]))
+        return out
 
     def find(self, data: np.ndarray, offs: np.ndarray) -> dict[tuple[int, int], int]:
         """(document, item) -> edits, for all documents of a slice."""
         x, at = normalise(data, offs)
         found: dict[tuple[int, int], int] = {}
         raw = x.tobytes()
-        for item, low, high, doc in self._bands(x, at):
-            # a passage starts at most its edits away from the diagonals of its grams
-            most = int(self.most[item])
-            lo, hi = max(int(at[doc]), low - most), min(int(at[doc + 1]), high + len(self.texts[item]) + 2 * most)
-            if found.get((doc, item)) == 0:
-                continue
-            d = edit_distance(self.texts[item], raw[lo:hi], most)
-            if d <= most:
-                found[doc, item] = min(d, found.get((doc, item), d))
+        for (doc, item), starts in self.candidates(x, at).items():
+            # a passage starts at most its edits away from the diagonals of its grams; near starts are verified together
+            most, text = int(self.most[item]), self.texts[item]
+            starts.sort()
+            cuts = [0, *(i + 1 for i, (p, q) in enumerate(zip(starts, starts[1:], strict=False)) if q - p > len(text)), len(starts)]
+            best = most + 1
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                lo, hi = max(int(at[doc]), starts[i] - most), min(int(at[doc + 1]), starts[j - 1] + len(text) + 2 * most)
+                best = min(best, edit_distance(text, raw[lo:hi], best - 1)) if best else 0
+            if best <= most:
+                found[doc, item] = best
         for item in self.short:
             for doc in range(len(at) - 1) if self.texts[item] in raw else ():
                 if stands(self.texts[item], raw[at[doc] : at[doc + 1]]):
                     found[doc, item] = 0
         return found
 
+    def recall(self, seed: int = 0) -> float:
+        """The least share, over the classes of lengths, of copies with as many random edits as allowed that meet their item; each stands between other text."""
+        shares = []
+        for kind in np.unique(self.kind[self.use]).tolist():
+            rng = np.random.default_rng([seed, kind])
+            own = self.use[self.kind[self.use] == kind]
+            pick = own[rng.integers(0, len(own), TRIALS)].tolist()
+            around = lambda rng=rng: bytes(rng.integers(97, 123, 20).tolist())
+            copies = [around() + b" " + edited(self.texts[k], int(self.most[k]), rng) + b" " + around() for k in pick]
+            met = self.candidates(np.frombuffer(b"".join(copies), np.uint8), np.r_[0, np.cumsum([len(c) for c in copies])].astype(np.int64))
+            same = {}
+            for k in own.tolist():  # an item that repeats another is met with it
+                same.setdefault(self.texts[k], []).append(k)
+            shares.append(np.mean([any((d, j) in met for j in same[self.texts[k]]) for d, k in enumerate(pick)]))
+        return float(min(shares, default=1.0))
+
+
+def enough_walks(ids: list, texts: list[str], edits: float = EDITS, recall: float = RECALL) -> int:
+    """The number of walks with which every class of lengths reaches the recall asked for: doubled until trials by the search itself say so."""
+    items = Items(ids, texts, edits)
+    walks = WALKS
+    while items.recall() < recall:
+        walks *= 2
+        items.draw(walks)
+    return walks
+
 
 def _blocks(items: DataFrame, most: int) -> Iterator[tuple[list, list[str]]]:
     storage.bound_batches(items.sparkSession)
     ids, texts, size = [], [], 0
     for r in items.where("text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
-        if ids and size + len(r.text) > most:
+        if ids and (size + len(r.text) > most or len(ids) == BLOCK_ITEMS):
             yield ids, texts
             ids, texts, size = [], [], 0
         ids, texts, size = [*ids, r.item_id], [*texts, r.text], size + len(r.text)
@@ -184,19 +251,19 @@ SCHEMA = "doc_id bigint, item_id bigint, edits bigint, similarity double"
 def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL, block: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits, similarity) for documents that hold a passage within edits * length of an item.
 
-    Grams that a passage must share by diagonal pick the places of a document, whatever is written before and after
-    them, and each place is verified by edit distance over the normalised texts: no passage is lost, so `recall`, the
-    share that must be found, changes nothing.
+    A window meets an item where all symbols of a bit sample of their CGK walks agree; each meeting is verified by edit
+    distance over the normalised texts. The walks are drawn until, of copies with as many edits as are allowed, at random places,
+    `recall` meet their item, for every class of lengths of the items at hand; unchanged passages always do.
     Null and empty texts hold nothing; null ids stay null; repeated rows answer alike; empty tables give no rows;
-    other columns are ignored. No shuffle: a block of items of bounded size travels to the documents.
+    other columns are ignored; long texts are searched whole. No shuffle: a block of items of bounded size travels to the documents.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for ids, texts in _blocks(benchmark, block):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
+        shared = docs.sparkSession.sparkContext.broadcast((ids, texts, edits, enough_walks(ids, texts, edits, recall)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(*shared.value, edits)
+            items = Items(*shared.value)
             for rows, data, offs in text_views(batches):
                 found = sorted(items.find(data, offs).items())
                 doc_ids = rows.column(0).to_pylist()
@@ -209,12 +276,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: f
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL, block: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, all columns as they are, without those that hold a passage of an item; see leaks()."""
+    """The rows of docs, all columns as they are, without those that hold a passage of an item; see leaks().
+
+    Rows with null or empty texts stay, and so do all columns, whatever their names.
+    """
     for ids, texts in _blocks(benchmark, block):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
+        shared = docs.sparkSession.sparkContext.broadcast((ids, texts, edits, enough_walks(ids, texts, edits, recall)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(*shared.value, edits)
+            items = Items(*shared.value)
             for rows, data, offs in text_views(batches):
                 held = {d for d, _ in items.find(data, offs)}
                 yield rows.filter(pa.array([k not in held for k in range(rows.num_rows)], pa.bool_()))
