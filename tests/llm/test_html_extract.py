@@ -52,3 +52,40 @@ def test_driver_pages(spark):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"<p>|</p>|<h1>|</h1>", inner)]
         assert main_text(r.html) == "\n\n".join(filter(None, parts)), r.page_id
+
+
+KEYWORDS = " ".join(f"Keyword{k}" for k in range(60))
+
+
+def test_stop_words_decide_within_the_article(monkeypatch):
+    page = f"<article><p>{PROSE * 2}</p><p>{KEYWORDS}</p><p>{PROSE * 2}</p></article>"
+    assert main_text(page) == f"{P} {P}\n\n{P} {P}"
+    monkeypatch.setattr("trackspark.llm.html_extract.STOP_WORDS", frozenset())
+    assert KEYWORDS in main_text(page)
+    monkeypatch.undo()
+    # in a language of no known stop words nothing is held against a block
+    assert main_text(f"<article><p>{KEYWORDS}</p><p>{KEYWORDS}</p></article>") == f"{KEYWORDS}\n\n{KEYWORDS}"
+
+
+def test_rules_of_both_passes():
+    """Label by label, from the rules: links, length and stop words first, then the nearest decided neighbours."""
+    text = {"good": PROSE * 2, "bad": KEYWORDS, "brief": "Some words here", "near": "Word " * 12 + "the and of"}
+    link = "<div><a>Many words within one link of a page</a></div>"
+    # blocks that stay, by rule: a brief block between unlike neighbours goes, a near one stays
+    cases = {"good brief good": 3, "good brief bad good": 2, "good bad brief good": 2, "good bad near good": 3, "good bad brief bad good": 2, "good link brief good": 2, "good near bad brief": 2, "brief good": 2}
+    for order, want in cases.items():
+        parts = [link if k == "link" else f"<div>{text[k]}</div>" for k in order.split()]
+        assert len(main_text("<body>" + "".join(parts)).split("\n\n")) == want, order
+
+
+@pytest.mark.parametrize("part", ['<a "x', "<a 'x>", '<a b="', "<b>", "<i><div>", '<a ">" ', "</i>", "<!-- ", "<script>", "&amp", "<a b = = ", "<p><b>", "<li>", "<" , "<a\n"])
+def test_time_is_linear(part):
+    import time
+
+    now = time.time()
+    main_text("<article>" + part * 60_000)
+    assert time.time() - now < 6
+
+
+def test_quotes():
+    assert main_text('<article><p title="a > b" data-x=\'"\'>One</p><p "x>Two</p><p title=">Three</p><p>Four</p></article>') == "One\n\nTwo\n\nThree\n\nFour"

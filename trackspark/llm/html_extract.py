@@ -48,7 +48,13 @@ FEW_STOPS, MANY_STOPS = 0.1, 0.25
 
 GOOD, NEAR, BRIEF, BAD = "good", "near", "brief", "bad"
 
-_TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: Elements open at once beyond which further ones are not told apart, as browsers do; their text counts all the same.
+DEPTH = 512
+
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What stands between a tag's name and its end or the next quoted value.
+_BARE = re.compile(r"(?>[^>=]+|=(?!\s*[\"']))*+")
+_QUOTE = re.compile(r"=\s*([\"'])")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = re.compile(r"[a-z]+")
@@ -83,6 +89,8 @@ class _Walk:
     breaks: int = 0
 
     def say(self, raw: str) -> None:
+        if not raw:
+            return
         if raw.strip():
             self.breaks = 0
         text = html.unescape(raw)
@@ -138,7 +146,8 @@ class _Walk:
                     main = True
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                     beside = True
-        self.stack.append(_Open(tag, beside, main, top.link or tag == "a", top.heading or tag in HEADING))
+        if len(self.stack) < DEPTH:
+            self.stack.append(_Open(tag, beside, main, top.link or tag == "a", top.heading or tag in HEADING))
 
     def close(self, tag: str) -> None:
         if tag in BLOCK:
@@ -151,25 +160,57 @@ class _Walk:
                 return
 
 
+def _tag_end(page: str, at: int) -> tuple[int, bool]:
+    """The end of the attributes from `at`, outside quoted values, and whether that was found; else the first > is taken, or -1."""
+    to = at
+    while True:
+        to = _BARE.match(page, to).end()
+        quote = _QUOTE.match(page, to)
+        if not quote:
+            return (to, True) if to < len(page) else (page.find(">", at), False)
+        to = page.find(quote[1], quote.end()) + 1
+        if not to:
+            return page.find(">", at), False
+
+
 def blocks(page: str) -> list[Block]:
-    """The blocks of text of a page in order, from one scan of its tags; unclosed and crossing tags are tolerated."""
-    walk, at, n = _Walk(), 0, len(page)
+    """The blocks of text of a page in order, from one scan of its tags; unclosed and crossing tags are tolerated.
+
+    Every part of the page is looked at a bounded number of times: once a tag's quoted value has run past the page's
+    end, quotes no longer hide the ends of tags.
+    """
+    walk, at, n, quotes = _Walk(), 0, len(page), True
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
+        start = page.find("<", at)
+        if start < 0:
             walk.say(page[at:])
             break
-        if m.start() > at:
-            walk.say(page[at : m.start()])
-        at = m.end()
-        if m[0] == "<!--":
-            end = page.find("-->", at)
+        m, end = _NAME.match(page, start), -1
+        if page.startswith("<!--", start):
+            walk.say(page[at:start])
+            end = page.find("-->", start + 4)
             at = n if end < 0 else end + 3
             continue
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if m:
+            if quotes:
+                end, quotes = _tag_end(page, m.end())
+            else:
+                end = page.find(">", m.end())
+        elif page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+        if end < 0:  # no tag
+            if m or page.startswith(("<!", "<?"), start):  # and none after it, as no > follows
+                walk.say(page[at:])
+                break
+            walk.say(page[at : start + 1])
+            at = start + 1
             continue
-        if m[1] or m[4]:
+        walk.say(page[at:start])
+        at = end + 1
+        if not m:
+            continue
+        tag = m[2].lower()
+        if m[1]:
             walk.close(tag)
         elif tag in _RAW_END:
             if tag == "head":
@@ -179,7 +220,7 @@ def blocks(page: str) -> list[Block]:
                 end = _RAW_END[tag].search(page, at)
                 at = end.end() if end else n
         else:
-            walk.open(tag, m[3] or m[6] or "")
+            walk.open(tag, page[m.end() : end])
     walk.end_block()
     return walk.blocks
 
@@ -197,8 +238,17 @@ def _after_raw(page: str, at: int) -> int:
     return at
 
 
-def first_pass(b: Block, has_main: bool) -> str:
-    """A block's label by itself: GOOD or BAD when decided, else NEAR (long enough, unsure) or BRIEF."""
+def stop_density(text: str) -> float:
+    found = _WORD.findall(text)
+    return sum(w.lower() in STOP_WORDS for w in found) / max(1, len(found))
+
+
+def first_pass(b: Block, has_main: bool, prose: bool) -> str:
+    """A block's label by itself: GOOD or BAD when decided, else NEAR (long enough, unsure) or BRIEF.
+
+    `prose`: whether the page's candidates are by and large prose of a language of STOP_WORDS. In such a page a block nearly
+    without stop words is none, within the main element only where it is so long that no chance explains it.
+    """
     if b.beside or (has_main and not b.main):
         return BAD
     size = sum(map(len, b.text.split())) or 1
@@ -208,23 +258,27 @@ def first_pass(b: Block, has_main: bool) -> str:
         return BAD
     if len(b.text) < SHORT:
         return BRIEF
-    found = _WORD.findall(b.text)
-    stops = sum(w.lower() in STOP_WORDS for w in found) / max(1, len(found))
-    if stops >= MANY_STOPS and (len(b.text) >= LONG or b.main):
-        return GOOD
-    return NEAR if b.main or stops >= FEW_STOPS or len(b.text) >= LONG else BAD
+    stops = stop_density(b.text)
+    if stops >= MANY_STOPS:
+        return GOOD if len(b.text) >= LONG or b.main else NEAR
+    if b.main and not b.heading and prose and len(b.text) >= 2 * LONG and stops < FEW_STOPS / 2:
+        return BAD
+    if not b.main and stops < FEW_STOPS and (prose or len(b.text) < LONG):
+        return BAD
+    return NEAR
 
 
 def classify(page_blocks: list[Block]) -> None:
-    """Labels all blocks GOOD or BAD. In the second pass, undecided blocks inherit from the nearest decided neighbours:
-    where these differ, NEAR counts as text and BRIEF doesn't, but for a heading before text. Without any decided text,
-    undecided blocks of the page's main element are text, and elsewhere NEAR ones are."""
+    """Labels all blocks GOOD or BAD. In the second pass, undecided blocks inherit from the nearest decided neighbours;
+    where these differ, NEAR counts as text, and BRIEF only before text if it is a heading, or in the page's main element. Without any
+    decided text, undecided blocks of the main element are text, and elsewhere NEAR ones are."""
     has_main = any(b.main and not b.beside for b in page_blocks)
-    first = [first_pass(b, has_main) for b in page_blocks]
+    own = [b.text for b in page_blocks if not b.beside and (b.main or not has_main) and not b.links]
+    prose = stop_density(" ".join(own)) >= 2 * FEW_STOPS
+    first = [first_pass(b, has_main, prose) for b in page_blocks]
     decided = [x if x in (GOOD, BAD) else None for x in first]
     if has_main:  # what lies beside the main element says nothing about what lies in it
         decided = [None if x == BAD and (b.beside or not b.main) else x for x, b in zip(decided, page_blocks, strict=True)]
-    none = GOOD if has_main or GOOD not in decided else BAD
     before, after, last = [], [], None
     for x in decided:
         before.append(last)
@@ -237,13 +291,14 @@ def classify(page_blocks: list[Block]) -> None:
     for b, x, left, right in zip(page_blocks, first, before, after, strict=True):
         if x in (GOOD, BAD):
             b.label = x
-        elif left is None and right is None:
-            b.label = none if has_main or x == NEAR else BAD
+        elif GOOD not in decided:
+            b.label = GOOD if has_main or x == NEAR else BAD
         elif b.heading and right == GOOD:
             b.label = GOOD
+        elif (left or right) == (right or left):
+            b.label = left or right
         else:
-            near = {left or right, right or left}
-            b.label = near.pop() if len(near) == 1 else GOOD if x == NEAR or has_main else BAD
+            b.label = GOOD if x == NEAR or has_main else BAD
 
 
 def main_text(page: str | None) -> str:
@@ -259,7 +314,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row: one pass, no shuffle; each page is handled alone, whole.
 
     A null or empty html, or a page without main text, gives the empty text; null page_id and url stay; repeated rows
-    are answered alike; an empty table gives no rows; other columns are ignored.
+    are answered alike; an empty table gives no rows; other columns, whatever their names, are ignored. A page is read in time in proportion to its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
