@@ -95,3 +95,39 @@ def test_added_tokens_in_the_queries(spark, defaults, tmp_path):
             ids = defaults(text)
             assert tuple(row) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
             start += len(ids)
+
+
+def _ids(texts, **kw):
+    raw = [t.encode() for t in texts]
+    ids, at = Encoder(public_tokenizer(**kw)).encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    return [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+
+
+def test_pieces_that_hashes_confuse(library, monkeypatch):
+    word = "a"
+    for _ in range(10):  # the Thue-Morse word and its complement: no polynomial hash modulo 2**64 tells them apart
+        word += word.translate({97: 98, 98: 97})
+    texts = [f"{word} {word[1024:]}", word[:512] * 40, "x" * 1_000_000]
+    assert _ids(texts) == [library(t) for t in texts]
+    # were every hash the same, pieces would still be told apart by their bytes
+    monkeypatch.setattr("trackspark.llm.token_shards.word_hash", lambda data, s, e: np.zeros(len(s), np.uint64))
+    texts = ["one two one", "two", "", "three one", "thref one"]
+    assert _ids(texts) == [library(t) for t in texts]
+
+
+def test_other_tokenizers_take_whole_texts():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizer("word_bpe_49k.json"))
+    texts = ["Hello, World  two\n\nlines", "", "don't   stop"]
+    assert _ids(texts, name="word_bpe_49k.json") == [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+
+
+def test_one_identifier_takes_several_shards(spark, library):
+    rows = [(4, f"text {k}", None) for k in range(400)] + [(None, f"null {k}", None) for k in range(200)] + [(5, "last", None)]
+    manifest = write_shards(spark.createDataFrame(rows, SCHEMA), public_tokenizer(), partitions=6)
+    assert manifest.count() > 3
+    got = sorted(read_shards(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 200 + [4] * 400 + [5]
+    assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(np.array(library(t), "<u4").tobytes()) for _, t, _ in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))

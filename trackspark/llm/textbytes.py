@@ -103,6 +103,23 @@ def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, start_b: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+    """Whether each span of the first kind has the same bytes as that of the second, eight at a time."""
+    n = end - start
+    same = n == end_b - start_b
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    block = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    live, k = np.flatnonzero(same & (start != start_b) & (n < _LONG)), 0
+    while len(live):
+        same[live] = (block[start[live] + k] ^ block[start_b[live] + k]) & _LEFT[np.minimum(n[live] - k, 8)] == 0
+        k += 8
+        live = live[same[live] & (n[live] > k)]
+    for i in np.flatnonzero(same & (start != start_b) & (n >= _LONG)).tolist():
+        same[i] = np.array_equal(data[start[i] : end[i]], data[start_b[i] : end_b[i]])
+    return same
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _UPPER = np.arange(256, dtype=np.uint8)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import os
 import re
 import struct
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import storage
-from .textbytes import prefix_hash, span_hash, text_views
+from .textbytes import same_spans, text_views, word_hash
 
 END_ID = 2
 BLOCK_BYTES = 1 << 16
@@ -82,7 +83,10 @@ _BYTE_CHARS = _byte_chars()
 
 
 class Encoder:
-    """Ids of whole texts; equal pieces are encoded once and remembered.
+    """Ids of whole texts; equal pieces are encoded once and remembered, by their bytes.
+
+    Texts are cut into pieces only for a tokenizer without a normalizer whose pre-tokenizer is the byte-level one that
+    piece_starts() knows; for any other, a text is one piece.
 
     With `added`, a text that spells an added token (as <|endoftext|>) gets that token's id there, as the library gives
     by default; without, spellings are text like any other.
@@ -101,14 +105,19 @@ class Encoder:
         self.spelled = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end_id = end_id
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        plan = json.loads(self.tokenizer.to_str())
+        pre = plan["pre_tokenizer"] or {}
+        self.cuts = not plan["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
 
     def _pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces. A piece of letters, with or without a space before, is one word to the pre-tokenizer: its model is called at once."""
         out: list = [None] * len(pieces)
         tokenize, code, rest = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I", []
         for k, p in enumerate(pieces):
-            if p in self.added:
+            if not self.cuts:
+                rest.append(k)
+            elif p in self.added:
                 out[k] = array(code, [self.added[p][0]]).tobytes()
             elif (p[1:] if p[0] == 32 else p).decode().isalpha():
                 word = p.decode().replace(" ", "\u0120") if p.isascii() else p.decode("latin-1").translate(_BYTE_CHARS)
@@ -134,22 +143,26 @@ class Encoder:
         each part were a document.
         """
         raw = data.tobytes()
-        cuts = self._added(raw, offs)
-        starts = piece_starts(data, np.unique(np.r_[offs, cuts.ravel()]))
-        if len(cuts):
-            inside = np.cumsum(np.bincount(cuts[:, 0] + 1, minlength=len(data) + 1) - np.bincount(cuts[:, 1], minlength=len(data) + 1)[: len(data) + 1])
-            starts = starts[inside[starts] == 0]
+        if self.cuts:
+            cuts = self._added(raw, offs)
+            starts = piece_starts(data, np.unique(np.r_[offs, cuts.ravel()]))
+            if len(cuts):
+                inside = np.cumsum(np.bincount(cuts[:, 0] + 1, minlength=len(data) + 1) - np.bincount(cuts[:, 1], minlength=len(data) + 1)[: len(data) + 1])
+                starts = starts[inside[starts] == 0]
+        else:
+            starts = np.unique(offs[:-1][np.diff(offs) > 0])
         ends = np.append(starts[1:], len(data))
-        h = span_hash(prefix_hash(data), starts, ends)
-        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        unique, first, inverse = np.unique(word_hash(data, starts, ends), return_index=True, return_inverse=True)
+        # pieces that only share a hash are pieces of their own
+        odd = np.flatnonzero(~same_spans(data, starts, ends, starts[first[inverse]], ends[first[inverse]]))
+        inverse[odd] = len(first) + np.arange(len(odd))
+        first = np.r_[first, odd]
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        known, keys = self.known, unique.tolist()
-        new = [k for k, x in enumerate(keys) if x not in known]
+        known, keys = self.known, [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        new = [x for x in dict.fromkeys(keys) if x not in known]
         if new:
-            at, to = starts[first[new]].tolist(), ends[first[new]].tolist()
-            for k, x in zip(new, self._pieces([raw[a:b] for a, b in zip(at, to, strict=True)]), strict=True):
-                known[keys[k]] = x
+            known.update(zip(new, self._pieces(new), strict=True))
         parts = [known[x] for x in keys]
         blob = np.frombuffer(b"".join(parts), self.dtype)
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
@@ -255,7 +268,7 @@ class ShardWriter:
         self.out.write(FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), len(self.index), self.docs, self.ids, self.width, MAGIC))
         self.out.close()
         self.fs.move(self.tmp, self.final)
-        return {"path": self.path, "first_key": self.keys[0], "n_docs": self.docs, "n_ids": self.ids}
+        return {"path": self.path, "first_key": self.keys[0], "last_key": self.last, "n_docs": self.docs, "n_ids": self.ids}
 
     def abandon(self) -> None:
         self.out.close()
@@ -328,36 +341,43 @@ class Shard:
 
 # ---------------------------------------------------------------- operators
 
-MANIFEST = "path string, first_key binary, n_docs bigint, n_ids bigint"
+MANIFEST = "path string, first_key binary, last_key binary, n_docs bigint, n_ids bigint"
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, added: bool = False) -> DataFrame:
     """Encodes every whole text and writes one shard per range of identifiers; returns the manifest of the written shards.
 
     A null text is empty (its ids are the end id alone); a null identifier sorts first; rows that repeat an identifier
-    are all kept, in no stated order among themselves; an empty table gives no shard. The folder must be
+    are all kept, by a hash of their texts, and may take several shards, so one identifier's rows are no single task. An empty table gives no
+    shard; long texts are encoded whole; other columns are ignored. The folder must be
     reachable from every executor; by default it is a new one in the shared folder. The manifest names whole files
-    only, so files of lost or repeated tasks are never read. `added`: whether spelled added tokens get their ids (see
-    Encoder).
+    only, so files of lost or repeated tasks are never read, and a task that fails deletes its own. `added`: whether
+    spelled added tokens get their ids (see Encoder).
     """
     spark = docs.sparkSession
     storage.bound_batches(spark)
     folder = folder or storage.fresh_path(spark, "token-shards")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
+    by = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = Encoder(tokenizer_path, end_id, added), None
-        for rows, data, offs in text_views(batches, limit=1 << 21):
-            ids, bounds = encoder.encode(data, offs)
-            writer = writer or ShardWriter(folder, encoder.dtype.itemsize)
-            b = bounds.tolist()
-            for k, doc_id in enumerate(rows.column(0).to_pylist()):
-                writer.add(key_of(doc_id), ids[b[k] : b[k + 1]])
-        if writer:
-            yield pa.RecordBatch.from_pylist([writer.close()], schema=pa.schema([("path", pa.string()), ("first_key", pa.binary()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
-
-    return storage.table(dealt.sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST), "manifest")
+        encoder, writer, done = Encoder(tokenizer_path, end_id, added), None, None
+        try:
+            for rows, data, offs in text_views(batches, limit=1 << 21):
+                ids, bounds = encoder.encode(data, offs)
+                writer = writer or ShardWriter(folder, encoder.dtype.itemsize)
+                b = bounds.tolist()
+                for k, doc_id in enumerate(rows.column(0).to_pylist()):
+                    writer.add(key_of(doc_id), ids[b[k] : b[k + 1]])
+            done = writer and writer.close()
+        finally:
+            if writer and not done:
+                writer.abandon()
+        if done:
+            yield pa.RecordBatch.from_pylist([done], schema=pa.schema([("path", pa.string()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+
+    return storage.table(dealt.sortWithinPartitions(*by).mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -365,7 +385,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     start counts the ids of all documents before; it needs the totals of the shards alone (one manifest row each).
     """
-    before = Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("first_key", "last_key", "path").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     n = max(1, manifest.count())
 
