@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import types as T
 
-from trackspark.llm.source_mix import SQL, mix_sources
+from trackspark.llm.source_mix import SQL, mix_sources, mixed_rows
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("rate", T.StringType())])
 
@@ -78,3 +78,43 @@ def test_first_rows_of_a_size_are_by_md5(spark):
     ranked = sorted(got, key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest())
     copies = [r.copies for r in ranked]
     assert copies == sorted(copies, reverse=True) and max(copies) - min(copies) <= 1
+
+
+def test_rates_are_tilted_by_length_and_meet_both_constraints(spark):
+    got = mix_sources(spark.createDataFrame(rows(), SCHEMA)).collect()
+    total = sum(r.size for r in got)
+    mean = sum(r.size * math.log1p(r.size) for r in got) / total
+    by = collections.defaultdict(float)
+    for r in got:
+        by[r.source] += r.size * r.rate
+        assert 0 <= r.rate <= 2
+    assert all(abs(by[r.source] - r.target) <= 1e-6 * r.target + 1e-3 for r in got)
+    # the mean logarithmic length: held softly, and closer than with one rate a source
+    tilted = sum(r.size * r.rate * (math.log1p(r.size) - mean) for r in got)
+    flat = sum(r.size * r.target / max(1, r.source_size) * (math.log1p(r.size) - mean) for r in got)
+    assert abs(tilted) < 0.7 * abs(flat)
+    free = {s for s in by if any(r.source == s and r.target < 2 * r.source_size and 0 < r.rate < 2 for r in got)}
+    slopes = set()
+    for s in free:
+        pairs = sorted({(r.size, r.rate) for r in got if r.source == s and 0 < r.rate < 2})
+        if len(pairs) > 1:
+            (x, p), (y, q) = pairs[0], pairs[-1]
+            slopes.add(round((math.log(q / (2 - q)) - math.log(p / (2 - p))) / (math.log1p(y) - math.log1p(x)), 2))
+    assert len(slopes) == 1  # one multiplier of length, shared by all sources
+
+
+def test_repeated_identifiers_agree_in_any_order(spark):
+    data = [(1, f"w{k} " * 5, "a", None) for k in range(9)] + [(None, f"v{k} " * 5, "a", None) for k in range(9)] + [(2, "z " * 40, "b", None)]
+    first = None
+    for n in (1, 3, 5):
+        df = spark.createDataFrame(data[::-1] if n == 3 else data, SCHEMA).repartition(n)
+        got = sorted(map(str, mixed_rows(df).collect()))
+        first = first or got
+        assert got == first
+
+
+def test_rows_keep_every_column(spark):
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("text", "size", "rate", "copies", "_key", "a.b", "source")] + [T.StructField("doc_id", T.LongType())])
+    df = spark.createDataFrame([("w " * k, "1", "2", "3", "4", "5", "s", k) for k in range(1, 30)] + [(None,) * 8], schema)
+    out = mixed_rows(df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in df.collect()} and out.count() > 20
