@@ -1,20 +1,20 @@
 """The corpus pipeline: quality classifier, n-gram Jaccard join, benchmark decontamination, source mixing, token shards.
 
 Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs. All but the
-last return the columns of `documents`.
+last return the columns of `documents`, and any others that docs have, as they are. Each stage handles nulls in any column, empty and very
+long texts, ties, repeated rows, empty tables and clashing names as its operator's docstring says.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trackspark.llm import storage
 from trackspark.llm.decontaminate import decontaminate
 from trackspark.llm.importance_resample import resample
 from trackspark.llm.jaccard_join import one_of_each
 from trackspark.llm.queries import public_tokenizer
-from trackspark.llm.source_mix import mix_sources
+from trackspark.llm.source_mix import mixed_rows
 from trackspark.llm.token_shards import read_shards, write_shards
 
 #: The join of this stage takes word shingles of this many words, and links from this similarity in percent.
@@ -38,8 +38,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix of sources takes it: rows are repeated or go."""
-    mixed = mix_sources(docs, keep=["text", "lang", "n_chars"])
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixed_rows(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
