@@ -96,11 +96,11 @@ def test_rates_are_tilted_by_length_and_meet_both_constraints(spark):
     free = {s for s in by if any(r.source == s and r.target < 2 * r.source_size and 0 < r.rate < 2 for r in got)}
     slopes = set()
     for s in free:
-        pairs = sorted({(r.size, r.rate) for r in got if r.source == s and 0 < r.rate < 2})
+        pairs = sorted({(r.size, r.rate) for r in got if r.source == s and 0.01 < r.rate < 1.99})  # others lose digits to rounding
         if len(pairs) > 1:
             (x, p), (y, q) = pairs[0], pairs[-1]
-            slopes.add(round((math.log(q / (2 - q)) - math.log(p / (2 - p))) / (math.log1p(y) - math.log1p(x)), 2))
-    assert len(slopes) == 1  # one multiplier of length, shared by all sources
+            slopes.add(round((math.log(q / (2 - q)) - math.log(p / (2 - p))) / (math.log1p(y) - math.log1p(x)), 3))
+    assert max(slopes) - min(slopes) < 0.01 and len(free) > 2  # one multiplier of length, shared by all sources
 
 
 def test_repeated_identifiers_agree_in_any_order(spark):
