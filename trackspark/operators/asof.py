@@ -1,4 +1,4 @@
-"""As-of lookups in both directions with tolerances: one sort by key, no range join."""
+"""As-of lookups in both directions with tolerances: one shuffle by key and a sort each way, no range join."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ def neighbours(rows: DataFrame, probes: DataFrame, key: str, t: str, eps: float
     """Probes (key, t, and the columns of `extra`) with `lo`, the last row at or before t + eps, and `hi`, the first after it.
 
     lo and hi are structs of the rows' columns. Rows and probes of a key are merged in one window; a row that ties with a probe
-    comes first. Rows without a time are ignored; a probe without one keeps null neighbours.
+    comes first. Rows without a time are ignored; a probe without one keeps null neighbours. Both frames start at the window's
+    beginning, the second one's in descending order, so they grow row by row and cost is linear in a key's rows.
     """
     extra = extra or []
     row = F.struct(t, *(c for c in rows.columns if c not in (key, t)))
@@ -20,7 +21,8 @@ def neighbours(rows: DataFrame, probes: DataFrame, key: str, t: str, eps: float
     b = probes.select(key, (F.col(t) + eps).alias("_at"), F.lit(1).alias("_side"), F.col(t).cast("double").alias("_t"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), *extra)
     order = Window.partitionBy(key).orderBy("_at", "_side")
     lo = F.last("_row", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first("_row", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(key).orderBy(F.desc("_at"), F.desc("_side"))
+    hi = F.last("_row", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     return a.unionByName(b).select(key, "_side", F.col("_t").alias(t), lo.alias("lo"), hi.alias("hi"), *extra).where("_side = 1").drop("_side")
 
 

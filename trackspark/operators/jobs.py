@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
+
 ACTIVE = ("queued", "processing")
 
 
@@ -110,13 +112,10 @@ def newest(rows: DataFrame, by: str, tie: str, k: int) -> DataFrame:
 
 def throttle(events: DataFrame, keys: list[str], least: float = 0.25) -> DataFrame:
     """Events (t, stage, fraction) that are told: a new stage, the end, or enough time since the last one told."""
-    items = F.array_sort(F.collect_list(F.struct("t", "stage", "fraction")))
-    kind = "array<struct<t:double,stage:string,fraction:double>>"
-    start_ = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("string").alias("stage"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, e: Column) -> Column:
-        told = acc["t"].isNull() | ~e["stage"].eqNullSafe(acc["stage"]) | (e["t"] - acc["t"] >= least) | (e["fraction"] >= 1)
-        return F.struct(F.when(told, e["t"]).otherwise(acc["t"]).alias("t"), F.when(told, e["stage"]).otherwise(acc["stage"]).alias("stage"), F.when(told, F.concat(acc["out"], F.array(e))).otherwise(acc["out"]).alias("out"))
+    def step(told: tuple | None, e: tuple) -> tuple[tuple | None, tuple | None]:
+        tell = told is None or told[1] != e[1] or e[0] - told[0] >= least or (e[2] is not None and e[2] >= 1)
+        return (e, e) if tell else (told, None)
 
-    g = events.groupBy(*keys).agg(items.alias("_i")).select(*keys, F.explode(F.aggregate("_i", start_, step, lambda a: a["out"])).alias("_o"))
-    return g.select(*keys, "_o.*")
+    cols = ["t", "stage", "fraction"]
+    return fold_sorted(events.withColumns({c: F.col(c).cast("double") for c in ("t", "fraction")}), keys, cols, lambda: None, step, cols, "t double, stage string, fraction double")

@@ -2,40 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pairs_within(points: DataFrame, radius: float, keys: list[str], cols: list[str]) -> DataFrame:
-    """Every point joined with all within `radius` of it (itself included): the point's cols, and the other's as other_<col>.
+def grid_join(a: DataFrame, b: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+    """Rows of a (with x, y) joined with those of b (with _x, _y) of equal keys within `radius`, and their distance _d.
 
-    Cells are as wide as the radius, so a point's partners lie in its own cell and the eight around it; one side is copied nine
+    Cells are as wide as the radius, so partners lie in a point's own cell and the eight around it; b is copied nine
     times and the join is an equality.
     """
     cell = lambda c: F.floor(F.col(c) / radius).cast("bigint")
-    a = points.select(*keys, *cols, "x", "y", cell("x").alias("_i"), cell("y").alias("_j"))
     near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    b = points.select(*keys, *(F.col(c).alias(f"other_{c}") for c in cols), F.col("x").alias("_x"), F.col("y").alias("_y"), cell("x").alias("_ci"), cell("y").alias("_cj"), near.alias("_n"))
-    b = b.select(*keys, *(f"other_{c}" for c in cols), "_x", "_y", (F.col("_ci") + F.col("_n.i")).alias("_i"), (F.col("_cj") + F.col("_n.j")).alias("_j"))
-    d = F.pow(F.col("x") - F.col("_x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("_y"), F.lit(2.0))
-    return a.join(b, [*keys, "_i", "_j"]).where(d <= radius * radius).drop("_i", "_j", "_x", "_y")
+    left = a.withColumns({"_i": cell("x"), "_j": cell("y")})
+    right = b.withColumns({"_ci": cell("_x"), "_cj": cell("_y"), "_n": near}).withColumns({"_i": F.col("_ci") + F.col("_n.i"), "_j": F.col("_cj") + F.col("_n.j")}).drop("_ci", "_cj", "_n")
+    d = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
+    return left.join(right, [*keys, "_i", "_j"]).withColumn("_d", d).where(F.col("_d") <= radius).drop("_i", "_j", "_x", "_y")
+
+
+def pairs_within(points: DataFrame, radius: float, keys: list[str], cols: list[str]) -> DataFrame:
+    """Every point joined with all within `radius` of it (itself included): the point's cols, and the other's as other_<col>."""
+    other = points.select(*keys, *(F.col(c).alias(f"other_{c}") for c in cols), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    return grid_join(points.select(*keys, *cols, "x", "y"), other, radius, keys).drop("_d")
 
 
 def static_points(points: DataFrame, radius: float, keys: list[str], ident: str, frame: str = "frame", min_frames: int = 4, min_span: int = 12, min_visits: int = 3, gap: int = 2) -> DataFrame:
-    """key, ident, frames, span, visits of points that something keeps coming back to: false detections that do not move."""
-    p = pairs_within(points, radius, keys, [ident, frame]).select(*keys, ident, F.col(f"other_{frame}").alias("_f"))
-    g = p.groupBy(*keys, ident).agg(F.array_sort(F.collect_set("_f")).alias("_fs"))
-    back = F.size(F.filter(F.zip_with(F.slice("_fs", 2, 1_000_000), F.slice("_fs", 1, F.greatest(F.lit(0), F.size("_fs") - 1)), lambda b, a: b - a), lambda d: d > gap))
-    g = g.select(*keys, ident, F.size("_fs").alias("frames"), (F.element_at("_fs", -1) - F.col("_fs")[0]).alias("span"), (back + 1).alias("visits"))
-    return g.where((F.col("frames") >= min_frames) & (F.col("span") >= min_span) & (F.col("visits") >= min_visits))
+    """key, ident, frames, span, visits of points that something keeps coming back to: false detections that do not move.
+
+    Places are joined, not points: whatever stands at one place in many frames is one row of it.
+    """
+    places = points.groupBy(*keys, "x", "y").agg(F.collect_set(frame).alias("_fs"))
+    near = pairs_within(places, radius, keys, ["_fs"]).groupBy(*keys, "x", "y").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("other__fs")))).alias("_fs"))
+    n = F.size("_fs")
+    steps = F.zip_with(F.slice("_fs", 2, F.greatest(F.lit(1), n)), F.slice("_fs", 1, F.greatest(F.lit(0), n - 1)), lambda b, a: b - a)
+    back = F.size(F.filter(steps, lambda d: d > gap))
+    g = near.select(*keys, "x", "y", n.alias("frames"), (F.element_at("_fs", -1) - F.col("_fs")[0]).alias("span"), (back + 1).alias("visits"))
+    g = g.where((F.col("frames") >= min_frames) & (F.col("span") >= min_span) & (F.col("visits") >= min_visits))
+    return points.select(*keys, ident, "x", "y").join(g, [*keys, "x", "y"]).drop("x", "y")
 
 
 def nearest_within(points: DataFrame, candidates: DataFrame, radius: float, keys: list[str], ident: str, cand: str) -> DataFrame:
     """points with the nearest candidate of their keys within radius as near_<col>, null without; the earlier of equals."""
     cols = [c for c in candidates.columns if c not in keys]
-    c = candidates.select(*keys, *(F.col(x).alias(f"near_{x}") for x in cols))
-    d = F.hypot(F.col("x") - F.col("near_x"), F.col("y") - F.col("near_y"))
-    j = points.select(*keys, ident, "x", "y").join(c, keys).withColumn("near_dist", d).where(F.col("near_dist") <= radius)
-    w = Window.partitionBy(*keys, ident).orderBy("near_dist", f"near_{cand}")
-    best = j.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "x", "y")
-    return points.join(best, [*keys, ident], "left")
+    c = candidates.select(*keys, *(F.col(x).alias(f"near_{x}") for x in cols), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    names = [f"near_{x}" for x in cols]
+    best = grid_join(points.select(*keys, ident, "x", "y"), c, radius, keys).groupBy(*keys, ident).agg(F.min_by(F.struct("_d", *names), F.struct("_d", f"near_{cand}")).alias("_b"))
+    return points.join(best.select(*keys, ident, *(F.col(f"_b.{n}").alias(n) for n in names), F.col("_b._d").alias("near_dist")), [*keys, ident], "left")

@@ -2,41 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BLACK, MAGENTA, WHITE
 from ..functions.geometry import LUMINANCE, best_candidate, contrast, luminance, segment_distance, srgb_to_linear
+from .folds import fold_sorted
 
 SWITCH_RATIO, SWITCH_FRAMES = 1.15, 3
-
-
-def _step(acc: Column, e: Column) -> Column:
-    best = best_candidate(e["lum"])
-    cand, new = best["colour"], best["contrast"]
-    held = contrast(F.when(acc["current"] == BLACK, LUMINANCE[BLACK]).when(acc["current"] == MAGENTA, LUMINANCE[MAGENTA]).otherwise(LUMINANCE[WHITE]), e["lum"])
-    better = (cand != acc["current"]) & (new >= SWITCH_RATIO * held)
-    count = F.when(better, F.when(cand == acc["pending"], acc["count"] + 1).otherwise(1)).otherwise(0)
-    switch = count >= SWITCH_FRAMES
-    none = F.lit(None).cast("string")
-    missing, first = e["lum"].isNull(), acc["current"].isNull()
-    current = F.when(missing, acc["current"]).when(first | switch, cand).otherwise(acc["current"])
-    pending = F.when(missing, acc["pending"]).when(better & ~switch & ~first, cand).otherwise(none)
-    kept = F.when(missing, acc["count"]).when(first | switch, 0).otherwise(count)
-    out = F.concat(acc["out"], F.array(F.struct(e["frame"].alias("frame"), F.coalesce(current, F.lit(WHITE)).alias("ring"))))
-    return F.struct(current.alias("current"), pending.alias("pending"), kept.cast("int").alias("count"), out.alias("out"))
+COLOURS = (BLACK, WHITE, MAGENTA)
 
 
 def choose(rows: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
     """keys, frame, ring from lum (null: unknown): a colour changes after 3 rows in a row whose best one has 1.15 times its contrast.
 
-    keys name one span without breaks; a span is one fold over its sorted rows.
+    keys name one span without breaks. What each row's best colour is, and how it stands against every colour, are native
+    expressions; only who holds the ring is carried from row to row.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(frame).alias("frame"), "lum")))
-    g = rows.groupBy(*keys).agg(items.alias("_i"))
-    none = F.lit(None).cast("string")
-    start = F.struct(none.alias("current"), none.alias("pending"), F.lit(0).alias("count"), F.array().cast(f"array<struct<frame:{rows.schema[frame].dataType.simpleString()},ring:string>>").alias("out"))
-    return g.select(*keys, F.explode(F.aggregate("_i", start, _step, lambda acc: acc["out"])).alias("_o")).select(*keys, F.col("_o.frame").alias(frame), F.col("_o.ring").alias("ring"))
+    best = best_candidate(F.col("lum"))
+    held = [contrast(F.lit(LUMINANCE[c]), F.col("lum")).alias(f"_c{k}") for k, c in enumerate(COLOURS)]
+    seen = rows.select(*keys, frame, F.when(F.col("lum").isNotNull(), best["colour"]).alias("_best"), best["contrast"].alias("_new"), *held)
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        current, pending, count = state
+        at, colour, new, *against = row
+        if colour is None:  # nothing known: all stays
+            pass
+        elif current is None:
+            current, pending, count = colour, None, 0
+        elif colour != current and new >= SWITCH_RATIO * against[COLOURS.index(current)]:
+            count = count + 1 if colour == pending else 1
+            pending = colour
+            if count >= SWITCH_FRAMES:
+                current, pending, count = colour, None, 0
+        else:
+            pending, count = None, 0
+        return (current, pending, count), (at, current or WHITE)
+
+    kind = rows.schema[frame].dataType.simpleString()
+    return fold_sorted(seen, keys, [frame], lambda: (None, None, 0), step, [frame, "_best", "_new", *(f"_c{k}" for k in range(len(COLOURS)))], f"{frame} {kind}, ring string")
 
 
 def background_luminance(pixels: DataFrame, keys: list[str], inner: float = 1.3, outer: float = 2.5, least: int = 4) -> DataFrame:

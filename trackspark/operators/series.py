@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.geometry import wrap_angle
@@ -98,12 +98,17 @@ def dense(points: DataFrame, keys: list[str], values: list[str], frame: str = "f
     return grid.join(points.select(*keys, frame, *values), [*keys, frame], "left")
 
 
+def _back(keys: list[str], frame: str) -> WindowSpec:
+    """This row and all after it, as a window that grows row by row (from the last row on)."""
+    return Window.partitionBy(*keys).orderBy(F.desc(frame)).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def fill_linear(grid: DataFrame, keys: list[str], value: str, out: str, frame: str = "frame") -> DataFrame:
     """Null values between known ones by linear interpolation, beyond them by the nearest."""
     w = _w(keys, frame)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(frame).alias("f"), F.col(value).alias("v")))
     lo = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    hi = F.last(known, ignorenulls=True).over(_back(keys, frame))
     g = grid.withColumns({"_lo": lo, "_hi": hi})
     x = F.col("_lo.v") + (F.col("_hi.v") - F.col("_lo.v")) * (F.col(frame) - F.col("_lo.f")) / (F.col("_hi.f") - F.col("_lo.f"))
     return g.withColumn(out, F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("_lo").isNull(), F.col("_hi.v")).when(F.col("_hi").isNull(), F.col("_lo.v")).otherwise(x)).drop("_lo", "_hi")
@@ -174,7 +179,7 @@ def detected_neighbours(points: DataFrame, keys: list[str], detected: str, frame
     """points with prev_dist and next_dist, the frames to the nearest detected ones, and decay by the nearer."""
     w = _w(keys, frame)
     at = F.when(F.col(detected), F.col(frame))
-    p = points.withColumns({"prev_dist": F.col(frame) - F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "next_dist": F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col(frame)})
+    p = points.withColumns({"prev_dist": F.col(frame) - F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "next_dist": F.last(at, ignorenulls=True).over(_back(keys, frame)) - F.col(frame)})
     gap = F.col("prev_dist") + F.col("next_dist") - 1
     return p.withColumn("decay", F.pow(F.when(gap <= 4, 0.93).otherwise(0.85), F.least("prev_dist", "next_dist").cast("double")))
 
