@@ -68,6 +68,7 @@ def gaps(pieces: DataFrame, points: DataFrame, keys: list[str], p: TrackParams,
     mid = (F.col("a1") + F.col("b0")) / 2
     line = lambda P, v, f0: (F.col(f0), F.col(f"{P}.x"), F.col(f"{P}.y"), F.col(f"{v}x"), F.col(f"{v}y"))
     g = g.withColumn("tk", kink_time(line("pa", "va", "a1"), line("pb", "vb", "b0"), mid))
+    g = table(g, "gaps")  # what is decided so far is written, so that no expression below repeats it
     on = lambda P, v, f0, t, c: F.col(f"{P}.{c}") + F.col(f"{v}{c}") * (t - F.col(f0))
     apart = lambda t: F.hypot(on("pa", "va", "a1", t, "x") - on("pb", "vb", "b0", t, "x"), on("pa", "va", "a1", t, "y") - on("pb", "vb", "b0", t, "y"))
     cos = (F.col("vax") * F.col("vbx") + F.col("vay") * F.col("vby")) / F.greatest(F.lit(1e-9), va * vb)
@@ -83,7 +84,7 @@ def gaps(pieces: DataFrame, points: DataFrame, keys: list[str], p: TrackParams,
     ahead = F.hypot(follow("a", "pa", "va", "a1", F.col("b0"), "x") - F.col("pb.x"), follow("a", "pa", "va", "a1", F.col("b0"), "y") - F.col("pb.y"))
     meets = (F.col("gap") <= 6) & (F.col("tk") > F.col("a1")) & (F.col("tk") < F.col("b0")) & (apart(F.col("tk")) <= 0.008 * width + 0.1 * F.col("pace") * F.col("gap"))
     mode = F.when(F.col("gap") <= 2, "linear").when((cos > math.cos(math.radians(20))) & (apart(mid) <= F.col("tol")), "hermite").when(meets, "kink").when(back <= F.col("tol"), "right").when(ahead <= F.col("tol"), "left")
-    g = g.withColumn("mode", mode).where("mode IS NOT NULL")
+    g = table(g.withColumn("mode", mode).where("mode IS NOT NULL"), "gaps")
     g = g.withColumn("kinds", kink_class(F.col("vax"), F.col("vay"), F.col("vbx"), F.col("vby"), fps, height))
     g = g.withColumn("frame", F.explode(F.sequence(F.col("a1") + 1, F.col("b0") - 1)))
     f, u = F.col("frame"), (F.col("frame") - F.col("a1")) / (F.col("b0") - F.col("a1"))

@@ -6,7 +6,9 @@ every look-back (see split_spans), which changes nothing and bounds the groups.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -92,6 +94,12 @@ def _fit(frames: np.ndarray, xy: np.ndarray, degree: int = 2) -> np.ndarray:
     return np.vstack([c, np.zeros((2 - degree, 2))])
 
 
+@lru_cache(maxsize=65536)
+def _weights(t: tuple[int, ...]) -> np.ndarray:
+    """The weights with which values at times t give the value at 0 of their line, or from four on of their quadratic, by least squares."""
+    return np.linalg.pinv(np.vander(np.array(t, float), 2 if len(t) < 4 else 3, increasing=True))[0]
+
+
 def _residuals(c: np.ndarray, frames: np.ndarray, xy: np.ndarray) -> np.ndarray:
     t = (frames - frames[0]).astype(float)
     return np.hypot(*(np.vander(t, 3, increasing=True) @ c - xy).T)
@@ -107,10 +115,10 @@ def inliers(frames: np.ndarray, xy: np.ndarray, scores: np.ndarray, width: float
     reach = p.max_speed * width * 25.0 / fps
 
     def from_side(i: int, side: list[int]) -> float:
-        t = (frames[side] - frames[i]).astype(float)
-        c = np.linalg.lstsq(np.vander(t, 2 if len(side) < 4 else 3, increasing=True), xy[side], rcond=None)[0]
+        t = frames[side] - frames[i]
+        at = _weights(tuple(t.tolist())) @ xy[side]
         pace = np.hypot(*(xy[side[-1]] - xy[side[0]])) / max(1, frames[side[-1]] - frames[side[0]])
-        return float(np.hypot(*(c[0] - xy[i]))) / ((0.008 * width + 0.35 * pace * min(abs(t[0]), abs(t[-1]))) * (1 + 0.6 * scores[i]))
+        return float(np.hypot(*(at - xy[i]))) / ((0.008 * width + 0.35 * pace * min(abs(t[0]), abs(t[-1]))) * (1 + 0.6 * scores[i]))
 
     def judge(at: int) -> float:
         i = live[at]
@@ -125,12 +133,14 @@ def inliers(frames: np.ndarray, xy: np.ndarray, scores: np.ndarray, width: float
                     return 0.9
         return best
 
+    errors = [judge(k) for k in range(len(live))]
     while live:
-        errors = [judge(k) for k in range(len(live))]
         worst = int(np.argmax(errors))
         if errors[worst] <= 1:
             break
-        del live[worst]
+        del live[worst], errors[worst]
+        for k in range(max(0, worst - 4), min(len(live), worst + 4)):  # nobody looks further than four
+            errors[k] = judge(k)
     keep = np.zeros(len(frames), bool)
     keep[live] = True
     return keep
@@ -212,19 +222,27 @@ def fit_pieces(candidates: DataFrame, keys: list[str], width: float, fps: float,
     spans = split_spans(candidates.where(F.col("score") >= p.min_score).select(*keys, "frame", "cand_idx", "x", "y", "score"), keys, p)
     names = [c.split()[0] for c in PIECE.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "cand_idx"], kind="stable")
-        by_frame = {int(f): (g[["x", "y"]].to_numpy(float), g["score"].to_numpy(float)) for f, g in pdf.groupby("frame", sort=True)}
-        rows, out = pieces_of(by_frame, width, fps, p)
-        got = pd.DataFrame([r | {"outliers": out if k == 0 else 0} for k, r in enumerate(rows)], columns=names)
-        head = pdf[[*keys, "span"]].iloc[0]
-        for k, c in enumerate([*keys, "span"]):
-            got.insert(k, c, head[c])
-        return got
-
     group = [*keys, "span"]
-    head = ", ".join(f"{c} {spans.schema[c].dataType.simpleString()}" for c in group)
-    return spans.groupBy(*group).applyInPandas(run, f"{head}, {PIECE}")
 
+    def pieces(pdf: pd.DataFrame, a: int, b: int) -> list[tuple]:
+        """The pieces of one span, rows a to b in order of frames."""
+        frames, xy, scores = pdf["frame"].to_numpy()[a:b], pdf[["x", "y"]].to_numpy(float)[a:b], pdf["score"].to_numpy(float)[a:b]
+        at = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1], True]).tolist()
+        by_frame = {int(frames[i]): (xy[i:j], scores[i:j]) for i, j in zip(at, at[1:], strict=False)}
+        rows, out = pieces_of(by_frame, width, fps, p)
+        head = tuple(pdf[c].iloc[a] for c in group)
+        return [(*head, *(r | {"outliers": out if k == 0 else 0}).values()) for k, r in enumerate(rows)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # a span may go on in the next batch
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            new = np.flatnonzero(np.r_[True, np.logical_or.reduce([pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1] for c in group])]).tolist() if len(pdf) else [0]
+            rest = pdf.iloc[new[-1] :].reset_index(drop=True)
+            yield pd.DataFrame([r for a, b in zip(new, new[1:], strict=False) for r in pieces(pdf, a, b)], columns=[*group, *names])
+        if rest is not None and len(rest):
+            yield pd.DataFrame(pieces(rest, 0, len(rest)), columns=[*group, *names])
 
-__all__ = ["Chain", "fit_pieces", "inliers", "link", "pieces_of", "segment", "select", "split_spans"]
+    head = ", ".join(f"{c} {spans.schema[c].dataType.simpleString()}" for c in group)
+    ordered = spans.repartition(*keys).sortWithinPartitions(*group, "frame", "cand_idx")
+    return ordered.mapInPandas(run, f"{head}, {PIECE}")
