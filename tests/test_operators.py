@@ -158,12 +158,55 @@ def test_pixels(spark):
     assert abs(m.r - 5) < 1.2 and abs(m.x - 30.5) < 0.6 and m.sl < 1
     u = np.clip((xx - 30) * np.cos(0.6) + (yy - 20) * np.sin(0.6), -8, 8)
     pill = 60.0 * (np.hypot(xx - 30 - u * np.cos(0.6), yy - 20 - u * np.sin(0.6)) <= 3)
-    got = pixels.ball(pill, 30.5, 20.5, 1920.0)
-    assert abs(got["angle"] - 0.6) < 0.1 and abs(got["sl"] - 8) < 2 and abs(got["r"] - 3) < 1.2
-    assert pixels.ball(np.zeros((40, 60)), 30.0, 20.0, 1920.0) is None
-    found = pixels.lost_ball(disc, disc, 33.0, 22.0, 12.0, 5.0, 4.0)
-    assert np.hypot(found[0] - 30.5, found[1] - 20.5) < 1 and 0 < found[2] <= 1
-    assert pixels.lost_ball(disc, -disc, 33.0, 22.0, 12.0, 5.0, 4.0) is None
+    crop = "video_id string, h int, w int, values array<double>, cx double, cy double"
+    rows = [(name, 40, 60, image.ravel().tolist(), 30.5, 20.5) for name, image in (("pill", pill), ("none", np.zeros((40, 60))), ("far", np.roll(disc, 20, 1)), ("border", 60.0 * (np.hypot(xx - 30, yy + 1) <= 5)))]
+    got = {r.video_id: r for r in pixels.measure(spark.createDataFrame(rows, crop), ["video_id"], 1920.0).collect()}
+    assert set(got) == {"pill"}
+    got = got["pill"]
+    assert abs(got.angle - 0.6) < 0.1 and abs(got.sl - 8) < 2 and abs(got.r - 3) < 1.2 and got.elong > 2 and 0 < got.weight <= 1
+    crop = "video_id string, h int, w int, values array<double>, light array<double>, px double, py double, radius double, expected double, speed double"
+    flat = lambda a: a.ravel().tolist()
+    pair = disc + 60.0 * (np.hypot(xx - 45, yy - 20) <= 5)
+    rows = [("disc", 40, 60, flat(disc), flat(disc), 33.0, 22.0, 12.0, 5.0, 4.0), ("dark", 40, 60, flat(disc), flat(-disc), 33.0, 22.0, 12.0, 5.0, 4.0), ("pair", 40, 60, flat(pair), flat(pair), 33.0, 22.0, 12.0, 5.0, 4.0), ("far", 40, 60, flat(disc), flat(disc), 50.0, 22.0, 12.0, 5.0, 4.0)]
+    found = {r.video_id: r for r in pixels.lost_balls(spark.createDataFrame(rows, crop), ["video_id"]).collect()}
+    assert set(found) == {"disc"}  # darker, not alone, or too far are none
+    assert np.hypot(found["disc"].x - 30.5, found["disc"].y - 20.5) < 1 and 0 < found["disc"].score <= 1
+
+
+def test_retrack_fills_what_a_search_finds(spark):
+    from trackspark.operators import recover
+
+    frames = [f for f in range(40) if not 15 <= f < 25]
+    at = lambda f: (200.0 + 12 * f, 500.0 - 3 * f)
+    c = spark.createDataFrame([("v", f, 0, *at(f), 0.95) for f in frames], "video_id string, frame int, cand_idx int, x double, y double, score double")
+    cuts, n = spark.createDataFrame([], "video_id string, frame int"), spark.createDataFrame([("v", 40)], "video_id string, n_frames int")
+    seen = []
+
+    def search_(plan):
+        seen.extend(r.frame for r in plan.collect())
+        x, y = 200.0 + 12 * F.col("frame"), 500.0 - 3 * F.col("frame")
+        return plan.select("video_id", "frame", x.alias("x"), y.alias("y"), F.when(F.col("frame") == 20, 0.1).otherwise(0.8).alias("score"))
+
+    before = {r.frame for r in recover.track(c, cuts, 1920.0, 1080.0, 25.0).where("detected").collect()}
+    got = {r.frame: r for r in recover.retrack(c, cuts, n, search_, 1920.0, 1080.0, 25.0).collect()}
+    assert set(range(15, 25)) <= set(seen) and not before & set(range(15, 25))
+    assert set(got) == set(range(40)) and {f for f in got if got[f].detected} == set(range(40)) - {20}
+    assert max(np.hypot(got[f].x - at(f)[0], got[f].y - at(f)[1]) for f in got) < 2
+
+
+def test_one_long_key_is_linear(spark):
+    import time
+
+    n = 100_000
+    rows = spark.range(n).select(F.lit("k").alias("video_id"), (F.col("id") * 1.0).alias("t"), F.when(F.col("id") % 3 == 0, F.col("id") * 2.0).alias("x"), F.col("id").cast("int").alias("frame"), (F.col("id") % 7 / 7.0).alias("lum"))
+    from trackspark.operators import series
+
+    now = time.time()
+    d = asof.neighbours(rows.select("video_id", "t", "x"), rows.select("video_id", (F.col("t") + 0.5).alias("t")), "video_id", "t")
+    assert d.where("lo.t = t - 0.5 AND (hi.t = t + 0.5 OR hi IS NULL)").count() == n
+    assert series.fill_linear(rows, ["video_id"], "x", "y").where("abs(y - id2) < 1e-6 OR frame > 99998".replace("id2", "frame * 2.0")).count() == n
+    assert ring.choose(rows, ["video_id"]).count() == n
+    assert time.time() - now < 60
 
 
 def test_depth_model_and_radii(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, geometry, ids, settings
-from ..operators import asof, gapfill, intervals, jobs, merge, near, ring, search, series, stats, validate
+from ..operators import asof, gapfill, intervals, jobs, merge, near, recover, ring, search, series, stats, validate
 from . import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -532,3 +532,48 @@ SELECT e.user_id, e.k, e.t, e.stage, CASE WHEN e.stage <> ls OR e.t - lt >= 4000
 def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.read(spark, sf_dir, "events").select("user_id", (A.micros("ts") / 1e6).alias("t"), F.col("event_type").alias("stage"), (F.col("value") / 150).alias("fraction"))
     return jobs.throttle(e, ["user_id"], 40000.0).select("user_id", "t", "stage")
+
+
+# ---------------------------------------------------------------- recovery
+
+
+@query(f"""WITH {A.ROWS}, f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS frame FROM rows_), g AS (SELECT video_id, frame, frame // 30 AS shot_id, x * 100 AS x, y * 100 AS y, conf * 50 AS tone FROM f),
+w AS (SELECT *, unnest([-4, 4, -8, 8, -12, 12]) AS "offset" FROM g WHERE frame % 3 = 0),
+j AS (SELECT w.video_id, w.frame, w.frame + "offset" AS other, "offset", abs(w.tone - o.tone) AS mismatch FROM w JOIN g o ON w.video_id = o.video_id AND o.frame = w.frame + "offset" AND o.shot_id = w.shot_id WHERE sqrt((w.x - o.x) * (w.x - o.x) + (w.y - o.y) * (w.y - o.y)) > 20),
+k AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame ORDER BY mismatch > 12, abs("offset"), mismatch, "offset") AS rank, sum((mismatch <= 12)::INT) OVER (PARTITION BY video_id, frame) AS good FROM j)
+SELECT video_id, frame, other, "offset", round(mismatch, 6) AS mismatch, rank FROM k WHERE CASE WHEN good > 0 THEN mismatch <= 12 AND rank <= 4 ELSE rank <= 3 END""")
+def background_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row of a user seen as a frame whose background is wanted."""
+    n = F.row_number().over(Window.partitionBy("video_id").orderBy("t", "event_id"))
+    g = A.track_rows(spark, sf_dir).select("video_id", n.cast("bigint").alias("frame"), (F.col("x") * 100).alias("x"), (F.col("y") * 100).alias("y"), (F.col("conf") * 50).alias("tone")).withColumn("shot_id", F.floor(F.col("frame") / 30))
+    got = recover.background_frames(g.where("frame % 3 = 0"), g, lambda a, b: F.abs(F.col(f"{a}.tone") - F.col(f"{b}.tone")), 20.0)
+    return _round(got, 6, "mismatch")
+
+
+@query(f"""WITH {A.ROWS}, d AS (SELECT video_id, t + CASE WHEN event_id % 3 = 0 THEN 4e-4::DOUBLE WHEN event_id % 3 = 1 THEN 0 ELSE 0.5::DOUBLE END AS t, x + 0.01::DOUBLE * (event_id % 5) AS x FROM rows_)
+SELECT r.video_id, count(*) AS n, round(avg(abs(r.x - d.x)), 6) AS mean_error, round(max(abs(r.x - d.x)), 6) AS max_error FROM rows_ r JOIN d ON r.video_id = d.video_id AND abs(r.t - d.t) <= 1e-3 GROUP BY r.video_id""")
+def frame_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows paired with drawn ones at about the same time, and how far those lie off."""
+    rows, e = A.track_rows(spark, sf_dir), F.col("event_id")
+    drawn = rows.select("video_id", (F.col("t") + F.when(e % 3 == 0, 4e-4).when(e % 3 == 1, 0.0).otherwise(0.5)).alias("t"), (F.col("x") + 0.01 * (e % 5)).alias("x"))
+    pairs = recover.paired(rows, drawn, ["x"], 1e-3)
+    return _round(recover.errors(pairs, F.abs(F.col("x") - F.col("other_x"))), 6, "mean_error", "max_error")
+
+
+@query(f"""WITH {A.ROWS}, f AS (SELECT video_id, event_id, conf, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) - 1 AS frame FROM rows_)
+SELECT video_id, event_id, frame + 100 AS frame, round(359.5::DOUBLE + frame * 0.04::DOUBLE, 6) AS t FROM f""")
+def source_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("video_id").orderBy("t", "event_id"))
+    f = A.track_rows(spark, sf_dir).select("video_id", "event_id", (n - 1).cast("bigint").alias("frame"))
+    packets = f.select("video_id", "frame", (F.col("frame") * 0.04).alias("pts"))
+    return _round(recover.source_time(f, packets, 359.5, 100).select("video_id", "event_id", "frame", "t"), 6, "t")
+
+
+@query(f"""WITH {A.ROWS}, e AS (SELECT video_id, t AS "at", event_id % 3 <> 0 AS dismissed, event_id FROM rows_), m AS (SELECT max("at") - 86400.0::DOUBLE * 3 AS since FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY "at" DESC, dismissed) AS n FROM e)
+SELECT video_id, "at" FROM k, m WHERE n = 1 AND dismissed AND "at" > since""")
+def dismissals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event dismisses its video, or takes that back; what is older than three days before the last one lapses."""
+    e = A.track_rows(spark, sf_dir).select("video_id", F.col("t").alias("at"), (F.col("event_id") % 3 != 0).alias("dismissed"))
+    now = e.agg(F.max("at")).first()[0]
+    return recover.dismissals(e.select("video_id", "at").limit(0), e, now, 86400.0 * 3)
