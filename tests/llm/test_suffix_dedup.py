@@ -107,3 +107,20 @@ def test_substituted_copies_equal_brute_force(spark):
 
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_long_texts_are_anchored_piece_by_piece(monkeypatch):
+    r = np.random.default_rng(6)
+    data = r.integers(97, 101, 5000, dtype=np.uint8)
+    offs = np.array([0, 1700, 1700, 1750, 5000])
+    want = S.owners(data, offs)
+    monkeypatch.setattr(S, "MOST_AT_ONCE", 700)
+    assert all(np.array_equal(x, y) for x, y in zip(S.owners(data, offs), want, strict=True))
+
+
+def test_strings_that_share_a_digest_are_compared_by_bytes(monkeypatch):
+    monkeypatch.setattr(S, "span_hash", lambda h, a, b: np.zeros(len(a), np.uint64))
+    parts = [bytes([97 + k]) * 200 for k in (0, 1, 2, 1, 3, 2, 2)]
+    got = S.same_strings(np.frombuffer(b"".join(parts), np.uint8), np.arange(7) * 200)
+    assert got.tolist() == [False, True, True, True, False, True, True]
+    assert not S.same_strings(np.frombuffer(parts[0] + parts[1], np.uint8), np.array([0, 200])).any()

@@ -4,21 +4,23 @@ Every string of LENGTH bytes owns an anchor, the gram of least hash in it (the l
 equal anchors at equal places, so only strings whose anchor occurs again can repeat: all others are ruled out before
 any suffix is sorted. The remaining documents are dealt into shards; each sorts its suffixes and finds what repeats
 within it. One string of each kind goes on to meet those of other shards: they are dealt by anchor, and each is
-searched for in the sorted list of the others.
+searched for in the sorted list of the others, and what is found is compared byte by byte.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .textbytes import prefix_hash, runs, span_hash, text_views
+from .textbytes import prefix_hash, runs, same_spans, span_hash, text_views, word_hash
 
 #: Bytes of a string that may not repeat, and of an anchor's gram.
 LENGTH, GRAM = 200, 24
@@ -31,6 +33,10 @@ SEEN = 500_000
 #: Identifiers that are broadcast to fetch texts, at most; beyond, texts are joined by shuffle.
 MOST_IDS = 2_000_000
 _PLACE = np.uint64((1 << 28) - 1)
+#: Bytes whose places fit beside a hash; longer texts are anchored piece by piece.
+MOST_AT_ONCE = int(_PLACE)
+#: Bytes of strings of whole anchors that are compared at once.
+TOGETHER = 1 << 20
 
 
 # ---------------------------------------------------------------- anchors
@@ -39,8 +45,13 @@ _PLACE = np.uint64((1 << 28) - 1)
 def owners(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all strings within documents, the place of each one's anchor, and the hash of the gram at every place."""
     n = len(data)
-    if n > int(_PLACE):
-        raise ValueError("a text may have 2**28 bytes at most")
+    if n > MOST_AT_ONCE:  # a string's anchor depends on its own bytes alone
+        parts, step = [], MOST_AT_ONCE - LENGTH + 1
+        for a in range(0, n - LENGTH + 1, step):
+            piece = data[a : a + MOST_AT_ONCE]
+            s, p, g = owners(piece, np.clip(offs - a, 0, len(piece)))
+            parts.append((s + a, p + a, g if a + step > n - LENGTH else g[:step]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.arange(n - GRAM + 1)
@@ -169,12 +180,17 @@ def digests(data: np.ndarray) -> np.ndarray:
     return span_hash(prefix_hash(data), at, at + LENGTH)
 
 
+def second_digests(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Another hash of the LENGTH bytes from each place, its blocks mixed in one after the other."""
+    return word_hash(data, at, at + LENGTH)
+
+
 # ---------------------------------------------------------------- stages
 
 MEMBERS = "doc_id bigint, n_bytes bigint, t bigint, sha string"
-#: kind 0: `count` strings of text t from `start` are repeated. 1: strings that go on, with their bytes. 2: one that goes on, h being its digest.
-FOUND = "kind int, h bigint, t bigint, start bigint, count bigint, body binary"
-_FOUND = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("count", pa.int64()), ("body", pa.binary())])
+#: kind 0: `count` strings of text t from `start` are repeated. 1: strings that go on, with their bytes. 2: one that goes on, h and g being two digests of it.
+FOUND = "kind int, h bigint, g bigint, t bigint, start bigint, count bigint, body binary"
+_FOUND = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("count", pa.int64()), ("body", pa.binary())])
 
 
 def text_key(raw: bytes) -> int:
@@ -221,10 +237,9 @@ def _anchors(rows: DataFrame) -> DataFrame:
             again = np.diff(np.r_[first, len(h)]) > 1
             yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(keys[doc[first]]), pa.array(again)], names=["h", "t", "again"])
 
-    each = Window.partitionBy("h")
-    found = rows.where("text IS NOT NULL").mapInArrow(run, "h bigint, t bigint, again boolean")
-    found = found.withColumns({"lo": F.min("t").over(each), "hi": F.max("t").over(each), "twice": F.max("again").over(each), "texts": F.count("*").over(each)})
-    return storage.table(found.where("lo <> hi OR twice").select("h", "t", "texts"), "anchors")
+    found = storage.table(rows.where("text IS NOT NULL").mapInArrow(run, "h bigint, t bigint, again boolean"), "found")
+    sums = found.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.max("again").alias("twice"), F.count("*").alias("texts"))
+    return storage.table(found.join(sums.where("lo <> hi OR twice").select("h", "texts"), "h").select("h", "t", "texts"), "anchors")
 
 
 def _candidates(rows: DataFrame, members: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -269,17 +284,19 @@ def _shards(candidates: DataFrame) -> DataFrame:
                 hot = hots[d].values.to_numpy(zero_copy_only=False)[order][k]
                 local = p - o[d]
                 own = slice(int(at[d]), int(at[d]) + len(p))
-                out += [(0, None, t, int(s), int(n), None) for s, n in zip(*runs_of(shared[own]), strict=True)]
+                out += [(0, None, None, t, int(s), int(n), None) for s, n in zip(*runs_of(shared[own]), strict=True)]
                 send = candidate & first[own]
-                dig = digests(data[o[d] : o[d + 1]]) if (send & hot).any() else None
-                for s in np.flatnonzero(send & hot).tolist():
-                    out.append((2, int(dig[s].view(np.int64)), t, s, 1, None))
+                alone = np.flatnonzero(send & hot)
+                if len(alone):
+                    body = data[o[d] : o[d + 1]]
+                    pairs = zip(digests(body)[alone].view(np.int64).tolist(), second_digests(body, alone).view(np.int64).tolist(), alone.tolist(), strict=True)
+                    out += [(2, one, two, t, s, 1, None) for one, two, s in pairs]
                 send &= ~hot
                 # a run of strings of one anchor
                 cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (send[1:] != send[:-1])])
                 for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(p)], strict=True):
                     if send[s]:
-                        out.append((1, int(h[s]), t, int(local[s]), e - s, texts[d][s : e - 1 + LENGTH]))
+                        out.append((1, int(h[s]), None, t, int(local[s]), e - s, texts[d][s : e - 1 + LENGTH]))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
                     out = []
@@ -289,37 +306,74 @@ def _shards(candidates: DataFrame) -> DataFrame:
     return storage.table(candidates.select("t", "text", "hs", "hot").mapInArrow(run, FOUND), "found")
 
 
+def same_strings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the string of LENGTH bytes at each place has the same bytes as that at another.
+
+    Their digests are sorted, and each is searched for in the short list of those that occur twice; strings
+    found so are compared with the first of their digest byte by byte, and those unlike it among themselves.
+    """
+    dig = span_hash(prefix_hash(data), at, at + LENGTH)
+    ordered = np.sort(dig)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    again = np.zeros(len(at), bool)
+    if not len(twice):
+        return again
+    k = np.minimum(np.searchsorted(twice, dig), len(twice) - 1)
+    some = np.flatnonzero(twice[k] == dig)
+    _, first, kind = np.unique(k[some], return_index=True, return_inverse=True)
+    rep = at[some[first[kind]]]
+    same = same_spans(data, at[some], at[some] + LENGTH, rep, rep + LENGTH)
+    again[some] = same & (np.bincount(kind[same], minlength=len(first)) > 1)[kind]
+    if not same.all():
+        places: dict[bytes, list[int]] = {}
+        for i in some[~same].tolist():
+            places.setdefault(data[at[i] : at[i] + LENGTH].tobytes(), []).append(i)
+        for i in itertools.chain.from_iterable(x for x in places.values() if len(x) > 1):
+            again[i] = True
+    return again
+
+
 def _across(found: DataFrame) -> DataFrame:
     """t, start, count of the strings that repeat between shards.
 
-    Strings of one anchor come together in one task as digests, sorted; each is searched for in the list
-    of those that occur twice. Those of hot anchors are
-    dealt by digest instead, with one row for each shard that has the string.
+    Strings of one anchor come together in one task, sorted by anchor; whole anchors of about TOGETHER bytes are
+    compared at once, and an anchor has HOT texts at most. Strings of hot anchors are dealt by two digests instead, with one row for each
+    shard that has the string.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dig, size, t, start = [], [], [], []
-        for b, data, offs in text_views(batches, "body"):
-            n = b.column(3).to_numpy()
-            at = np.arange(n.sum()) + np.repeat(offs[:-1] - (np.cumsum(n) - n), n)
-            dig.append(span_hash(prefix_hash(data), at, at + LENGTH) ^ np.repeat(b.column(0).to_numpy().view(np.uint64), n))
-            size.append(n)
-            t.append(b.column(1).to_numpy())
-            start.append(b.column(2).to_numpy())
-        if not dig:
-            return
-        all_ = np.concatenate(dig)
-        ordered = np.sort(all_)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])  # a short list to search in
-        again = twice[np.minimum(np.searchsorted(twice, all_), len(twice) - 1)] == all_ if len(twice) else np.zeros(len(all_), bool)
-        bounds = np.r_[0, np.cumsum(np.concatenate(size))]
-        a, e = runs(again, bounds)
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.r_[False, h[1:] != h[:-1]]).tolist() if len(h) else []
+            at = 0
+            for end in [*cuts, len(h)]:
+                part = batch.slice(at, end - at)
+                at = end
+                if held and held[-1].column(0)[-1].as_py() != part.column(0)[0].as_py() and size >= TOGETHER:
+                    yield from compare(held)
+                    held, size = [], 0
+                held.append(part)
+                size += pc.sum(pc.binary_length(part.column(4))).as_py() or 0
+        if held:
+            yield from compare(held)
+
+    def compare(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        n, t, start = (rows.column(k).to_numpy() for k in (3, 1, 2))
+        body = [x.as_buffer() for x in rows.column(4).combine_chunks()] if len(n) else []
+        data = np.frombuffer(b"".join(body), np.uint8)
+        offs = np.r_[0, np.cumsum([len(x) for x in body])].astype(np.int64)
+        at = np.arange(n.sum()) + np.repeat(offs[:-1] - (np.cumsum(n) - n), n)
+        bounds = np.r_[0, np.cumsum(n)]
+        a, e = runs(same_strings(data, at), bounds)
         row = np.searchsorted(bounds, a, side="right") - 1
-        cols = (np.concatenate(t)[row], np.concatenate(start)[row] + a - bounds[row], e - a)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["t", "start", "count"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (t[row], start[row] + a - bounds[row], e - a)], names=["t", "start", "count"])
 
-    cold = found.where("kind = 1").select("h", "t", "start", "count", "body").repartition("h").mapInArrow(run, "t bigint, start bigint, count bigint")
-    hot = found.where("kind = 2").withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").select("t", "start", "count")
+    cold = found.where("kind = 1").select("h", "t", "start", "count", "body").repartition("h").sortWithinPartitions("h").mapInArrow(run, "t bigint, start bigint, count bigint")
+    lone = found.where("kind = 2").select("h", "g", "t", "start", "count")
+    hot = lone.join(lone.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), ["h", "g"]).select("t", "start", "count")
     return cold.unionAll(hot)
 
 
@@ -329,7 +383,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte goes if it is covered by a string of LENGTH bytes that also starts anywhere else, in this text or another;
     strings are judged on the input. A null or empty text keeps nothing and loses nothing; rows with equal texts of
     LENGTH bytes or more lose all of it; a null doc_id is a row like any other; an empty table gives no rows; other
-    columns are ignored.
+    columns are ignored; texts of any length (up to Arrow's 2 GB) are handled whole.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = _members(rows)
