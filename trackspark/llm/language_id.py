@@ -175,6 +175,12 @@ def fold() -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learns from the rows outside the fold that have a text and a lang, then answers every row."""
+    """Learns from the rows outside the fold that have a text and a lang, then answers every row.
+
+    A null or empty text, or one without letters, is `und` with score 0; a null doc_id is outside the fold; repeated rows answer alike; an empty
+    table gives no rows; other columns, whatever their names, are ignored; long texts are read whole. Every language is a dense
+    vector of counts (512 KB) on the driver and in each task, so more than ngram_counts.MOST_GROUPS languages raise ValueError
+    rather than lose some.
+    """
     model = train(docs.where(~fold()), F.col("lang"))
     return predict(docs, model, fold())
