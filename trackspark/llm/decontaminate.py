@@ -144,9 +144,10 @@ class Items:
         h = self.walks.hashes(x, start, low, high, self.length[kind])
         return mix(h + (kind[:, None].astype(np.uint64) << np.uint64(40)))
 
-    def _windows(self, x: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, class, start) of the windows worth a walk: diagonals wherever two neighbouring bands hold as many of an item's grams as any passage must."""
-        none = (np.zeros(0, np.int64),) * 3
+    def _windows(self, x: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, start, fullest) of the windows worth a walk: diagonals wherever two neighbouring bands hold as
+        many of an item's grams as any passage must, and whether it is the band's fullest one."""
+        none = (*(np.zeros(0, np.int64),) * 3, np.zeros(0, bool))
         if len(x) < Q or not len(self.codes):
             return none
         code = gram_codes(x)
@@ -160,18 +161,23 @@ class Items:
         item, start, doc = self.item[of], np.repeat(hit, n) - self.place[of], np.repeat(doc, n)
         band = (start + self.longest) // self.band[item]
         width = (len(x) + self.longest) // BAND + 3
-        key, back, count = np.unique((doc * len(self.ids) + item) * width + band, return_inverse=True, return_counts=True)
+        key, back = np.unique((doc * len(self.ids) + item) * width + band, return_inverse=True)
         if not len(key):
             return none
+        # a gram of the item counts once in a band, however often the text repeats it
+        once = np.unique(back * (self.longest + 1) + self.place[of])
+        count = np.bincount(once // (self.longest + 1), minlength=len(key))
         next_ = np.r_[np.where(key[1:] == key[:-1] + 1, count[1:], 0), 0]
         before = np.r_[0, np.where(key[1:] == key[:-1] + 1, count[:-1], 0)]
         good = (count + np.maximum(next_, before) >= self.need[key // width % len(self.ids)])[back]
-        rows = np.unique(np.stack([doc[good], self.kind[item[good]], start[good]]), axis=1)
-        return rows[0], rows[1], rows[2]
-
-    def candidates(self, x: np.ndarray, offs: np.ndarray) -> dict[tuple[int, int], list[int]]:
-        """(document, item) -> starts of the windows that meet the item in a sample at least."""
-        doc, kind, start = self._windows(x, offs)
+        own, n = np.unique(np.stack([back[good], doc[good], item[good], start[good]]), axis=1, return_counts=True)
+        own = own[:, np.lexsort((-n, own[0]))]
+        return own[1], own[2], own[3], np.r_[True, own[0, 1:] != own[0, :-1]][: own.shape[1]]
+
+    def candidates(self, x: np.ndarray, offs: np.ndarray, windows: tuple | None = None) -> dict[tuple[int, int], list[int]]:
+        """(document, item) -> starts of the windows, by default all, that meet the item in a sample at least."""
+        doc, item, start = (windows or self._windows(x, offs))[:3]
+        doc, kind, start = np.unique(np.stack([doc, self.kind[item], start]), axis=1)
         out: dict[tuple[int, int], list[int]] = {}
         for a in range(0, len(doc), WINDOWS):
             d, s = doc[a : a + WINDOWS], start[a : a + WINDOWS]
@@ -186,26 +192,35 @@ class Items:
         return out
 
     def find(self, data: np.ndarray, offs: np.ndarray) -> dict[tuple[int, int], int]:
-        """(document, item) -> edits, for all documents of a slice."""
+        """(document, item) -> edits, for all documents of a slice.
+
+        The fullest diagonal of each band is walked first; the others only for what those did not find.
+        """
         x, at = normalise(data, offs)
         found: dict[tuple[int, int], int] = {}
         raw = x.tobytes()
-        for (doc, item), starts in self.candidates(x, at).items():
+        doc, item, start, fullest = self._windows(x, at)
+        self._verify(self.candidates(x, at, (doc[fullest], item[fullest], start[fullest])), raw, at, found)
+        left = np.fromiter((pair not in found for pair in zip(doc.tolist(), item.tolist(), strict=True)), bool, len(doc)) & ~fullest
+        self._verify(self.candidates(x, at, (doc[left], item[left], start[left])), raw, at, found)
+        for item in self.short:
+            for doc in range(len(at) - 1) if self.texts[item] in raw else ():
+                if stands(self.texts[item], raw[at[doc] : at[doc + 1]]):
+                    found[doc, item] = 0
+        return found
+
+    def _verify(self, met: dict[tuple[int, int], list[int]], raw: bytes, at: np.ndarray, found: dict[tuple[int, int], int]) -> None:
+        for (doc, item), starts in met.items():
             # a passage starts at most its edits away from the diagonals of its grams; near starts are verified together
             most, text = int(self.most[item]), self.texts[item]
             starts.sort()
             cuts = [0, *(i + 1 for i, (p, q) in enumerate(zip(starts, starts[1:], strict=False)) if q - p > len(text)), len(starts)]
-            best = most + 1
+            best = found.get((doc, item), most + 1)
             for i, j in zip(cuts, cuts[1:], strict=False):
                 lo, hi = max(int(at[doc]), starts[i] - most), min(int(at[doc + 1]), starts[j - 1] + len(text) + 2 * most)
                 best = min(best, edit_distance(text, raw[lo:hi], best - 1)) if best else 0
             if best <= most:
                 found[doc, item] = best
-        for item in self.short:
-            for doc in range(len(at) - 1) if self.texts[item] in raw else ():
-                if stands(self.texts[item], raw[at[doc] : at[doc + 1]]):
-                    found[doc, item] = 0
-        return found
 
     def recall(self, seed: int = 0) -> float:
         """The least share, over the classes of lengths, of copies with as many random edits as allowed that meet their item; each stands between other text."""
@@ -226,7 +241,7 @@ class Items:
 
 def enough_walks(ids: list, texts: list[str], edits: float = EDITS, recall: float = RECALL) -> int:
     """The number of walks with which every class of lengths reaches the recall asked for: doubled until trials by the search itself say so."""
-    items = Items(ids, texts, edits)
+    items = Items(ids, texts, edits, WALKS)
     walks = WALKS
     while items.recall() < recall:
         walks *= 2
