@@ -269,6 +269,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: f
     A window meets an item where all symbols of a bit sample of their CGK walks agree; each meeting is verified by edit
     distance over the normalised texts. The walks are drawn until, of copies with as many edits as are allowed, at random places,
     `recall` meet their item, for every class of lengths of the items at hand; unchanged passages always do.
+    `edits` is the least over the windows that met, so a document with several passages of an item may hold a nearer one.
     Null and empty texts hold nothing; null ids stay null; repeated rows answer alike; empty tables give no rows;
     other columns are ignored; long texts are searched whole. No shuffle: a block of items of bounded size travels to the documents.
     """
