@@ -1,5 +1,6 @@
 """Scenarios with known answers for what the driver's tables cannot show."""
 
+import colorsys
 import json
 import math
 import random
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions import clock, geometry, ids
 from trackspark.operators import asof, intervals, jobs, merge, pixels, ring, search, stats, validate
-from trackspark.plans import finalize
+from trackspark.plans import finalize, save
 from trackspark.sources import synthetic, tracks
 
 
@@ -243,3 +244,98 @@ def test_stages_are_all_looked_up(spark):
     fractions = spark.range(n).selectExpr(f"(id + 0.5D) / {n} AS fraction")
     got = intervals.stages(weights, fractions).orderBy("fraction").collect()
     assert [r.stage for r in got] == [f"s{k}" for k in range(n)]
+
+
+def _balls(frames, width, height):
+    """moving_balls() of one shot, pixel by pixel."""
+    out = []
+    for k, image in enumerate(frames):
+        pick = lambda *ks: next((frames[j] for j in ks if 0 <= j < len(frames)), image)  # noqa: E731, B023
+        before, after = pick(k - 1, k + 2, k + 1), pick(k + 1, k - 2, k - 1)
+        h, w, _ = image.shape
+        own, moved = set(), {}
+        for y in range(h):
+            for x in range(w):
+                p, a, b = ([int(c) for c in i[y, x]] for i in (image, before, after))
+                moved[y, x] = min(max(abs(c - d) for c, d in zip(p, o, strict=True)) for o in (a, b))
+                hue, sat, val = colorsys.rgb_to_hsv(*(c / 255 for c in p))
+                yellow = 18 <= round(hue * 180) <= 45 and round(sat * 255) >= 70 and round(val * 255) >= 110
+                if moved[y, x] > 18 and (yellow or (round(sat * 255) <= 60 and round(val * 255) >= 170)):
+                    own.add((y, x))
+        around = lambda y, x: [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if 0 <= y + i < h and 0 <= x + j < w]  # noqa: E731, B023
+        grown = {q for p in own for q in around(*p)}
+        shrunk = {p for p in grown if all(q in grown for q in around(*p))}
+        found = []
+        while shrunk:
+            blob, todo = set(), [min(shrunk)]
+            while todo:
+                p = todo.pop()
+                if p in shrunk:
+                    shrunk.discard(p)
+                    blob.add(p)
+                    todo += around(*p)
+            ys, xs = [p[0] for p in blob], [p[1] for p in blob]
+            big, small = sorted((max(ys) - min(ys) + 1, max(xs) - min(xs) + 1), reverse=True)
+            full = len(blob) / (big * small)
+            if len(blob) >= max(2, 0.5 * (0.0025 * w) ** 2) and small <= 0.03 * w and big <= 0.12 * w and big / small <= 4.5 and full >= 0.3:
+                score = min(1.0, 0.35 + 0.5 * min(1.0, sum(moved[p] for p in blob) / len(blob) / 80) + 0.15 * full)
+                found.append((-score, min(blob), (sum(xs) / len(xs) + 0.5) * width / w, (sum(ys) / len(ys) + 0.5) * height / h))
+        out += [(k, n, round(x, 6), round(y, 6), round(-s, 6)) for n, (s, _, x, y) in enumerate(sorted(found)[:4])]
+    return out
+
+
+def test_moving_balls_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    shots = []
+    for _ in range(2):
+        ground = rng.integers(60, 90, (72, 128, 3))
+        ground[5:8, 5:8] = (240, 220, 40)  # a yellow mark that stands still
+        images = []
+        for k in range(5):
+            image = ground + rng.integers(0, 6, ground.shape)
+            image[30 + k : 33 + k, 20 + 9 * k : 23 + 9 * k] = (230, 210, 60)
+            image[50:52, 100 - 7 * k : 103 - 7 * k] = (245, 245, 240)
+            image[10:60, 60 + 6 * k : 66 + 6 * k] = (200, 30, 30)  # moves, but is red
+            for y, x in rng.integers(0, 60, (25, 2)):
+                image[y, x : x + 2] = (250, 250, 250)
+            images.append(image.astype(np.uint8))
+        shots.append(images)
+    cells = [("v", s, k, 72, 128, bytearray(i.tobytes())) for s, images in enumerate(shots) for k, i in enumerate(images)]
+    schema = "video_id string, shot_id int, frame int, h int, w int, rgb binary"
+    df = spark.createDataFrame([*cells, ("null", 0, 0, 72, 128, None), ("short", 0, 0, 72, 128, bytearray(5)), ("alone", 0, 0, 72, 128, cells[0][5])], schema)
+    got = [(r.video_id, r.shot_id, r.frame, r.cand_idx, round(r.x, 6), round(r.y, 6), round(r.score, 6)) for r in pixels.moving_balls(df, ["video_id", "shot_id"], 1280.0, 720.0).collect()]
+    want = [("v", s, *c) for s, images in enumerate(shots) for c in _balls(images, 1280.0, 720.0)]
+    assert len(want) > 15 and sorted(got) == sorted(want)
+    some = pixels.moving_balls(df, ["video_id", "shot_id"], 1280.0, 720.0, roi=(0.0, 0.6, 1.0, 1.0)).collect()
+    assert some and all(r.y >= 0.6 * 720 - 10 for r in some)
+    assert pixels.moving_balls(df.limit(0), ["video_id", "shot_id"], 1280.0, 720.0).isEmpty()
+
+
+def test_long_shots_are_dealt_in_parts(spark):
+    n = 3 * pixels.PART
+    df = spark.range(n).select(F.lit("v").alias("video_id"), F.col("id").cast("int").alias("frame"), F.col("id").alias("v"))
+    got = {r.frame: (r.before, r.after) for r in pixels.frame_triples(df, ["video_id"], 2, "v").collect()}
+    assert len(got) == n and all(got[k] == (k - 2, k + 2) for k in range(2, n - 2))
+    assert got[0] == (2, 2) and got[1] == (0, 3) and got[n - 1] == (n - 3, n - 3)
+
+
+def test_save_tracks(spark, tmp_path):
+    path, pos = str(tmp_path / "store"), F.col("t").cast("int") - 10
+    names = "video_id string, start double, end double"
+    none = spark.createDataFrame([], "video_id string, url string, status string, segments array<struct<start double, end double>>, track_path string, created_at string, updated_at string")
+    head = lambda at: spark.createDataFrame([("v", "u", at)], "video_id string, url string, at string")
+    seg = lambda a, b: spark.createDataFrame([("v", a, b)], names)
+    times = lambda: [r.t for r in spark.read.parquet(path).where("video_id = 'v'").orderBy("t").collect()]
+    made = save.save_tracks(rows(spark, row(10.0), row(11.0), row(14.0)).withColumn("pos", pos), seg(10.0, 14.0), none, head("1"), path)
+    videos = spark.createDataFrame(made.collect(), none.schema)
+    assert times() == [10.0, 11.0, 14.0] and [(r.status, r.created_at) for r in videos.collect()] == [("ready", "1")]
+    made = save.save_tracks(rows(spark, row(12.0, 0.7)).withColumn("pos", pos), seg(11.0, 15.5), videos, head("2"), path)
+    videos = spark.createDataFrame(made.collect(), none.schema)
+    one = videos.first()
+    assert times() == [10.0, 12.0] and [tuple(s) for s in one.segments] == [(10.0, 15.5)] and (one.created_at, one.updated_at) == ("1", "2")
+    for bad, span, said in ((rows(spark, row(13.0, 7.0)), seg(13.0, 14.0), "x/y out of"), (rows(spark, row(13.0)), seg(14.0, 13.0), "bad segment"), (rows(spark, row(13.0)).limit(0), seg(0.0, 99.0), "no rows")):
+        with pytest.raises(save.InvalidTrackError, match=said):
+            save.save_tracks(bad.withColumn("pos", pos), span, videos, head("3"), path)
+    assert times() == [10.0, 12.0]
+    save.save_tracks(rows(spark, row(20.0)).withColumn("pos", pos), seg(20.0, 21.0), videos, head("4"), path, replace=True)
+    assert times() == [20.0]

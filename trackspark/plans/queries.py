@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, geometry, ids, settings
-from ..operators import asof, gapfill, intervals, jobs, merge, near, recover, ring, search, series, stats, validate
+from ..operators import asof, gapfill, intervals, jobs, merge, near, pixels, recover, ring, search, series, stats, validate
 from . import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,6 +252,14 @@ def temporal_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("video_id", "frame", *(F.col("stack")[k].alias(f"s{k}") for k in range(3)))
 
 
+@query(f"""WITH {A.FRAMES}, n AS (SELECT f.*, b1.x AS b1, b2.x AS b2, a1.x AS a1, a2.x AS a2 FROM frames f
+  LEFT JOIN frames b1 ON (b1.video_id, b1.shot_id, b1.frame) = (f.video_id, f.shot_id, f.frame - 1) LEFT JOIN frames b2 ON (b2.video_id, b2.shot_id, b2.frame) = (f.video_id, f.shot_id, f.frame - 2)
+  LEFT JOIN frames a1 ON (a1.video_id, a1.shot_id, a1.frame) = (f.video_id, f.shot_id, f.frame + 1) LEFT JOIN frames a2 ON (a2.video_id, a2.shot_id, a2.frame) = (f.video_id, f.shot_id, f.frame + 2))
+SELECT video_id, frame, x, coalesce(b1, a2, a1, x) AS before, coalesce(a1, b2, b1, x) AS after FROM n""")
+def frame_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.frame_triples(A.frames(spark, sf_dir), ["video_id", "shot_id"], value="x").select("video_id", "frame", "x", "before", "after")
+
+
 @query(f"WITH {A.ROWS}, p AS (SELECT video_id, event_id, conf, lag(conf) OVER (PARTITION BY video_id ORDER BY event_id) AS c FROM rows_) SELECT video_id, event_id FROM p WHERE conf < c")
 def unsorted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.unsorted(A.track_rows(spark, sf_dir), ["video_id"], "event_id", "conf").select("video_id", "event_id")
