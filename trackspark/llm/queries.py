@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import source_mix
+from . import code_compression, exact_dedup, source_mix
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,18 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_groups
+
+    return exact_groups(_documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .code_compression import compressed_codes
+
+    return compressed_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_fingerprint": op1_chunk_fingerprint,
     "op2_language_id": op2_language_id,
@@ -90,8 +102,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_importance_resample": op9_importance_resample,
     "op10_token_shards": op10_token_shards,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_source_mix": source_mix.SQL,
+    "op11_exact_dedup": exact_dedup.SQL,
+    "op12_vector_codes": code_compression.SQL,
 }
