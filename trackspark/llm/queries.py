@@ -91,6 +91,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressed_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import run_report
+
+    return run_report(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_fingerprint": op1_chunk_fingerprint,
     "op2_language_id": op2_language_id,
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_shards": op10_token_shards,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_vector_codes": op12_vector_codes,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
