@@ -45,7 +45,7 @@ def _first(rows: DataFrame, table: Callable[[DataFrame, str], DataFrame]) -> Dat
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = rows.withColumn("text", text).withColumns({"g": F.octet_length("text").cast("bigint"), "head": F.translate(F.left("text", F.lit(HEAD)), UPPER, LOWER)})
     heads = table(keyed.groupBy("g", "head").agg(F.count("*").alias("n")).where("n > 1").withColumn("open", F.lit(True)).drop("n"), "heads")
-    met = keyed.join(heads, ["g", "head"], "left").withColumn("open", F.coalesce("open", F.lit(False))).drop("head")
+    met = keyed.join(heads.hint("merge"), ["g", "head"], "left").withColumn("open", F.coalesce("open", F.lit(False))).drop("head")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema if f.name not in ("text", "open"))
     read = met.mapInArrow(_normalised, f"{kinds}, text_sha256 string, rest binary")
     one = F.col("rest").isNull()
@@ -59,7 +59,7 @@ def _round(rows: DataFrame, width: int, table: Callable[[DataFrame, str], DataFr
     keyed = rows.where("rest is not null").select("uid", "doc_id", "text_sha256", "g", "rest", F.substring("rest", 1, width).alias("digit"))
     best = F.max(F.struct("doc_id", (-F.col("uid")).alias("first"))).alias("best")
     groups = keyed.groupBy("g", "digit").agg(F.count("*").alias("n"), F.min("uid").alias("to"), best).where("n > 1")
-    met = keyed.join(table(groups, "groups"), ["g", "digit"], "left")
+    met = keyed.join(table(groups, "groups").hint("merge"), ["g", "digit"], "left")
     one, ended = F.col("n").isNull(), F.length("rest") <= width
     return table(met.select(
         "uid", "doc_id", "text_sha256", F.col("to").alias("g"), F.when(~one & ~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
