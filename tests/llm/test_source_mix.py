@@ -4,11 +4,12 @@ import math
 import re
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import types as T
 
-from trackspark.llm.source_mix import SQL, mix_sources, mixed_rows
+from trackspark.llm.source_mix import RIDGE, SQL, balanced_rates, mix_sources, mixed_rows, token_targets
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("rate", T.StringType())])
 
@@ -118,3 +119,43 @@ def test_rows_keep_every_column(spark):
     df = spark.createDataFrame([("w " * k, "1", "2", "3", "4", "5", "s", k) for k in range(1, 30)] + [(None,) * 8], schema)
     out = mixed_rows(df)
     assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in df.collect()} and out.count() > 20
+
+
+EXTREME = [
+    [("a", 7177, 2), ("b", 1, 729)],
+    [("a", 71, 209), ("b", 426, 18350)],
+    [("a", 5287418, 2), ("b", 42, 7)],
+    [("a", 1, 30000), ("a", 10**7, 1), ("b", 3, 1), ("c", 10**7, 2), ("c", 1, 5), ("d", 2, 10**4)],
+]
+
+
+def wild(seed):
+    r = np.random.default_rng(seed)
+    return [(f"s{k}", int(10 ** r.uniform(0, 7)), int(10 ** r.uniform(0, 4.5))) for k in range(r.integers(1, 7)) for _ in range(r.integers(1, 6))]
+
+
+@pytest.mark.parametrize("data", [*EXTREME, *map(wild, range(8))])
+def test_settles_on_sizes_from_one_to_ten_million(spark, data):
+    cells = spark.createDataFrame([(f"={s}", s, z, n) for s, z, n in data], "_src string, source string, size long, n long")
+    totals = cells.selectExpr("_src", "source", "size * n as t").groupBy("_src", "source").agg({"t": "sum"}).withColumnRenamed("sum(t)", "source_size")
+    got = balanced_rates(cells.groupBy("_src", "size").agg({"n": "sum"}).withColumnRenamed("sum(n)", "same"), token_targets(totals)).toPandas()
+    words = got["size"] * got.same
+    mean = (words * np.log1p(got["size"])).sum() / words.sum()
+    slopes = []
+    for _, own in got.groupby("_src"):
+        w = words[own.index]
+        assert own.rate.between(0, 2).all() and abs((w * own.rate).sum() - own.target.iloc[0]) <= 1e-7 * w.sum()
+        sure = own[own.rate.between(0.05, 1.95)]
+        if len(sure) > 1 and sure["size"].nunique() > 1:
+            x, y = np.log1p(sure["size"]), np.log(sure.rate / (2 - sure.rate))
+            slopes.append((y.iloc[x.argmax()] - y.iloc[x.argmin()]) / (x.max() - x.min()))
+    if slopes:  # one multiplier of length for all, and it answers for the length that is left over, held softly
+        assert max(slopes) - min(slopes) < 1e-4 * (1 + abs(slopes[0]))
+        assert abs((words * got.rate * (np.log1p(got["size"]) - mean)).sum() + RIDGE * words.sum() * np.mean(slopes)) < 1e-4 * words.sum()
+
+
+def test_sql_settles_where_steps_are_long():
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents AS SELECT i AS doc_id, CASE WHEN i < 2 THEN repeat('w ', 7177) ELSE 'w' END AS text, CASE WHEN i < 2 THEN 'a' ELSE 'b' END AS source FROM range(731) t(i)")
+    got = c.execute(f"SELECT source, max(target), sum(size * rate) FROM ({SQL}) GROUP BY source").fetchall()
+    assert len(got) == 2 and all(abs(t - s) < 1e-2 for _, t, s in got)

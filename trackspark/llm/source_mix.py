@@ -10,8 +10,10 @@ from . import storage
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_COPIES = 2
-#: Newton steps at most; the solver ends sooner when no multiplier moves by more than STILL.
-NEWTON_STEPS, STILL = 40, 1e-12
+#: Newton steps at most; the solver ends sooner when no multiplier moves by more than STILL, or when steps of NOISE or less no longer shrink.
+NEWTON_STEPS, STILL, NOISE = 100, 1e-12, 1e-7
+#: Steps below this lie where Newton's method converges by itself; halves of a longer one, and the share of the promised fall that is enough.
+SMALL, HALVES, ENOUGH = 1e-3, 40, 1e-4
 #: How far the mix may leave the corpus' mean logarithmic length: the square of its multiplier costs this share of all words.
 RIDGE = 0.1
 #: Digits of a rate; more would let the last bits of the solver decide roundings.
@@ -46,9 +48,10 @@ def balanced_rates(cells: DataFrame, targets: DataFrame, cap: int = MAX_COPIES,
     Of all rates between 0 and cap, those of largest entropy by word (of a rate's share of cap, and of the rest of it) that give each source its target and leave the
     corpus' mean logarithmic length of documents, by word, as it is. Their odds r / (cap - r) are exp(a + b * z): a is the source's
     multiplier, z a document's logarithmic length less the mean, and b the multiplier that all sources share. Both
-    minimise the convex dual by damped Newton steps from the rates of b = 0: each is one aggregation over the cells, whose gradient and Hessian by source
-    form an arrow around b, which two sums over the sources solve. No source's data pass the driver, two sums a step do.
-    The length constraint is soft (RIDGE), since sources near their cap leave little choice. The solver raises if it has not settled.
+    minimise the convex dual by Newton steps from the rates of b = 0: each is one aggregation over the cells, whose gradient and Hessian by source
+    form an arrow around b, which two sums over the sources solve. A step that moves some multiplier by SMALL or more is halved until the dual falls by a share of
+    what its slope promises; one more aggregation gives the dual at all halves. No source's data pass the driver, some sums a step do.
+    The length constraint is soft (RIDGE), since sources near their cap leave little choice, and makes the dual strictly convex, so that steps settle for any sizes.
     """
     spark = cells.sparkSession
     with storage.scratch(spark) as table:
@@ -65,7 +68,13 @@ def balanced_rates(cells: DataFrame, targets: DataFrame, cap: int = MAX_COPIES,
             tilted = cap / (1 + F.exp(-(F.col("a") + b * F.col("z"))))
             return F.when(F.col("full"), F.lit(float(cap))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(tilted)
 
-        b, most = 0.0, float("inf")
+        def dual(t: float, b: float, db: float) -> Column:
+            """A cell's part of the dual at the share t of a step; sources whose rates are fixed only pull at b."""
+            e = F.col("a") + t * F.col("da") + (b + t * db) * F.col("z")
+            at_cap = F.when(F.col("full"), F.col("w") * F.col("z") * cap * (b + t * db)).otherwise(0.0)
+            return F.when(fixed, at_cap).otherwise(F.col("w") * cap * (F.greatest(e, F.lit(0.0)) + F.log1p(F.exp(-F.abs(e)))))
+
+        b, most, before = 0.0, float("inf"), float("inf")
         for _ in range(steps):
             r = rate(b)
             moving = F.when(fixed, F.lit(0.0)).otherwise(F.col("w") * r * (1 - r / cap))
@@ -77,13 +86,21 @@ def balanced_rates(cells: DataFrame, targets: DataFrame, cap: int = MAX_COPIES,
             some = F.when(F.col("h") > 0, F.col("hz") / F.col("h")).otherwise(0.0)
             slope, curve = per.agg(F.sum(F.col("gz") - some * F.col("g")), F.sum(F.col("zz") - some * F.col("hz"))).first()
             step_b = -((slope or 0.0) + ridge * b) / ((curve or 0.0) + ridge)
-            step_a = F.when(F.col("h") > 0, -(F.col("g") + F.col("hz") * step_b) / F.col("h")).otherwise(0.0)
-            most = max(per.agg(F.max(F.abs(step_a))).first()[0] or 0.0, abs(step_b))
-            damp = min(1.0, 1 / max(most, 1e-300))
-            state, b = per.select("_src", (F.col("a") + damp * step_a).alias("a")), b + damp * step_b
-            if most < STILL:
+            per = per.withColumn("da", F.when(F.col("h") > 0, -(F.col("g") + F.col("hz") * step_b) / F.col("h")).otherwise(0.0))
+            most_a, promised, pull = per.agg(F.max(F.abs("da")), F.sum(F.col("g") * F.col("da") + F.col("gz") * step_b), F.sum(F.when(fixed, 0.0).otherwise(F.col("target") * F.col("da")))).first()
+            most, promised, pull = max(most_a or 0.0, abs(step_b)), promised or 0.0, pull or 0.0
+            share = 1.0
+            if most >= SMALL:
+                tries = [2.0**-k for k in range(HALVES)]
+                at = c.join(per.select("_src", "a", "da"), "_src").agg(*(F.sum(dual(t, b, step_b)) for t in [0.0, *tries])).first()
+                value = [v - t * pull + ridge * (b + t * step_b) ** 2 / 2 for v, t in zip(at, [0.0, *tries], strict=True)]
+                promised += ridge * b * step_b
+                share = next((t for v, t in zip(value[1:], tries, strict=True) if v <= value[0] + ENOUGH * t * promised), tries[-1])
+            state, b = per.select("_src", (F.col("a") + share * F.col("da")).alias("a")), b + share * step_b
+            if most < STILL or before <= NOISE and most >= before / 2:
                 break
-        if most > 1e-6:
+            before = most
+        if most > 10 * NOISE:
             raise ArithmeticError("the multipliers have not settled")
         out = c.join(state, "_src").select("_src", "size", "same", "source_size", "target", F.round(rate(b), RATE_DIGITS).alias("rate"))
         return storage.table(out, "rates")
@@ -156,11 +173,11 @@ WITH RECURSIVE sized AS (
     (SELECT 0.1 * sum(w) + 1e-300 FROM grouped) AS ridge
   FROM grouped g JOIN targets t ON g.source IS NOT DISTINCT FROM t.source
 ), newton AS (
-  SELECT 0 AS step, source, CASE WHEN target >= 2 * source_size OR target <= 0 THEN 0.0::DOUBLE ELSE ln(target / (2 * source_size) / (1 - target / (2 * source_size))) END AS a, 0.0::DOUBLE AS b FROM targets
+  SELECT 0 AS step, source, CASE WHEN target >= 2 * source_size OR target <= 0 THEN 0.0::DOUBLE ELSE ln(target / (2 * source_size) / (1 - target / (2 * source_size))) END AS a, 0.0::DOUBLE AS b, false AS still FROM targets
   UNION ALL
-  SELECT step + 1, source, a + da * damp, b + db * damp
+  SELECT step + 1, source, a + da * damp, b + db * damp, most < 1e-12
   FROM (
-    SELECT *, least(1, 1 / greatest(max(abs(da)) OVER (), abs(db), 1e-300)) AS damp
+    SELECT *, greatest(max(abs(da)) OVER (), abs(db), 1e-300) AS most, least(1, 1 / most) AS damp
     FROM (
       SELECT *, CASE WHEN h > 0 THEN -(g + hz * db) / h ELSE 0 END AS da
       FROM (
@@ -171,7 +188,7 @@ WITH RECURSIVE sized AS (
             SELECT *, CASE WHEN fixed THEN 0 ELSE w * r * (1 - r / 2) END AS m
             FROM (
               SELECT n.step, n.a, n.b, c.*, filled OR target <= 0 AS fixed, CASE WHEN filled THEN 2.0::DOUBLE WHEN target <= 0 THEN 0 ELSE 2 / (1 + exp(-(n.a + n.b * c.z))) END AS r
-              FROM newton n JOIN cells c ON n.source IS NOT DISTINCT FROM c.source WHERE n.step < 40
+              FROM newton n JOIN cells c ON n.source IS NOT DISTINCT FROM c.source WHERE n.step < 1000 AND NOT n.still
             )
           ) GROUP BY step, source, a, b, fixed, ridge, target
         )
@@ -180,7 +197,7 @@ WITH RECURSIVE sized AS (
   )
 ), rates AS (
   SELECT c.*, CASE WHEN filled THEN 2 WHEN target <= 0 THEN 0 ELSE round(2 / (1 + exp(-(n.a + n.b * c.z))), 7) END AS rate
-  FROM cells c JOIN newton n ON n.step = 40 AND n.source IS NOT DISTINCT FROM c.source
+  FROM cells c JOIN newton n ON n.step = (SELECT max(step) FROM newton) AND n.source IS NOT DISTINCT FROM c.source
 ), due AS (
   SELECT *, (round(rate * 10000000) * same)::HUGEINT AS d, sum((round(rate * 10000000) * same)::HUGEINT) OVER (PARTITION BY source ORDER BY size) AS u FROM rates
 ), sizes AS (
