@@ -22,7 +22,7 @@ STOP_WORDS = frozenset(
     "al como con de del el ella en es esta este ha la las lo los más me muy no nos o para pero por que se ser si sin sobre su sus un una y ya".split()
 )
 #: Tags whose content is never text of a page. Fixed values.
-RAW = ("script", "style", "title", "noscript", "template", "iframe", "object", "svg", "canvas", "math", "textarea", "select", "audio", "video", "head")
+RAW = ("script", "style", "title", "noscript", "template", "iframe", "object", "svg", "canvas", "textarea", "select", "audio", "video", "head")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -35,16 +35,26 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 BESIDE_TAGS = frozenset("nav footer aside form button label menu dialog fieldset search".split())
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 BESIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup "
-    "sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar masthead footer foot comment comments reply replies respond discussion disqus related recommended recommendations share sharing social "
-    "widget widgets pagination pager login search skip copyright legal disclaimer header form".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo cookie cookies consent gdpr popup modal newsletter subscribe subscription signup "
+    "sidebar sidenav nav navbar menu breadcrumb breadcrumbs toolbar masthead footer comment comments disqus share sharing social related recommended widget widgets pagination pager".split()
 )
+#: Words that mark only where nothing in the same name says otherwise: `legal` and `legal-box`, but not `legal-analysis`.
+WEAK_WORDS = frozenset(
+    "promotion banner notice notification alert overlay navigation topbar foot reply replies respond discussion recommendations login search skip copyright legal disclaimer header form".split()
+)
+#: Words of names that say where or how, not what; and those that begin a name of a state.
+PLAIN_WORDS = frozenset("box bar area section container wrap wrapper block list item items content text inner outer top bottom left right site page global primary secondary main links link title body global fixed small".split())
+STATE_WORDS = frozenset("has no not with without is".split())
+#: Words of reader comments: what they mark never holds the article.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond discussion".split())
 MAIN_TAGS = frozenset(("article", "main"))
 
 #: Characters of a short and of a long block; link density of a menu; stop-word densities of prose.
 SHORT, LONG = 70, 200
 LINKS = 0.33
 FEW_STOPS, MANY_STOPS = 0.1, 0.25
+#: Shares of a page's text outside links from which a marked element must be the page itself: with and without a main element in it.
+HALF, MOST = 0.5, 0.67
 
 GOOD, NEAR, BRIEF, BAD = "good", "near", "brief", "bad"
 
@@ -66,27 +76,46 @@ class Block:
     text: str
     links: int
     heading: bool
-    beside: bool
     main: bool
+    box: int
+    weight: int
+    beside: bool = False
     label: str = ""
 
 
+@dataclass
+class Box:
+    """An element that its tag, role or names mark as beside the article, unless it turns out to hold the article."""
+
+    parent: int
+    in_main: bool
+    comments: bool
+    chars: int = 0
+    mains: int = 0
+    tops: int = 0
+
+
 @dataclass
 class _Open:
     tag: str
-    beside: bool
+    box: int
     main: bool
     link: bool
     heading: bool
+    weight: int
 
 
 @dataclass
 class _Walk:
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, False, False, False)])
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", -1, False, False, False, 0)])
     blocks: list[Block] = field(default_factory=list)
+    boxes: list[Box] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     links: int = 0
     breaks: int = 0
+    mains: int = 0
+    tops: int = 0
+    head: bool = False
 
     def say(self, raw: str) -> None:
         if not raw:
@@ -103,7 +132,7 @@ class _Walk:
             text = " ".join("".join(self.parts).split())
             if text:
                 top = self.stack[-1]
-                self.blocks.append(Block(text, self.links, top.heading, top.beside, top.main))
+                self.blocks.append(Block(text, self.links, top.heading, top.main, top.box, top.weight))
             self.parts, self.links = [], 0
         self.breaks = 0
 
@@ -133,21 +162,36 @@ class _Walk:
         if tag in VOID:
             return
         top = self.stack[-1]
-        main = top.main or tag in MAIN_TAGS
-        beside = top.beside or tag in BESIDE_TAGS or (tag == "header" and not main)
+        main, weight, comments = top.main or tag in MAIN_TAGS, top.weight, False
+        beside = tag in BESIDE_TAGS or (tag == "header" and not main)
         if attrs and tag not in ("html", "body"):
             for name, a, b, c in _ATTR.findall(attrs):
                 name, value = name.lower(), (a or b or c).lower()
                 if name == "role":
                     main, beside = main or value == "main", beside or value in BESIDE_ROLES
                 elif name in ("class", "id") and tag not in MAIN_TAGS:
-                    beside = beside or any(w in BESIDE_WORDS and (w != "header" or not main) for w in _PART.findall(value))
+                    for word in value.split():
+                        found = named(word)
+                        beside, weight = beside or found == MARK and (main, word) != (True, "header"), weight + (found == WEIGHT)
+                        comments = comments or found == MARK and not COMMENT_WORDS.isdisjoint(_PART.findall(word))
                 elif name == "itemprop" and value == "articlebody":
                     main = True
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                     beside = True
+        box = top.box
+        if beside:
+            box = len(self.boxes)
+            self.boxes.append(Box(top.box, main and tag not in MAIN_TAGS, comments))
+        if main and not top.main:
+            self.mains += 1
+            if box >= 0:
+                self.boxes[box].mains += 1
+        if tag == "h1":
+            self.tops += 1
+            if box >= 0:
+                self.boxes[box].tops += 1
         if len(self.stack) < DEPTH:
-            self.stack.append(_Open(tag, beside, main, top.link or tag == "a", top.heading or tag in HEADING))
+            self.stack.append(_Open(tag, box, main, top.link or tag == "a", top.heading or tag in HEADING, weight))
 
     def close(self, tag: str) -> None:
         if tag in BLOCK:
@@ -160,6 +204,21 @@ class _Walk:
                 return
 
 
+MARK, WEIGHT = "mark", "weight"
+
+
+def named(word: str) -> str:
+    """What one name of a class or id says of its element: MARK (beside the article), WEIGHT (perhaps), or nothing."""
+    parts = _PART.findall(word)
+    if not parts or parts[0] in STATE_WORDS:
+        return ""
+    if not BESIDE_WORDS.isdisjoint(parts):
+        return MARK
+    if WEAK_WORDS.isdisjoint(parts):
+        return ""
+    return MARK if all(x in WEAK_WORDS or x in PLAIN_WORDS for x in parts) else WEIGHT
+
+
 def _tag_end(page: str, at: int) -> tuple[int, bool]:
     """The end of the attributes from `at`, outside quoted values, and whether that was found; else the first > is taken, or -1."""
     to = at
@@ -214,17 +273,50 @@ def blocks(page: str) -> list[Block]:
             walk.close(tag)
         elif tag in _RAW_END:
             if tag == "head":
+                if walk.head:  # a page has one
+                    continue
+                walk.head = True
                 body = re.compile(r"</head\b|<body\b", re.I).search(page, _after_raw(page, at))
                 at = body.start() if body else at
             else:
                 end = _RAW_END[tag].search(page, at)
+                if tag == "textarea" and walk.stack[-1].main:
+                    walk.end_block()
+                    walk.say(page[at : end.start() if end else n])
+                    walk.end_block()
                 at = end.end() if end else n
         else:
             walk.open(tag, page[m.end() : end])
     walk.end_block()
+    _beside(walk)
     return walk.blocks
 
 
+def _beside(walk: _Walk) -> None:
+    """Tells which blocks are beside the article: those within a marked element, unless that holds the page's own text.
+
+    An element that is not part of the main element holds it if all main elements lie within, with half of the page's text or
+    more, or, where there is no main element, if most of the text lies within and each h1. Reader comments never do.
+    """
+    total = 0
+    for b in walk.blocks:
+        chars = len(b.text) - b.links
+        total += chars
+        if b.box >= 0:
+            walk.boxes[b.box].chars += chars
+    for x in reversed(walk.boxes):
+        if x.parent >= 0:
+            up = walk.boxes[x.parent]
+            up.chars, up.mains, up.tops = up.chars + x.chars, up.mains + x.mains, up.tops + x.tops
+    beside = []
+    for x in walk.boxes:
+        whole = x.mains == walk.mains and x.chars >= HALF * total if walk.mains else x.tops == walk.tops and x.chars >= MOST * total
+        holds = whole and not x.in_main and not x.comments
+        beside.append(not holds or x.parent >= 0 and beside[x.parent])
+    for b in walk.blocks:
+        b.beside = b.box >= 0 and beside[b.box]
+
+
 def _after_raw(page: str, at: int) -> int:
     """The end of the last script, style or title of a head, within which </head> would be text."""
     for m in re.compile(r"<(script|style|title)\b", re.I).finditer(page, at):
@@ -246,8 +338,8 @@ def stop_density(text: str) -> float:
 def first_pass(b: Block, has_main: bool, prose: bool) -> str:
     """A block's label by itself: GOOD or BAD when decided, else NEAR (long enough, unsure) or BRIEF.
 
-    `prose`: whether the page's candidates are by and large prose of a language of STOP_WORDS. In such a page a block nearly
-    without stop words is none, within the main element only where it is so long that no chance explains it.
+    `prose`: whether the page's candidates are by and large prose of a language of STOP_WORDS; only then is a block nearly
+    without stop words held to be none, and never within the main element, where long blocks without links are text: code, tables, another script.
     """
     if b.beside or (has_main and not b.main):
         return BAD
@@ -259,11 +351,9 @@ def first_pass(b: Block, has_main: bool, prose: bool) -> str:
     if len(b.text) < SHORT:
         return BRIEF
     stops = stop_density(b.text)
-    if stops >= MANY_STOPS:
-        return GOOD if len(b.text) >= LONG or b.main else NEAR
-    if b.main and not b.heading and prose and len(b.text) >= 2 * LONG and stops < FEW_STOPS / 2:
-        return BAD
-    if not b.main and stops < FEW_STOPS and (prose or len(b.text) < LONG):
+    if stops >= MANY_STOPS and (len(b.text) >= LONG or b.main) or b.main and len(b.text) >= LONG:
+        return GOOD
+    if b.weight and not b.main and stops < MANY_STOPS or not b.main and stops < FEW_STOPS and (prose or len(b.text) < LONG):
         return BAD
     return NEAR
 
