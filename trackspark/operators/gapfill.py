@@ -133,12 +133,17 @@ def track(candidates: DataFrame, cuts: DataFrame, width: float, height: float, f
     in_shots = shots(moving, cuts, key)
     # a span is a part of a shot that no step sees across; what several steps read is written once
     pieces = table(fit_pieces(in_shots, keys, width, fps, p), "pieces")
-    own = table(inside(pieces, [*keys, "span"], p, width), "points")
-    filled = own.unionByName(gaps(pieces, own, [*keys, "span"], p, width, height, fps).drop("mode"))
-    ev = events(pieces, [*keys, "span"], height, fps)
-    pts = filled.join(ev, [*keys, "span", "frame"], "left").withColumn("flags", F.col("flags").bitwiseOR(F.coalesce("event", F.lit(0)))).drop("event", "span")
+    return points(pieces, moving, [*keys, "span"], width, height, fps, p, key)
+
+
+def points(pieces: DataFrame, candidates: DataFrame, keys: list[str], width: float, height: float, fps: float, p: TrackParams = TrackParams(), key: str = "video_id") -> DataFrame:
+    """The track of fitted pieces (see linking.PIECE; keys name a span and include key and shot_id); candidates are what interpolated points may move to."""
+    own = table(inside(pieces, keys, p, width), "points")
+    filled = own.unionByName(gaps(pieces, own, keys, p, width, height, fps).drop("mode"))
+    ev = events(pieces, keys, height, fps)
+    pts = filled.join(ev, [*keys, "frame"], "left").withColumn("flags", F.col("flags").bitwiseOR(F.coalesce("event", F.lit(0)))).drop("event", "span")
     pts = table(pts.where(F.col("conf") >= p.min_conf), "track")
-    weak = moving.where(F.col("score") >= 0.5 * p.min_score).select(key, "frame", "cand_idx", "x", "y")
+    weak = candidates.where(F.col("score") >= 0.5 * p.min_score).select(key, "frame", "cand_idx", "x", "y")
     snap = pts.where(~F.col("detected")).select(key, "frame", F.col("x").alias("_px"), F.col("y").alias("_py")).join(weak, [key, "frame"])
     snap = snap.withColumn("_d", F.hypot(F.col("x") - F.col("_px"), F.col("y") - F.col("_py"))).where(F.col("_d") <= 0.015 * width)
     snap = snap.groupBy(key, "frame").agg(F.min(F.struct("_d", "cand_idx", "x", "y")).alias("_s"))

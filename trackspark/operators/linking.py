@@ -39,25 +39,33 @@ class Chain:
         return None if len(self.frames) < 2 else (self.points[-1] - self.points[-2]) / (self.frames[-1] - self.frames[-2])
 
 
-def link(by_frame: dict[int, tuple[np.ndarray, np.ndarray]], width: float, fps: float, p: TrackParams) -> list[Chain]:
-    """Chains from a walk over the frames; by_frame has points and scores of the candidates that are strong enough.
+@dataclass
+class Walk:
+    """A walk over frames in order that links candidates to chains; it may stop after any frame and go on later.
 
     A candidate may follow a chain within reach of its last point and near its predicted one. All such pairs of a frame are
     taken greedily by distance over tolerance less 0.3 times the score; candidates left over begin chains. A chain ends
     after link_gap frames without a point; ended ones come before open ones, as selection breaks ties by this order.
     """
-    reach = p.max_speed * width * 25.0 / fps
-    open_: list[Chain] = []
-    ended: list[Chain] = []
-    for frame in sorted(by_frame):
-        ended += [c for c in open_ if frame - c.frames[-1] > p.link_gap]
-        open_ = [c for c in open_ if frame - c.frames[-1] <= p.link_gap]
-        points, scores = by_frame[frame]
+
+    width: float
+    fps: float
+    p: TrackParams
+    ended: list[Chain] = field(default_factory=list)
+    open: list[Chain] = field(default_factory=list)
+
+    def chains(self) -> list[Chain]:
+        return self.ended + self.open
+
+    def step(self, frame: int, points: np.ndarray, scores: np.ndarray) -> None:
+        reach = self.p.max_speed * self.width * 25.0 / self.fps
+        self.ended += [c for c in self.open if frame - c.frames[-1] > self.p.link_gap]
+        self.open = [c for c in self.open if frame - c.frames[-1] <= self.p.link_gap]
         offers = []
-        for k, c in enumerate(open_):
+        for k, c in enumerate(self.open):
             ahead, v = frame - c.frames[-1], c.motion()
             expected = c.points[-1] if v is None else c.points[-1] + v * ahead
-            tolerance = reach * ahead if v is None else 0.012 * width + 0.5 * float(np.hypot(*v)) * ahead
+            tolerance = reach * ahead if v is None else 0.012 * self.width + 0.5 * float(np.hypot(*v)) * ahead
             near = np.hypot(*(points - c.points[-1]).T) <= reach * ahead
             miss = np.hypot(*(points - expected).T)
             offers += [(miss[j] / max(tolerance, 1e-6) - 0.3 * scores[j], k, j) for j in np.flatnonzero(near & (miss <= tolerance)).tolist()]
@@ -67,9 +75,16 @@ def link(by_frame: dict[int, tuple[np.ndarray, np.ndarray]], width: float, fps:
             if k not in busy and j not in taken:
                 busy.add(k)
                 taken.add(j)
-                open_[k].add(frame, points[j], float(scores[j]))
-        open_ += [Chain().add(frame, points[j], float(scores[j])) for j in range(len(points)) if j not in taken]
-    return ended + open_
+                self.open[k].add(frame, points[j], float(scores[j]))
+        self.open += [Chain().add(frame, points[j], float(scores[j])) for j in range(len(points)) if j not in taken]
+
+
+def link(by_frame: dict[int, tuple[np.ndarray, np.ndarray]], width: float, fps: float, p: TrackParams) -> list[Chain]:
+    """Chains from a walk over the frames; by_frame has points and scores of the candidates that are strong enough."""
+    walk = Walk(width, fps, p)
+    for frame in sorted(by_frame):
+        walk.step(frame, *by_frame[frame])
+    return walk.chains()
 
 
 def select(chains: list[Chain], width: float, p: TrackParams) -> dict[int, tuple[np.ndarray, float]]:
@@ -177,7 +192,12 @@ def segment(frames: np.ndarray, xy: np.ndarray, tol: float, max_gap: int) -> tup
 
 def pieces_of(by_frame: dict[int, tuple[np.ndarray, np.ndarray]], width: float, fps: float, p: TrackParams) -> tuple[list[dict], int]:
     """The fitted pieces of one shot, and how many detections were taken out."""
-    chosen = select(link(by_frame, width, fps, p), width, p)
+    return fitted(link(by_frame, width, fps, p), width, fps, p)
+
+
+def fitted(chains: list[Chain], width: float, fps: float, p: TrackParams) -> tuple[list[dict], int]:
+    """The pieces that the chains of a whole span give, as rows of PIECE, and how many detections were taken out."""
+    chosen = select(chains, width, p)
     frames = np.array(sorted(chosen), int)
     if not len(frames):
         return [], 0
@@ -209,9 +229,14 @@ def pieces_of(by_frame: dict[int, tuple[np.ndarray, np.ndarray]], width: float,
     return rows, out
 
 
+def quiet_frames(p: TrackParams) -> int:
+    """Frames without a candidate across which no step of the tracker sees."""
+    return max(p.link_gap, p.max_gap, p.piece_inner_gap + 1) + 1
+
+
 def split_spans(candidates: DataFrame, keys: list[str], p: TrackParams) -> DataFrame:
     """candidates with `span`, a number that grows wherever no step of the tracker can see across."""
-    quiet = max(p.link_gap, p.max_gap, p.piece_inner_gap + 1) + 1
+    quiet = quiet_frames(p)
     w = Window.partitionBy(*keys).orderBy("frame")
     new = F.coalesce((F.col("frame") - F.lag("frame").over(w) > quiet).cast("int"), F.lit(0))
     return candidates.withColumn("_q", new).withColumn("span", F.sum("_q").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_q")
