@@ -269,5 +269,5 @@ def fit_pieces(candidates: DataFrame, keys: list[str], width: float, fps: float,
             yield pd.DataFrame(pieces(rest, 0, len(rest)), columns=[*group, *names])
 
     head = ", ".join(f"{c} {spans.schema[c].dataType.simpleString()}" for c in group)
-    ordered = spans.repartition(*keys).sortWithinPartitions(*group, "frame", "cand_idx")
+    ordered = spans.repartition(*group).sortWithinPartitions(*group, "frame", "cand_idx")
     return ordered.mapInPandas(run, f"{head}, {PIECE}")

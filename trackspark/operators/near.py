@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import table
+
 
 def grid_join(a: DataFrame, b: DataFrame, radius: float, keys: list[str]) -> DataFrame:
     """Rows of a (with x, y) joined with those of b (with _x, _y) of equal keys within `radius`, and their distance _d.
@@ -26,19 +28,72 @@ def pairs_within(points: DataFrame, radius: float, keys: list[str], cols: list[s
     return grid_join(points.select(*keys, *cols, "x", "y"), other, radius, keys).drop("_d")
 
 
+def frame_runs(points: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
+    """keys, runs: the distinct frames of a key as array<struct<a, b>> of consecutive ones, in no order."""
+    w = Window.partitionBy(*keys).orderBy(frame)
+    d = points.select(*keys, frame).distinct().withColumn("_new", F.coalesce((F.col(frame) - F.lag(frame).over(w) > 1).cast("int"), F.lit(1)))
+    d = d.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(*keys, "_run").agg(F.min(frame).cast("bigint").alias("a"), F.max(frame).cast("bigint").alias("b")).groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+
+
+def run_stats(runs: Column, gap: int) -> Column:
+    """struct<frames, span, visits> of the union of runs of frames: how many, from first to last, and in how many visits more than `gap` apart."""
+    ordered = F.array_sort(runs)
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("visits"))
+
+    def add(s: Column, r: Column) -> Column:
+        end = s["end"]
+        more = F.greatest(F.lit(0), r["b"] - F.greatest(r["a"] - 1, F.coalesce(end, r["a"] - 1)))
+        away = F.coalesce(r["a"] - end > gap, F.lit(True)).cast("bigint")
+        return F.struct((s["n"] + more).alias("n"), F.greatest(end, r["b"]).alias("end"), (s["visits"] + away).alias("visits"))
+
+    return F.aggregate(ordered, none, add, lambda s: F.struct(s["n"].cast("int").alias("frames"), (s["end"] - F.get(ordered, F.lit(0))["a"]).alias("span"), s["visits"].cast("int").alias("visits")))
+
+
 def static_points(points: DataFrame, radius: float, keys: list[str], ident: str, frame: str = "frame", min_frames: int = 4, min_span: int = 12, min_visits: int = 3, gap: int = 2) -> DataFrame:
-    """key, ident, frames, span, visits of points that something keeps coming back to: false detections that do not move.
+    """keys, ident, frames, span, visits of points that something keeps coming back to: false detections that do not move.
 
-    Places are joined, not points: whatever stands at one place in many frames is one row of it.
+    Points are dealt into cells half a radius wide, so that a cell's points are all neighbours, and a cell is one row: the box around
+    its points and the runs of their frames. Two cells whose boxes lie within the radius of each other wholly count as such, and a
+    cell that has only such neighbours decides all its points at once. Only points of a cell that some box reaches in part look at that box, and
+    at its points only if their own radius cuts it. Cells whose whole surroundings are in too few frames are left at once.
     """
-    places = points.groupBy(*keys, "x", "y").agg(F.collect_set(frame).alias("_fs"))
-    near = pairs_within(places, radius, keys, ["_fs"]).groupBy(*keys, "x", "y").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("other__fs")))).alias("_fs"))
-    n = F.size("_fs")
-    steps = F.zip_with(F.slice("_fs", 2, F.greatest(F.lit(1), n)), F.slice("_fs", 1, F.greatest(F.lit(0), n - 1)), lambda b, a: b - a)
-    back = F.size(F.filter(steps, lambda d: d > gap))
-    g = near.select(*keys, "x", "y", n.alias("frames"), (F.element_at("_fs", -1) - F.col("_fs")[0]).alias("span"), (back + 1).alias("visits"))
-    g = g.where((F.col("frames") >= min_frames) & (F.col("span") >= min_span) & (F.col("visits") >= min_visits))
-    return points.select(*keys, ident, "x", "y").join(g, [*keys, "x", "y"]).drop("x", "y")
+    side = radius / 2
+    cell = [*keys, "_i", "_j"]
+    p = points.select(*keys, ident, frame, "x", "y", F.floor(F.col("x") / side).cast("bigint").alias("_i"), F.floor(F.col("y") / side).cast("bigint").alias("_j"))
+    box = [f(c).alias(n) for c in ("x", "y") for f, n in ((F.min, f"_{c}0"), (F.max, f"_{c}1"))]
+    cells = table(p.groupBy(*cell).agg(*box).join(frame_runs(p, cell, frame), cell), "cells")
+
+    offsets = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3))))
+    other = cells.select(*keys, F.col("_i").alias("_bi"), F.col("_j").alias("_bj"), *(F.col(f"_{c}{k}").alias(f"_b{c}{k}") for c in ("x", "y") for k in (0, 1)), F.col("runs").alias("_bruns"))
+    other = other.withColumn("_o", offsets).withColumns({"_i": F.col("_bi") + F.col("_o.i"), "_j": F.col("_bj") + F.col("_o.j")}).drop("_o")
+    # how far the points of two boxes are apart at most, and at least
+    most = lambda c, lo, hi: F.greatest(F.col(f"_b{c}1") - lo, hi - F.col(f"_b{c}0"))
+    least = lambda c, lo, hi: F.greatest(F.lit(0.0), F.col(f"_b{c}0") - hi, lo - F.col(f"_b{c}1"))
+    between = lambda f, at: F.hypot(*(f(c, *at(c)) for c in ("x", "y")))
+    boxes = lambda c: (F.col(f"_{c}0"), F.col(f"_{c}1"))
+    point = lambda c: (F.col(c), F.col(c))
+
+    met = cells.drop("runs").join(other, cell).where(between(least, boxes) <= radius).withColumn("_whole", between(most, boxes) <= radius)
+    around = met.groupBy(*cell).agg(F.flatten(F.collect_list(F.when(F.col("_whole"), F.col("_bruns")))).alias("_near"), F.flatten(F.collect_list("_bruns")).alias("_all"), F.max(~F.col("_whole")).alias("_open"))
+    around = around.withColumn("_s", run_stats(F.col("_all"), gap)).where((F.col("_s.frames") >= min_frames) & (F.col("_s.span") >= min_span))
+    around = table(around.select(*cell, "_near", "_open", "_s"), "around")  # what has only whole neighbours has its answer in _s
+
+    mine = [*keys, ident, "x", "y"]
+    decided = p.select(*mine, "_i", "_j").join(around.where("NOT _open").select(*cell, "_s"), cell).select(*keys, ident, "_s")
+    some = p.select(*mine, "_i", "_j").distinct().join(around.where("_open").select(*cell), cell)
+    part = met.where(~F.col("_whole")).select(*cell, *(c for c in other.columns if c not in cell))
+    some = table(some, "open")
+    seen = some.join(part, cell).where(between(least, point) <= radius).withColumn("_in", between(most, point) <= radius)
+    whole = seen.where("_in").select(*mine, F.col("_bruns").alias("_r"))
+    q = p.select(*keys, F.col("_i").alias("_bi"), F.col("_j").alias("_bj"), F.col(frame).cast("bigint").alias("_f"), F.col("x").alias("_qx"), F.col("y").alias("_qy"))
+    single = seen.where("NOT _in").select(*mine, "_bi", "_bj").join(q, [*keys, "_bi", "_bj"]).where(F.hypot(F.col("x") - F.col("_qx"), F.col("y") - F.col("_qy")) <= radius)
+    single = single.groupBy(*mine).agg(F.collect_set("_f").alias("_fs")).select(*mine, F.transform("_fs", lambda f: F.struct(f.alias("a"), f.alias("b"))).alias("_r"))
+    more = whole.unionByName(single).groupBy(*mine).agg(F.flatten(F.collect_list("_r")).alias("_r"))
+    none = F.array().cast("array<struct<a: bigint, b: bigint>>")
+    rest = some.join(more, mine, "left").join(around.select(*cell, "_near"), cell).select(*keys, ident, run_stats(F.concat("_near", F.coalesce("_r", none)), gap).alias("_s"))
+    got = decided.unionByName(rest).select(*keys, ident, "_s.*")
+    return got.where((F.col("frames") >= min_frames) & (F.col("span") >= min_span) & (F.col("visits") >= min_visits))
 
 
 def nearest_within(points: DataFrame, candidates: DataFrame, radius: float, keys: list[str], ident: str, cand: str) -> DataFrame:
