@@ -52,9 +52,13 @@ def srgb_to_linear(c: Column) -> Column:
     return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, 2.4))
 
 
+#: Of linear red, green and blue.
+LUMINANCE_WEIGHTS = (0.2126, 0.7152, 0.0722)
+
+
 def luminance(r: Column, g: Column, b: Column) -> Column:
     """Of linear components."""
-    return 0.2126 * r + 0.7152 * g + 0.0722 * b
+    return LUMINANCE_WEIGHTS[0] * r + LUMINANCE_WEIGHTS[1] * g + LUMINANCE_WEIGHTS[2] * b
 
 
 def hex_luminance(colour: Column) -> Column:

@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from ..config import TrackParams
 from ..tables import table
+from . import crops
+from .asof import linear_at
 from .gapfill import track
+from .pixels import lost_balls
 from .search import planned
 
 #: A found blob's score as a candidate, and the least that counts.
 BASE, GAIN, LEAST = 0.25, 0.35, 0.15
+#: Fixed values, as shares of the width: the widest search, and what a search's window shows around it.
+WIDEST, AROUND = 0.06, 0.015
 #: Frames from which a crop's background is taken; how unlike a good one may be, and how many serve.
 OFFSETS, UNLIKE, GOOD, ELSE = (4, 8, 12), 12.0, 4, 3
 
@@ -36,6 +41,30 @@ def retrack(candidates: DataFrame, cuts: DataFrame, n_frames: DataFrame, search:
     return track(both, cuts, width, height, fps, p, key)
 
 
+def search_frames(plan: DataFrame, detected: DataFrame, radii: DataFrame, cuts: DataFrame, files: DataFrame, width: float, height: float, key: str = "video_id") -> DataFrame:
+    """key, frame, x, y, score of the balls that the planned frames' pixels show near their predicted places.
+
+    plan is search.planned()'s, detected has key, frame, x, y, radii has key, frame, r (read between its frames), files is
+    sources.frames.frame_files(). The radius of a search is at most WIDEST of the width. A ball's speed is that between its detections within two
+    frames, which bounds how long a streak may be.
+    """
+    plan = plan.withColumn("radius", F.least(F.col("radius"), F.lit(WIDEST * width)))
+    plan = plan.withColumn("half", F.ceil(F.col("radius") + AROUND * width).cast("int"))
+    wanted = plan.withColumnsRenamed({"x": "px", "y": "py"})
+    wanted = wanted.withColumn("box", crops.square(F.col("px"), F.col("py"), F.col("half"), width, height)).where("box IS NOT NULL")
+    still = (F.abs(F.col("qx") - F.col("px")) < F.col("half")) & (F.abs(F.col("qy") - F.col("py")) < F.col("half"))
+    seen = crops.differences(crops.cut(crops.with_background(wanted, detected, still, cuts, files, key), files, key), key=key)
+    at = plan.select(key, "frame", F.explode(F.array(*map(F.lit, (-2, -1, 1, 2)))).alias("_o")).withColumn("_f", F.col("frame") + F.col("_o"))
+    near = at.join(detected.select(key, F.col("frame").alias("_f"), F.struct("frame", "x", "y").alias("_p")), [key, "_f"]).groupBy(key, "frame").agg(F.min("_p").alias("a"), F.max("_p").alias("b"), F.count("*").alias("n"))
+    pace = F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")) / F.greatest(F.lit(1), F.col("b.frame") - F.col("a.frame"))
+    near = near.select(key, "frame", F.when(F.col("n") >= 2, pace).otherwise(0.0).alias("speed"))
+    size = linear_at(radii, plan.select(key, "frame"), "r", key, "frame").withColumnRenamed("r", "expected")
+    ready = seen.join(wanted.select(key, "frame", "px", "py", "radius"), [key, "frame"]).join(size, [key, "frame"]).join(near, [key, "frame"], "left")
+    ready = ready.withColumns({"px": F.col("px") - F.col("x0"), "py": F.col("py") - F.col("y0"), "speed": F.coalesce("speed", F.lit(0.0))})
+    found = lost_balls(ready, [key, "frame", "x0", "y0"])
+    return found.select(key, "frame", (F.col("x") + F.col("x0")).alias("x"), (F.col("y") + F.col("y0")).alias("y"), "score")
+
+
 def background_frames(wanted: DataFrame, frames: DataFrame, mismatch: Callable[[str, str], Column], near: float, key: str = "video_id") -> DataFrame:
     """key, frame, other, offset, mismatch, rank: the frames whose crops make the background of each wanted frame.
 

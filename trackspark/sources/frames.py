@@ -224,3 +224,19 @@ def write_frames(frames: DataFrame, folder: str, fps: float, times: bool = False
 
     ordered = frames.select("video_id", "frame", "t", "h", "w", "rgb").repartition("video_id").sortWithinPartitions("video_id", "frame")
     return ordered.mapInArrow(run, "video_id string, path string, n bigint")
+
+
+def frame_files(spark: SparkSession, path: str) -> DataFrame:
+    """video_id, path, width, height, fps, n of the packed files under path; their headers are read in tasks."""
+    store, root = opened(path)
+    names = [x.path for x in store.get_file_info(fs.FileSelector(root)) if x.is_file and not x.base_name.startswith((".", "_"))]
+    scheme = path.split("://")[0] + "://" if "://" in path else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = [(uri, read_header(*opened(uri))) for uri in b.column(0).to_pylist()]
+            cols = [[h.video_id for _, h in known], [u for u, _ in known], [h.width for _, h in known], [h.height for _, h in known], [h.fps for _, h in known], [h.n for _, h in known]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32()), strict=True)], names=["video_id", "path", "width", "height", "fps", "n"])
+
+    listed = spark.createDataFrame([(scheme + n if scheme else n,) for n in sorted(names)], "path string").repartition(max(1, min(len(names), 1000)))
+    return listed.mapInArrow(run, "video_id string, path string, width int, height int, fps double, n int")
