@@ -160,3 +160,12 @@ def test_walks_are_drawn_until_the_recall_is_reached(monkeypatch):
     r = np.random.default_rng(0)
     texts = [prose(r, 60) for _ in range(30)]
     assert enough_walks(list(range(30)), texts, recall=0.99) > 1
+
+
+def test_walks_end_with_an_error(monkeypatch):
+    from trackspark.llm import decontaminate as D
+
+    monkeypatch.setattr(D.Items, "recall", lambda self, seed=0: 0.5)
+    monkeypatch.setattr(D, "MOST_WALKS", 64)
+    with pytest.raises(ArithmeticError, match="recall of 0.500"):
+        D.enough_walks([1], ["a benchmark item of some length, to be found in texts"])

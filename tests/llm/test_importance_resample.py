@@ -69,3 +69,21 @@ def test_accuracy_on_rows_outside_the_sample(spark):
     seen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0)
     got = R.importance_scores(docs, seen).join(labels.join(seen, "doc_id", "left_anti"), "doc_id")
     assert got.agg(F.avg((F.col("keep") == (F.col("quality") == 1)).cast("double"))).first()[0] > 0.97
+
+
+def test_rows_that_repeat_an_identifier_with_other_texts_agree_in_any_order(spark):
+    docs = [(k % 12, f"word{k % 5} " * (k % 7 + 1) + f"other{k} text", k) for k in range(80)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    first = None
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(docs[::-1] if parts == 3 else docs, "doc_id long, text string, extra int").repartition(parts)
+        got = sorted(map(str, R.importance_scores(df, labels).collect()))
+        first = first or got
+        assert got == first
+
+
+def test_texts_of_another_type_count_as_text(spark):
+    df = spark.createDataFrame([(k, k * 1001) for k in range(20)], "doc_id long, text long")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = R.resample(df, labels)
+    assert got.schema == df.schema and {tuple(r) for r in got.collect()} <= {tuple(r) for r in df.collect()}

@@ -21,6 +21,8 @@ HARD_BITS, EASY_BITS = 8, 4
 GEAR = (BYTE >> np.uint64(40)).astype(np.uint16)
 #: Ranges of identifiers that neighbours() deals rows over, at most.
 MOST_RANGES = 4096
+#: Bytes of text in a range, about.
+RANGE_BYTES = 256 << 20
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -96,7 +98,7 @@ def _sets(texts: list[str]) -> list[np.ndarray]:
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint for every row of docs: shift-resistant, equal for equal texts, no shuffle.
 
-    A null or empty text has the empty fingerprint; rows may repeat; other columns are ignored.
+    A null or empty text has the empty fingerprint; rows may repeat; other columns, whatever their names, are ignored; texts of any length are chunked whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +119,7 @@ def neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     storage.bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = min(MOST_RANGES, ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = min(MOST_RANGES, ranges or storage.parts_of(rows, "text", RANGE_BYTES))
     cuts = sorted(set(rows.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
     # parts count from the highest identifiers down; null is the last part
     part = F.size(F.filter(F.array(*(F.lit(int(c)) for c in cuts)).cast("array<bigint>"), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
@@ -138,7 +140,8 @@ def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame
     """Fingerprints of every text, of its edited text, and their likeness; see SCHEMA.
 
     The edited text has its last third (rounded down) replaced by as many characters of the next row in descending
-    doc_id. A null text counts as empty; an only row is its own next; an empty table gives no rows.
+    doc_id. A null text counts as empty; an only row is its own next; an empty table gives no rows. Rows that repeat a doc_id follow each other in order of
+    text, rows without one come last; other columns, whatever their names, are ignored; texts of any length are read whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

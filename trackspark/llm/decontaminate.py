@@ -19,6 +19,8 @@ EDITS = 0.1
 RECALL = 0.99
 #: Edited copies of each class of lengths that the number of walks is tried on, and how many walks it begins with.
 TRIALS, WALKS = 200, 32
+#: Walks beyond which none are drawn.
+MOST_WALKS = 4096
 #: Lengths of a class of items lie within this ratio.
 CLASS = 1.25
 #: Characters of a gram, and least diagonals of a band; an item's bands are wider than its edits (see Items).
@@ -240,10 +242,15 @@ class Items:
 
 
 def enough_walks(ids: list, texts: list[str], edits: float = EDITS, recall: float = RECALL) -> int:
-    """The number of walks with which every class of lengths reaches the recall asked for: doubled until trials by the search itself say so."""
+    """The number of walks with which every class of lengths reaches the recall asked for: doubled until trials by the search itself say so.
+
+    Raises ArithmeticError where MOST_WALKS walks do not reach it.
+    """
     items = Items(ids, texts, edits, WALKS)
     walks = WALKS
-    while items.recall() < recall:
+    while (reached := items.recall()) < recall:
+        if walks >= MOST_WALKS:
+            raise ArithmeticError(f"{walks} walks reach a recall of {reached:.3f}, not {recall}")
         walks *= 2
         items.draw(walks)
     return walks
@@ -269,7 +276,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: f
     A window meets an item where all symbols of a bit sample of their CGK walks agree; each meeting is verified by edit
     distance over the normalised texts. The walks are drawn until, of copies with as many edits as are allowed, at random places,
     `recall` meet their item, for every class of lengths of the items at hand; unchanged passages always do.
-    `edits` is the least over the windows that met, so a document with several passages of an item may hold a nearer one.
+    More walks than MOST_WALKS are not drawn: where they do not reach the recall, ArithmeticError is raised. `edits` above 1/8 counts as one edit less than an
+    eighth of an item's characters, as an item must keep one of its grams whole (see Items).
+    The column `edits` is the least over the windows that met, so a document with several passages of an item may hold a nearer one.
     Null and empty texts hold nothing; null ids stay null; repeated rows answer alike; empty tables give no rows;
     other columns are ignored; long texts are searched whole. No shuffle: a block of items of bounded size travels to the documents.
     """

@@ -76,15 +76,15 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs and SCORE, from one pass without a shuffle."""
     storage.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.ratio)  # BUCKETS doubles
-    at = docs.columns.index("text")
+    name = "text" if docs.schema["text"].dataType.typeName() == "string" else storage.PREFIX + "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(shared.value)
-        for rows, data, offs in text_views(batches):
+        for rows, data, offs in text_views(batches, name):
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(m.score(data, offs))], names=[*rows.schema.names, SCORE])
 
-    assert docs.schema[at].dataType.typeName() == "string", "text is a string column"
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
+    read = docs if name == "text" else docs.withColumn(name, F.col("text").cast("string"))
+    return read.mapInArrow(run, T.StructType([*read.schema.fields, T.StructField(SCORE, T.DoubleType())])).drop(*{name} - {"text"})
 
 
 def log_odds(model: Model) -> Column:
@@ -151,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[Model
     target = counts.get("target", none)
     model = Model.of(target, target + counts.get("other", none))
     scored = storage.table(with_score(rows, model).select("doc_id", SCORE, "quality"), "scores")
-    pairs = scored.where("quality IS NOT NULL").dropDuplicates(["doc_id"]).limit(most).toPandas()
+    one = F.min(F.struct(SCORE, "quality")).alias("one")  # of rows that repeat an identifier that of the least score
+    pairs = scored.where("quality IS NOT NULL").groupBy("doc_id").agg(one).select("doc_id", "one.*").orderBy("doc_id").limit(most).toPandas()
     model.slope, model.shift = _calibrate(pairs[SCORE].to_numpy(float), pairs["quality"].to_numpy(float))
     total, expected = scored.agg(F.count("*"), F.sum(1 / (1 + F.exp(-log_odds(model))))).first()
     k = round(expected or 0)
@@ -164,13 +165,14 @@ def importance_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, log_ratio, score (posterior of being target-like), keep, for every row of docs.
 
     A null or empty text has no n-grams and mean 0; a null doc_id draws noise like any other; rows that repeat an
-    identifier draw the same noise; without labels everything is kept; an empty table gives no rows.
+    identifier draw the same noise, and the one of least score calibrates; without labels everything is kept; an empty table gives no rows;
+    texts of any length are scored whole; other columns, whatever their names, are left out.
     """
     model, scored = fit(docs, labels)
     return scored.select("doc_id", F.col(SCORE).alias("log_ratio"), (1 / (1 + F.exp(-log_odds(model)))).alias("score"), (key(model) >= float(model.least_key)).alias("keep"))
 
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, whose key is among the k largest. Texts are read again, not shuffled."""
+    """The rows of docs, all columns as they are and whatever their names, whose key is among the k largest. Texts are read again, not shuffled; one of another type than string counts as its text."""
     model, _ = fit(docs, labels)
     return with_score(docs, model).where(key(model) >= float(model.least_key)).drop(SCORE)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackspark.tables import fresh_path, shared_dir
 from trackspark.tables import table as _table
@@ -27,6 +28,12 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def parts_of(rows: DataFrame, column: str, part_bytes: int) -> int:
+    """Partitions to deal rows into: as many as shuffles have, and so many more that none has more than part_bytes of the column's text on average."""
+    total = rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+
+
 def table(df: DataFrame, what: str = "table", folder: str | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: a cut of the lineage that outlives executors."""
     bound_batches(df.sparkSession)

@@ -36,6 +36,8 @@ from .textbytes import same_spans, text_views, word_hash
 
 END_ID = 2
 BLOCK_BYTES = 1 << 16
+#: Bytes of text in a shard, about, where shuffles have too few partitions for that.
+SHARD_BYTES = 256 << 20
 BLOOM_BITS = 10
 BLOOM_PROBES = 7
 MAGIC = b"TSSST01\n"
@@ -359,6 +361,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     folder = folder or storage.fresh_path(spark, "token-shards")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     by = [F.col("doc_id"), F.xxhash64("text")]
+    if partitions is None and (n := storage.parts_of(rows, "text", SHARD_BYTES)) > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        partitions = n
     dealt = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
