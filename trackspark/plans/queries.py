@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, geometry, ids, settings
-from ..operators import asof, gapfill, intervals, jobs, merge, near, pixels, recover, ring, search, series, stats, validate
+from ..operators import asof, fit, gapfill, intervals, jobs, lifecycle, merge, near, pixels, recover, ring, search, series, stats, validate
+from ..sources import expand
 from . import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -585,3 +586,67 @@ def dismissals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.track_rows(spark, sf_dir).select("video_id", F.col("t").alias("at"), (F.col("event_id") % 3 != 0).alias("dismissed"))
     now = e.agg(F.max("at")).first()[0]
     return recover.dismissals(e.select("video_id", "at").limit(0), e, now, 86400.0 * 3)
+
+
+# ---------------------------------------------------------------- documents, fit, page states
+
+
+@query(f"""WITH {A.ROWS} SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) - 1)::INT AS pos, t, x, y, r, conf, ring, flags, sl, sa FROM rows_""")
+def expand_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's rows as one document, read back by the table function in a lateral join."""
+    cells = [F.concat(F.lit('"'), F.col(c), F.lit('"')) if c == "ring" else F.col(c).cast("string") for c in ("t", "x", "y", "r", "conf", "ring", "flags", "sl", "sa")]
+    line = F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]"))
+    rows = A.track_rows(spark, sf_dir).select("video_id", F.struct("t", "event_id", line.alias("line")).alias("e"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["line"]), ",")
+    docs = rows.groupBy("video_id").agg(F.concat(F.lit('{"fields": ["t", "x", "y", "r", "conf", "ring", "flags", "sl", "sa"], "frames": ['), lines, F.lit("]}")).alias("doc"))
+    return expand.expanded(docs, ["video_id"])
+
+
+@query(f"""WITH {A.ROWS}, g AS (SELECT event_id, video_id, x * 100 AS cx, y * 100 AS cy, sl * 1000 AS half, sa AS angle, r * 1000 - 0.5::DOUBLE AS inner_, event_id % 5 / 4.0::DOUBLE AS radius, event_id * 7919 % 13 AS e FROM rows_),
+p AS (SELECT *, unnest([[-1.0::DOUBLE, 0], [0, 0.5::DOUBLE], [1, 0.25::DOUBLE], [0.5::DOUBLE, -0.75::DOUBLE]]) AS q FROM g),
+d AS (SELECT *, q[1] * e AS dx, q[2] * e AS dy FROM p), a AS (SELECT *, dx * cos(angle) + dy * sin(angle) AS al FROM d),
+f AS (SELECT *, sqrt(power(dx - greatest(-half, least(half, al)) * cos(angle), 2) + power(dy - greatest(-half, least(half, al)) * sin(angle), 2)) + radius AS far_, abs(al) + radius AS along_ FROM a)
+SELECT video_id, event_id, count(*) AS n, round(max(far_) - inner_, 6) AS overshoot, round(inner_ - max(far_), 6) AS side_gap, round(half + inner_ - max(along_), 6) AS tip_gap FROM f GROUP BY video_id, event_id, inner_, half""")
+def fit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's ring against an outline of four discs around it."""
+    rows = A.track_rows(spark, sf_dir)
+    rings = rows.select("video_id", "event_id", (F.col("x") * 100).alias("cx"), (F.col("y") * 100).alias("cy"), (F.col("sl") * 1000).alias("half"), F.col("sa").alias("angle"), (F.col("r") * 1000).alias("radius"), F.lit(1.0).alias("line"), (F.col("event_id") % 5 / 4.0).alias("ball"))
+    q = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-1.0, 0.0), (0.0, 0.5), (1.0, 0.25), (0.5, -0.75)))))
+    e = F.col("event_id") * 7919 % 13
+    outline = rings.withColumn("q", q).select("video_id", "event_id", (F.col("cx") + F.col("q.a") * e).alias("x"), (F.col("cy") + F.col("q.b") * e).alias("y"))
+    return _round(fit.fit_check(rings, outline, F.col("ball"), frame="event_id"), 6, "overshoot", "side_gap", "tip_gap")
+
+
+PAGE_EVENTS = """ev AS (SELECT user_id AS page, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id,
+  CASE WHEN event_id % 9 < 2 THEN 'navigate' WHEN event_id % 9 < 5 THEN 'video' WHEN event_id % 9 < 7 THEN 'track' ELSE 'job' END AS kind,
+  CASE WHEN event_id % 9 = 1 THEN NULL ELSE event_id % 31 END AS vid, ['ok', 'ok', 'missing', 'ok', 'unreachable', 'ok', 'refused'][(event_id * 7919 % 7 + 1)::INT] AS outcome,
+  ['queued', 'processing', 'ready', 'failed', 'done'][(event_id * 31 % 5 + 1)::INT] AS status, event_id * 17 % 3 > 0 AS has_track, event_id * 13 % 2 = 0 AS has_job FROM events),
+asked AS (SELECT *, sum((kind = 'navigate')::INT) OVER (PARTITION BY page ORDER BY seq) - (event_id % 4 = 0)::INT AS asked FROM ev)"""
+
+
+@query(f"""WITH RECURSIVE {PAGE_EVENTS}, s AS (
+  SELECT page, 0::BIGINT AS seq, 0::BIGINT AS gen, NULL::BIGINT AS video_id, 'idle' AS state, false AS track, false AS rq, false AS rfail, false AS waits, false AS fresh, 0 AS failures, false AS told FROM (SELECT DISTINCT page FROM ev)
+  UNION ALL
+  SELECT page, seq, gen, video_id, CASE WHEN NOT told THEN state WHEN kind = 'navigate' THEN CASE WHEN video_id IS NULL THEN 'idle' ELSE 'loading' END
+      WHEN kind = 'video' THEN CASE WHEN outcome = 'missing' THEN 'none' WHEN outcome <> 'ok' THEN 'error' WHEN waits THEN state WHEN rq THEN 'job' WHEN track THEN 'ready' WHEN rfail THEN 'failed' ELSE 'none' END
+      WHEN kind = 'track' THEN CASE WHEN fresh THEN CASE WHEN outcome = 'ok' THEN 'ready' ELSE 'error' END WHEN rq THEN 'job' WHEN track THEN 'ready' WHEN rfail THEN 'failed' ELSE 'none' END
+      WHEN outcome = 'ok' AND status = 'failed' THEN CASE WHEN track THEN 'ready' ELSE 'failed' END WHEN outcome = 'ok' AND status NOT IN ('ready', 'done') THEN 'job' WHEN failures >= 8 THEN 'failed' ELSE state END,
+    track, rq, rfail, waits, fresh, failures, told
+  FROM (SELECT s.page, e.seq, e.kind, e.outcome, e.status, s.state, ok_, CASE WHEN nav THEN s.gen + 1 ELSE s.gen END AS gen, CASE WHEN nav THEN e.vid ELSE s.video_id END AS video_id,
+      CASE WHEN nav THEN false WHEN live AND e.kind = 'track' AND ok_ THEN true ELSE s.track END AS track, CASE WHEN nav THEN false WHEN rec THEN e.status IN ('queued', 'processing') AND e.has_job ELSE s.rq END AS rq,
+      CASE WHEN nav THEN false WHEN rec THEN e.status = 'failed' ELSE s.rfail END AS rfail, CASE WHEN nav THEN false WHEN rec THEN e.has_track ELSE s.waits END AS waits,
+      CASE WHEN nav OR rec THEN false WHEN live AND e.kind = 'job' AND ok_ AND e.status IN ('ready', 'done') THEN true ELSE s.fresh END AS fresh,
+      CASE WHEN nav THEN 0 WHEN NOT live THEN s.failures WHEN e.kind = 'job' AND NOT ok_ THEN s.failures + 1 ELSE 0 END AS failures, nav OR live AS told
+    FROM s JOIN (SELECT *, kind = 'navigate' AS nav, outcome = 'ok' AS ok_ FROM asked) e ON e.page = s.page AND e.seq = s.seq + 1, LATERAL (SELECT NOT nav AND e.asked = s.gen AS live), LATERAL (SELECT live AND e.kind = 'video' AND ok_ AS rec)))
+SELECT page, seq, gen, video_id, state AS status, track FROM s WHERE told""")
+def page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a page's navigations and answers, some of them to an older navigation."""
+    e = F.col("event_id")
+    pick = lambda k, *names: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    w = Window.partitionBy("page").orderBy("ts", "event_id")
+    ev = A.read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("page"), "ts", "event_id", F.when(e % 9 < 2, "navigate").when(e % 9 < 5, "video").when(e % 9 < 7, "track").otherwise("job").alias("kind"), F.when(e % 9 != 1, e % 31).alias("video_id"),
+        pick(e * 7919 % 7, "ok", "ok", "missing", "ok", "unreachable", "ok", "refused").alias("outcome"), pick(e * 31 % 5, "queued", "processing", "ready", "failed", "done").alias("status"), (e * 17 % 3 > 0).alias("has_track"), (e * 13 % 2 == 0).alias("has_job"),
+    ).withColumn("seq", F.row_number().over(w).cast("bigint"))
+    ev = ev.withColumn("asked", F.sum(F.when(F.col("kind") == "navigate", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)) - (e % 4 == 0).cast("int"))
+    return lifecycle.page_states(ev)
