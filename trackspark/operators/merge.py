@@ -27,8 +27,19 @@ def merge_rows(old: DataFrame, new: DataFrame, new_segments: DataFrame, key: str
     return union_by_name(intervals.outside(old, new_segments, key, "t", eps), new)
 
 
-def merge_tracks(old: dict[str, DataFrame], new: dict[str, DataFrame], eps: float = 1e-6) -> dict[str, DataFrame]:
-    """rows and segments of both; eps 1e-6 is the pipeline's rule, 0 the service's."""
+def same_videos(old: DataFrame, new: DataFrame, key: str = "video_id") -> None:
+    """Raises ValueError if one of two tracks (or sets of tracks) is of a video that the other is not."""
+    for a, b in ((old, new), (new, old)):
+        odd = a.select(key).distinct().join(b.select(key), key, "left_anti").orderBy(key).first()
+        if odd:
+            raise ValueError(f"cannot merge tracks of different videos: {odd[0]}")
+
+
+def merge_tracks(old: dict[str, DataFrame], new: dict[str, DataFrame], eps: float = 1e-6, strict: bool = False) -> dict[str, DataFrame]:
+    """rows and segments of both; eps 1e-6 is the pipeline's rule, 0 the service's. `strict`: both must be of the same videos, and old rows must have all required columns."""
+    if strict:
+        same_videos(old["segments"], new["segments"])
+        return {"rows": union_by_name(intervals.outside(old["rows"], new["segments"], "video_id", "t", eps), new["rows"], [c for c in new["rows"].columns if c not in OPTIONAL_DEFAULTS]), "segments": intervals.union(old["segments"].unionByName(new["segments"]), eps=eps)}
     return {"rows": merge_rows(old["rows"], new["rows"], new["segments"], eps=eps), "segments": intervals.union(old["segments"].unionByName(new["segments"]), eps=eps)}
 
 

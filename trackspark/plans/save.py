@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import intervals, jobs, merge, validate
@@ -21,6 +21,13 @@ def check(rows: DataFrame) -> None:
         raise InvalidTrackError(f"{bad.video_id}: row {bad.pos}: {bad.rule}")
 
 
+def refuse_bad_segments(segments: DataFrame) -> None:
+    """Raises InvalidTrackError if a segment ends before it starts, or has no bounds."""
+    odd = segments.where(~F.coalesce(F.col("end") >= F.col("start"), F.lit(False))).orderBy("video_id").first()
+    if odd:
+        raise InvalidTrackError(f"{odd.video_id}: bad segment")
+
+
 def save_tracks(rows: DataFrame, segments: DataFrame, videos: DataFrame, heads: DataFrame, path: str, replace: bool = False) -> DataFrame:
     """The table of videos after the tracks of `rows` (with pos, their place in the track) and `segments` are in the store at `path`.
 
@@ -30,19 +37,19 @@ def save_tracks(rows: DataFrame, segments: DataFrame, videos: DataFrame, heads:
     segment that ends before it starts. Empty heads change nothing. Nothing but one broken rule passes the driver.
     """
     mine = heads.select("video_id")
-    odd = segments.where(~F.coalesce(F.col("end") >= F.col("start"), F.lit(False))).orderBy("video_id").first()
-    if odd:
-        raise InvalidTrackError(f"{odd.video_id}: bad segment")
+    refuse_bad_segments(segments)
     check(rows)
     new = {"rows": rows.drop("pos").join(mine, "video_id", "left_semi"), "segments": segments.select("video_id", "start", "end").join(mine, "video_id", "left_semi")}
     known = videos.where("track_path IS NOT NULL").join(mine, "video_id", "left_semi")
     both = new
     if not replace and not known.isEmpty():
-        stored = rows.sparkSession.read.parquet(path).withColumn("video_id", F.col("video_id").cast(rows.schema["video_id"].dataType)).join(known.select("video_id"), "video_id", "left_semi")
+        stored = rows.sparkSession.read.parquet(path)
+        wanted = known.select(F.col("video_id").cast(stored.schema["video_id"].dataType))  # the store's own type, so that its folders are chosen before they are read
+        stored = stored.join(wanted, "video_id", "left_semi").withColumn("video_id", F.col("video_id").cast(rows.schema["video_id"].dataType))
         spans = known.select("video_id", F.explode("segments").alias("s")).select("video_id", "s.start", "s.end")
         both = merge.merge_tracks({"rows": stored, "segments": spans}, new, eps=0.0)
     kept = table(both["rows"], "tracks")  # the store is read and replaced
-    check(kept.withColumn("pos", F.row_number().over(Window.partitionBy("video_id").orderBy("t")) - 1))
+    check(tracks.numbered(kept))
     left = mine.join(kept, "video_id", "left_anti").orderBy("video_id").first()
     if left:
         raise InvalidTrackError(f"{left.video_id}: no rows are left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_RING
@@ -51,6 +51,11 @@ def rows(docs: DataFrame, doc: str = "doc") -> DataFrame:
     )
 
 
+def numbered(track_rows: DataFrame) -> DataFrame:
+    """track_rows with pos, each row's place in its track in order of time."""
+    return track_rows.withColumn("pos", F.row_number().over(Window.partitionBy("video_id").orderBy("t")) - 1)
+
+
 def rounded(track_rows: DataFrame) -> DataFrame:
     """Rows as files hold them: times to 3 digits, lengths to 5, confidence to 2, angles to 3."""
     digits = {"t": 3, "x": 5, "y": 5, "r": 5, "conf": 2, "sl": 5, "sa": 3}
