@@ -403,12 +403,21 @@ def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.choose(_lums(spark, sf_dir), ["user_id"], "event_id")
 
 
-@query()
+@query(f"""WITH {A.FRAMES}, cut AS (SELECT video_id, frame FROM frames WHERE event_id % 17 = 0), size_ AS (SELECT video_id, max(frame) + 2 AS n FROM frames GROUP BY video_id),
+d AS (SELECT *, lag(frame) OVER w AS pf, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(frame) OVER w AS nf, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(s) OVER w AS ns
+  FROM (SELECT video_id, frame, x, y, (SELECT count(*) FROM cut c WHERE c.video_id = f.video_id AND c.frame <= f.frame) AS s FROM frames f) WINDOW w AS (PARTITION BY video_id ORDER BY frame)),
+a AS (SELECT video_id, f AS frame, x + (f - frame) / (nf - frame)::DOUBLE * (nx - x) AS x, y + (f - frame) / (nf - frame)::DOUBLE * (ny - y) AS y, 23.04::DOUBLE + 0.8::DOUBLE * sqrt(power(nx - x, 2) + power(ny - y, 2)) / (nf - frame) * least(f - frame, nf - f) AS radius, -1 AS rank
+  FROM (SELECT *, unnest(range(frame + 1, nf)) AS f FROM d WHERE nf - frame BETWEEN 2 AND 13 AND s = ns)),
+b AS (SELECT video_id, frame + k AS frame, s, x + (x - px) * k AS x, y + (y - py) * k AS y, 23.04::DOUBLE + 0.5::DOUBLE * sqrt(power(x - px, 2) + power(y - py, 2)) * k AS radius, 2 * frame AS rank FROM d, range(1, 4) r(k) WHERE pf = frame - 1 AND coalesce(nf > frame + k, true) AND coalesce(nf <> frame + 1, true)
+  UNION ALL SELECT video_id, frame - k, s, x + (x - nx) * k, y + (y - ny) * k, 23.04::DOUBLE + 0.5::DOUBLE * sqrt(power(x - nx, 2) + power(y - ny, 2)) * k, 2 * frame + 1 FROM d, range(1, 4) r(k) WHERE nf = frame + 1 AND coalesce(pf < frame - k, true) AND coalesce(pf <> frame - 1, true)),
+c AS (SELECT * FROM a UNION ALL SELECT b.video_id, b.frame, b.x, b.y, b.radius, b.rank FROM b JOIN size_ z ON b.video_id = z.video_id WHERE b.frame >= 0 AND b.frame < z.n AND b.s = (SELECT count(*) FROM cut c WHERE c.video_id = b.video_id AND c.frame <= b.frame))
+SELECT video_id, frame::INT AS frame, round(x, 6) AS x, round(y, 6) AS y, round(radius, 6) AS radius FROM c QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY rank) = 1""")
 def plan_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = A.frames(spark, sf_dir)
     cuts = f.where("event_id % 17 = 0").select("video_id", "frame")
     d = series.shots(f.select("video_id", "frame", "x", "y"), cuts)
-    return search.planned(d, cuts, f.groupBy("video_id").agg((F.max("frame") + 2).alias("n_frames")), 1920.0)
+    got = search.planned(d, cuts, f.groupBy("video_id").agg((F.max("frame") + 2).alias("n_frames")), 1920.0)
+    return _round(got.select("video_id", "frame", "x", "y", "radius"), 6, "x", "y", "radius")
 
 
 KV = "event_id * 7919 % 61 - 30"
