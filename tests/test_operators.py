@@ -339,3 +339,11 @@ def test_save_tracks(spark, tmp_path):
     assert times() == [10.0, 12.0]
     save.save_tracks(rows(spark, row(20.0)).withColumn("pos", pos), seg(20.0, 21.0), videos, head("4"), path, replace=True)
     assert times() == [20.0]
+
+
+def test_missing_keys_are_one_series(spark):
+    from trackspark.operators.folds import fold_sorted
+
+    df = spark.createDataFrame([(None, k, float("nan")) for k in range(5)] + [("a", k, 1.0) for k in range(3)], "k string, at int, f double")
+    got = fold_sorted(df, ["k", "f"], ["at"], lambda: 0, lambda n, row: (n + 1, (row[0], n)), ["at"], "at int, n int").collect()
+    assert sorted((r.k or "", r.at, r.n) for r in got) == [("", k, k) for k in range(5)] + [("a", k, k) for k in range(3)]

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .asof import neighbours
 
+#: Parts of 0 to 1 by which shares are looked up.
+SHARES = 1024
+
 
 def union(segments: DataFrame, key: str = "video_id", eps: float = 1e-6) -> DataFrame:
     """Disjoint key, start, end: overlapping and touching (within eps) intervals become one."""
@@ -46,8 +49,14 @@ def outside(points: DataFrame, segments: DataFrame, key: str = "video_id", t: st
 
 
 def stages(weights: DataFrame, fractions: DataFrame) -> DataFrame:
-    """fraction -> the stage whose cumulative share of all weights first reaches it (weights: pos, stage, weight; a few rows, all of which are broadcast)."""
+    """fraction -> the stage whose cumulative share of all weights first reaches it (weights: pos, stage, weight); null beyond the last.
+
+    Shares are dealt over SHARES equal parts of 0 to 1, so that the join is an equality, however many fractions there are.
+    """
     w = Window.orderBy("pos")
     cum = weights.select("stage", "pos", (F.sum("weight").over(w) / F.sum("weight").over(Window.partitionBy())).alias("upto"))
-    lo = cum.withColumn("from", F.coalesce(F.lag("upto").over(w), F.lit(-1.0)))
-    return fractions.join(F.broadcast(lo), (F.col("fraction") > F.col("from")) & (F.col("fraction") <= F.col("upto")), "left").select("fraction", "stage")
+    part = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * SHARES).cast("int")
+    lo = cum.withColumn("from", F.coalesce(F.lag("upto").over(w), F.lit(-1.0))).where("from < upto").withColumn("_part", F.explode(F.sequence(part(F.col("from")), part(F.col("upto")))))
+    f = fractions.withColumn("_part", part(F.col("fraction"))).alias("f")
+    on = (F.col("f._part") == F.col("l._part")) & (F.col("fraction") > F.col("from")) & (F.col("fraction") <= F.col("upto"))
+    return f.join(lo.alias("l"), on, "left").select("fraction", "stage")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TrackParams
+from .folds import changes
 
 PIECE = "piece int, fa int, fb int, n int, rms double, cx array<double>, cy array<double>, frames array<int>, xs array<double>, ys array<double>, scores array<double>, outliers int"
 
@@ -262,7 +263,7 @@ def fit_pieces(candidates: DataFrame, keys: list[str], width: float, fps: float,
         rest = None  # a span may go on in the next batch
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            new = np.flatnonzero(np.r_[True, np.logical_or.reduce([pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1] for c in group])]).tolist() if len(pdf) else [0]
+            new = np.flatnonzero(np.r_[True, changes(pdf, group)]).tolist() if len(pdf) else [0]
             rest = pdf.iloc[new[-1] :].reset_index(drop=True)
             yield pd.DataFrame([r for a, b in zip(new, new[1:], strict=False) for r in pieces(pdf, a, b)], columns=[*group, *names])
         if rest is not None and len(rest):

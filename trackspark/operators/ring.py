@@ -13,34 +13,44 @@ SWITCH_RATIO, SWITCH_FRAMES = 1.15, 3
 COLOURS = (BLACK, WHITE, MAGENTA)
 
 
+#: What advance() needs of a row, and where it starts from.
+SEEN = ("best", "new", *(f"c{k}" for k in range(len(COLOURS))))
+START = (None, None, 0)
+
+
+def seen(rows: DataFrame, keys: list[str], frame: str, *more: str) -> DataFrame:
+    """keys, frame, more and SEEN: the best colour on lum (null where that is unknown), its contrast, and that of every colour."""
+    best = best_candidate(F.col("lum"))
+    held = [contrast(F.lit(LUMINANCE[c]), F.col("lum")).alias(f"c{k}") for k, c in enumerate(COLOURS)]
+    return rows.select(*keys, frame, *more, F.when(F.col("lum").isNotNull(), best["colour"]).alias("best"), best["contrast"].alias("new"), *held)
+
+
+def advance(state: tuple, row: tuple) -> tuple:
+    """(current, pending, count) after a row of SEEN: batches and streams share this step."""
+    current, pending, count = state
+    colour, new, *against = row
+    if colour is None:  # nothing known: all stays
+        return state
+    if current is None:
+        return colour, None, 0
+    if colour == current or new < SWITCH_RATIO * against[COLOURS.index(current)]:
+        return current, None, 0
+    count = count + 1 if colour == pending else 1
+    return (colour, None, 0) if count >= SWITCH_FRAMES else (current, colour, count)
+
+
 def choose(rows: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
     """keys, frame, ring from lum (null: unknown): a colour changes after 3 rows in a row whose best one has 1.15 times its contrast.
 
     keys name one span without breaks. What each row's best colour is, and how it stands against every colour, are native
     expressions; only who holds the ring is carried from row to row.
     """
-    best = best_candidate(F.col("lum"))
-    held = [contrast(F.lit(LUMINANCE[c]), F.col("lum")).alias(f"_c{k}") for k, c in enumerate(COLOURS)]
-    seen = rows.select(*keys, frame, F.when(F.col("lum").isNotNull(), best["colour"]).alias("_best"), best["contrast"].alias("_new"), *held)
-
     def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
-        current, pending, count = state
-        at, colour, new, *against = row
-        if colour is None:  # nothing known: all stays
-            pass
-        elif current is None:
-            current, pending, count = colour, None, 0
-        elif colour != current and new >= SWITCH_RATIO * against[COLOURS.index(current)]:
-            count = count + 1 if colour == pending else 1
-            pending = colour
-            if count >= SWITCH_FRAMES:
-                current, pending, count = colour, None, 0
-        else:
-            pending, count = None, 0
-        return (current, pending, count), (at, current or WHITE)
+        state = advance(state, row[1:])
+        return state, (row[0], state[0] or WHITE)
 
     kind = rows.schema[frame].dataType.simpleString()
-    return fold_sorted(seen, keys, [frame], lambda: (None, None, 0), step, [frame, "_best", "_new", *(f"_c{k}" for k in range(len(COLOURS)))], f"{frame} {kind}, ring string")
+    return fold_sorted(seen(rows, keys, frame), keys, [frame], lambda: START, step, [frame, *SEEN], f"{frame} {kind}, ring string")
 
 
 def background_luminance(pixels: DataFrame, keys: list[str], inner: float = 1.3, outer: float = 2.5, least: int = 4) -> DataFrame:

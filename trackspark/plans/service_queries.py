@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, ids, layout
-from ..operators import jobs, report
+from ..operators import asof, intervals, jobs, report
 from ..sources import probe
 from . import adapters as A
 from .queries import _round, query
@@ -145,3 +145,22 @@ def id_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("s")
     far = k % 6
     return u.select("page_id", ids.is_video_id(c).alias("is_id"), ids.local_id(c).alias("local_id"), ids.extract_id(c).alias("extracted"), ids.overlay_id(c).alias("overlay"), F.when(far.isin(1, 2, 4, 5), ids.tail_id(c)).alias("tail"), ids.range_tag(F.when(k % 3 > 0, k), F.when(k % 4 > 0, k + 5)).alias("tag"))
+
+
+@query("""WITH w AS (SELECT p_size AS pos, count(*)::DOUBLE AS weight FROM part GROUP BY p_size), c AS (SELECT pos, 'stage ' || pos AS stage, sum(weight) OVER (ORDER BY pos) / sum(weight) OVER () AS upto, coalesce(lag(pos) OVER (ORDER BY pos), -1) AS before FROM w),
+d AS (SELECT stage, upto, coalesce(lag(upto) OVER (ORDER BY pos), -1) AS lo FROM c), f AS (SELECT o_orderkey, (o_orderkey * 7919 % 10007) / 10000.0::DOUBLE AS fraction FROM orders)
+SELECT stage, count(*) AS n, round(sum(fraction), 6) AS total FROM f LEFT JOIN d ON fraction > lo AND fraction <= upto GROUP BY stage""")
+def stage_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fractions of progress among the stages that the sizes of parts make."""
+    w = A.read(spark, sf_dir, "part").groupBy(F.col("p_size").alias("pos")).agg(F.count("*").cast("double").alias("weight")).withColumn("stage", F.concat(F.lit("stage "), F.col("pos").cast("string")))
+    f = A.read(spark, sf_dir, "orders").select((F.col("o_orderkey") * 7919 % 10007 / 10000.0).alias("fraction"))
+    return intervals.stages(w, f).groupBy("stage").agg(F.count("*").alias("n"), F.round(F.sum("fraction"), 6).alias("total"))
+
+
+@query(f"""WITH {A.ROWS}, one AS (SELECT t, min(event_id) AS event_id FROM rows_ GROUP BY t), p AS (SELECT event_id, t + 600 AS t FROM one)
+SELECT p.event_id, p.t, r.t AS floor_t, r.event_id AS floor_event FROM p ASOF LEFT JOIN one r ON p.t >= r.t""")
+def one_long_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one video: what was last seen ten minutes after each."""
+    rows = A.track_rows(spark, sf_dir).groupBy("t").agg(F.min("event_id").alias("event_id")).withColumn("video_id", F.lit("v"))
+    d = asof.neighbours(rows, rows.select("video_id", (F.col("t") + 600).alias("t"), F.col("event_id").alias("e")), "video_id", "t", extra=["e"])
+    return d.select(F.col("e").alias("event_id"), "t", F.col("lo.t").alias("floor_t"), F.col("lo.event_id").alias("floor_event"))

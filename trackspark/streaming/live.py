@@ -9,28 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import BLACK, MAGENTA, WHITE
-from ..functions.geometry import LUMINANCE
-from ..operators.ring import SWITCH_FRAMES, SWITCH_RATIO
-
-
-def _contrast(colour: str, lum: float) -> float:
-    a, b = LUMINANCE[colour], lum
-    return (max(a, b) + 0.05) / (min(a, b) + 0.05)
-
-
-def _advance(state: tuple[str | None, str | None, int], lum: float | None) -> tuple[str | None, str | None, int]:
-    current, pending, count = state
-    if lum is None:
-        return state
-    two = max((BLACK, WHITE), key=lambda c: (_contrast(c, lum), c == BLACK))
-    best = MAGENTA if _contrast(MAGENTA, lum) >= 1.2 * _contrast(two, lum) else two
-    if current is None:
-        return best, None, 0
-    if best == current or _contrast(best, lum) < SWITCH_RATIO * _contrast(current, lum):
-        return current, None, 0
-    count = count + 1 if best == pending else 1
-    return (best, None, 0) if count >= SWITCH_FRAMES else (current, best, count)
+from ..config import WHITE
+from ..operators import ring
+from ..operators.folds import plain
 
 
 def ring_colours(rows: DataFrame, key: str = "video_id", max_gap: int = 8) -> DataFrame:
@@ -42,16 +23,16 @@ def ring_colours(rows: DataFrame, key: str = "video_id", max_gap: int = 8) -> Da
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = tuple(state.get) if state.exists else (None, None, 0, -1)
-        pdf = pd.concat(list(parts)).sort_values("frame")
+        pdf = plain(pd.concat(list(parts)).sort_values("frame"))
         out = []
-        for frame, lum in zip(pdf["frame"].tolist(), pdf["lum"].tolist(), strict=True):
-            machine = now[:3] if now[3] < 0 or frame - now[3] <= max_gap + 1 else (None, None, 0)
-            now = (*_advance(machine, None if pd.isna(lum) else lum), frame)
+        for frame, *row in pdf[["frame", *ring.SEEN]].itertuples(index=False, name=None):
+            machine = now[:3] if now[3] < 0 or frame - now[3] <= max_gap + 1 else ring.START
+            now = (*ring.advance(machine, row), frame)
             out.append((k[0], frame, now[0] or WHITE))
         state.update(now)
         yield pd.DataFrame(out, columns=[key, "frame", "ring"])
 
-    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, frame bigint, ring string", "current string, pending string, count int, last bigint", "append", GroupStateTimeout.NoTimeout)
+    return ring.seen(rows, [key], "frame").groupBy(key).applyInPandasWithState(update, f"{key} {kind}, frame bigint, ring string", "current string, pending string, count int, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def runs(rows: DataFrame, ts: str, key: str, gap: str = "10 seconds", late: str = "1 minute") -> DataFrame:
