@@ -122,5 +122,21 @@ def test_strings_that_share_a_digest_are_compared_by_bytes(monkeypatch):
     monkeypatch.setattr(S, "span_hash", lambda h, a, b: np.zeros(len(a), np.uint64))
     parts = [bytes([97 + k]) * 200 for k in (0, 1, 2, 1, 3, 2, 2)]
     got = S.same_strings(np.frombuffer(b"".join(parts), np.uint8), np.arange(7) * 200)
-    assert got.tolist() == [False, True, True, True, False, True, True]
-    assert not S.same_strings(np.frombuffer(parts[0] + parts[1], np.uint8), np.array([0, 200])).any()
+    assert [x.tolist() for x in got] == [[False, True, True, True, False, True, True], [True, True, True, False, True, False, False]]
+    again, lead = S.same_strings(np.frombuffer(parts[0] + parts[1], np.uint8), np.array([0, 200]))
+    assert not again.any() and lead.all()
+
+
+@pytest.mark.parametrize("hot", [1, 3, 20])
+def test_passages_of_most_texts_merge_in_levels(spark, monkeypatch, hot):
+    """One passage in nearly all texts, one gram in all of them with other bytes around it, and pairs that only meet at the top."""
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "SHARD", 700)
+    r = np.random.default_rng(9)
+    text = lambda n: "".join(r.choice(list("abcdefgh "), n))
+    shared, gram = text(420), text(S.GRAM)
+    rows = [(k, text(int(r.integers(0, 90))) + shared[k % 3 : 420 - k % 5] + text(int(r.integers(0, 90))), None, None) for k in range(90)]
+    rows += [(100 + k, text(190) + gram + text(190), None, None) for k in range(60)]
+    rows += [(200 + k, rows[90 + k][1][5:400] + text(30), None, None) for k in range(0, 60, 7)]
+    got = S.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == brute(rows)

@@ -4,7 +4,9 @@ Every string of LENGTH bytes owns an anchor, the gram of least hash in it (the l
 equal anchors at equal places, so only strings whose anchor occurs again can repeat: all others are ruled out before
 any suffix is sorted. The remaining documents are dealt into shards; each sorts its suffixes and finds what repeats
 within it. One string of each kind goes on to meet those of other shards: they are dealt by anchor, and each is
-searched for in the sorted list of the others, and what is found is compared byte by byte.
+searched for in the sorted list of the others, and what is found is compared byte by byte. Strings of an anchor that very
+many texts have are dealt by a second anchor, too, and where that is common as well, they merge in levels: each part of the texts
+sends one string of each kind up, so that a passage that a third of all documents share is no single task.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .textbytes import prefix_hash, runs, same_spans, span_hash, text_views, word_hash
+from .textbytes import mix, prefix_hash, runs, same_spans, span_hash, text_views
 
 #: Bytes of a string that may not repeat, and of an anchor's gram.
 LENGTH, GRAM = 200, 24
 #: Bytes of text whose suffixes are sorted together.
 SHARD = 1 << 21
-#: Texts with an anchor beyond which its strings go on one by one, dealt by their own digests.
+#: Texts with an anchor beyond which its strings are dealt by a second anchor as well; rows of a key beyond which they merge in levels.
 HOT = 4000
+#: Mixed into the hashes of grams for second anchors.
+_SECOND = np.uint64(0x5851F42D4C957F2D)
 #: Texts that a task remembers having anchored; forgetting costs rows only.
 SEEN = 500_000
 #: Identifiers that are broadcast to fetch texts, at most; beyond, texts are joined by shuffle.
@@ -42,20 +47,21 @@ TOGETHER = 1 << 20
 # ---------------------------------------------------------------- anchors
 
 
-def owners(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all strings within documents, the place of each one's anchor, and the hash of the gram at every place."""
+def owners(data: np.ndarray, offs: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all strings within documents, the place of each one's anchor (or second anchor: by another hash), and the hash of the gram at every place."""
     n = len(data)
     if n > MOST_AT_ONCE:  # a string's anchor depends on its own bytes alone
         parts, step = [], MOST_AT_ONCE - LENGTH + 1
         for a in range(0, n - LENGTH + 1, step):
             piece = data[a : a + MOST_AT_ONCE]
-            s, p, g = owners(piece, np.clip(offs - a, 0, len(piece)))
+            s, p, g = owners(piece, np.clip(offs - a, 0, len(piece)), second)
             parts.append((s + a, p + a, g if a + step > n - LENGTH else g[:step]))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.arange(n - GRAM + 1)
     gram = span_hash(prefix_hash(data), at, at + GRAM)
+    gram = mix(gram ^ _SECOND) if second else gram
     least = (gram & ~_PLACE) | at.astype(np.uint64)
     width = LENGTH - GRAM + 1
     span = 1
@@ -174,23 +180,12 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
-def digests(data: np.ndarray) -> np.ndarray:
-    """A hash of the LENGTH bytes from each place."""
-    at = np.arange(len(data) - LENGTH + 1)
-    return span_hash(prefix_hash(data), at, at + LENGTH)
-
-
-def second_digests(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Another hash of the LENGTH bytes from each place, its blocks mixed in one after the other."""
-    return word_hash(data, at, at + LENGTH)
-
-
 # ---------------------------------------------------------------- stages
 
 MEMBERS = "doc_id bigint, n_bytes bigint, t bigint, sha string"
-#: kind 0: `count` strings of text t from `start` are repeated. 1: strings that go on, with their bytes. 2: one that goes on, h and g being two digests of it.
-FOUND = "kind int, h bigint, g bigint, t bigint, start bigint, count bigint, body binary"
-_FOUND = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("count", pa.int64()), ("body", pa.binary())])
+#: kind 0: `count` strings of text t from `start` are repeated. 1: strings that go on, with their bytes; h is what they are dealt by.
+FOUND = "kind int, h bigint, t bigint, start bigint, count bigint, body binary"
+_FOUND = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("count", pa.int64()), ("body", pa.binary())])
 
 
 def text_key(raw: bytes) -> int:
@@ -270,6 +265,7 @@ def _shards(candidates: DataFrame) -> DataFrame:
             shared, first = repeats(x)
             keys, lists, hots = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
             starts, place, gram = owners(data, offs)
+            second = None
             bounds = np.searchsorted(starts, offs)
             out: list[tuple] = []
             for d, t in enumerate(keys):
@@ -281,22 +277,20 @@ def _shards(candidates: DataFrame) -> DataFrame:
                 h = gram[a].view(np.int64)
                 k = np.minimum(np.searchsorted(hs[order], h), len(hs) - 1)
                 candidate = hs[order][k] == h
-                hot = hots[d].values.to_numpy(zero_copy_only=False)[order][k]
+                hot = candidate & hots[d].values.to_numpy(zero_copy_only=False)[order][k]
                 local = p - o[d]
                 own = slice(int(at[d]), int(at[d]) + len(p))
-                out += [(0, None, None, t, int(s), int(n), None) for s, n in zip(*runs_of(shared[own]), strict=True)]
+                out += [(0, None, t, int(s), int(n), None) for s, n in zip(*runs_of(shared[own]), strict=True)]
                 send = candidate & first[own]
-                alone = np.flatnonzero(send & hot)
-                if len(alone):
-                    body = data[o[d] : o[d + 1]]
-                    pairs = zip(digests(body)[alone].view(np.int64).tolist(), second_digests(body, alone).view(np.int64).tolist(), alone.tolist(), strict=True)
-                    out += [(2, one, two, t, s, 1, None) for one, two, s in pairs]
-                send &= ~hot
-                # a run of strings of one anchor
-                cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (send[1:] != send[:-1])])
+                if (hot & send).any():
+                    second = second or owners(data, offs, second=True)
+                    b = second[1][bounds[d] : bounds[d + 1]]
+                    h = np.where(hot, mix(h.view(np.uint64) ^ second[2][b]).view(np.int64), h)
+                # a run of strings of one key
+                cut = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (send[1:] != send[:-1])])
                 for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(p)], strict=True):
                     if send[s]:
-                        out.append((1, int(h[s]), None, t, int(local[s]), e - s, texts[d][s : e - 1 + LENGTH]))
+                        out.append((1, int(h[s]), t, int(local[s]), e - s, texts[d][s : e - 1 + LENGTH]))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
                     out = []
@@ -306,8 +300,8 @@ def _shards(candidates: DataFrame) -> DataFrame:
     return storage.table(candidates.select("t", "text", "hs", "hot").mapInArrow(run, FOUND), "found")
 
 
-def same_strings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the string of LENGTH bytes at each place has the same bytes as that at another.
+def same_strings(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(again, lead): whether the string of LENGTH bytes at each place has the same bytes as that at another, and is the first of its kind.
 
     Their digests are sorted, and each is searched for in the short list of those that occur twice; strings
     found so are compared with the first of their digest byte by byte, and those unlike it among themselves.
@@ -315,66 +309,93 @@ def same_strings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     dig = span_hash(prefix_hash(data), at, at + LENGTH)
     ordered = np.sort(dig)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    again = np.zeros(len(at), bool)
+    again, lead = np.zeros(len(at), bool), np.ones(len(at), bool)
     if not len(twice):
-        return again
+        return again, lead
     k = np.minimum(np.searchsorted(twice, dig), len(twice) - 1)
     some = np.flatnonzero(twice[k] == dig)
     _, first, kind = np.unique(k[some], return_index=True, return_inverse=True)
     rep = at[some[first[kind]]]
     same = same_spans(data, at[some], at[some] + LENGTH, rep, rep + LENGTH)
     again[some] = same & (np.bincount(kind[same], minlength=len(first)) > 1)[kind]
+    lead[some[same]] = False
+    lead[some[first]] = True
     if not same.all():
         places: dict[bytes, list[int]] = {}
         for i in some[~same].tolist():
             places.setdefault(data[at[i] : at[i] + LENGTH].tobytes(), []).append(i)
         for i in itertools.chain.from_iterable(x for x in places.values() if len(x) > 1):
             again[i] = True
-    return again
+        for i in itertools.chain.from_iterable(x[1:] for x in places.values()):
+            lead[i] = False
+    return again, lead
 
 
-def _across(found: DataFrame) -> DataFrame:
-    """t, start, count of the strings that repeat between shards.
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What repeats among strings (h, t, start, count, body, up) that come sorted by h; and of keys with `up` one string of each kind, to go on.
 
-    Strings of one anchor come together in one task, sorted by anchor; whole anchors of about TOGETHER bytes are
-    compared at once, and an anchor has HOT texts at most. Strings of hot anchors are dealt by two digests instead, with one row for each
-    shard that has the string.
+    Whole keys of about TOGETHER bytes are compared at once; equal strings have equal keys, so none is missed.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            h = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.r_[False, h[1:] != h[:-1]]).tolist() if len(h) else []
-            at = 0
-            for end in [*cuts, len(h)]:
-                part = batch.slice(at, end - at)
-                at = end
-                if held and held[-1].column(0)[-1].as_py() != part.column(0)[0].as_py() and size >= TOGETHER:
-                    yield from compare(held)
-                    held, size = [], 0
-                held.append(part)
-                size += pc.sum(pc.binary_length(part.column(4))).as_py() or 0
-        if held:
-            yield from compare(held)
-
-    def compare(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
-        n, t, start = (rows.column(k).to_numpy() for k in (3, 1, 2))
+        h, t, start, n = (rows.column(k).to_numpy() for k in range(4))
+        up = rows.column(5).to_numpy(zero_copy_only=False)
         body = [x.as_buffer() for x in rows.column(4).combine_chunks()] if len(n) else []
         data = np.frombuffer(b"".join(body), np.uint8)
         offs = np.r_[0, np.cumsum([len(x) for x in body])].astype(np.int64)
         at = np.arange(n.sum()) + np.repeat(offs[:-1] - (np.cumsum(n) - n), n)
         bounds = np.r_[0, np.cumsum(n)]
-        a, e = runs(same_strings(data, at), bounds)
+        again, lead = same_strings(data, at)
+        a, e = runs(again, bounds)
         row = np.searchsorted(bounds, a, side="right") - 1
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (t[row], start[row] + a - bounds[row], e - a)], names=["t", "start", "count"])
+        c, f = runs(lead & np.repeat(up, n), bounds)
+        on = np.searchsorted(bounds, c, side="right") - 1
+        sent = [data[at[i] : at[j - 1] + LENGTH].tobytes() for i, j in zip(c.tolist(), f.tolist(), strict=True)]
+        kind = np.repeat(np.array([0, 1], np.int32), [len(a), len(c)])
+        cols = [np.r_[h[row], h[on]], np.r_[t[row], t[on]], np.r_[start[row] + a - bounds[row], start[on] + c - bounds[on]], np.r_[e - a, f - c]]
+        return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x.astype(np.int64)) for x in cols), pa.array([None] * len(a) + sent, pa.binary())], schema=_FOUND)
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        h = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.r_[False, h[1:] != h[:-1]]).tolist() if len(h) else []
+        at = 0
+        for end in [*cuts, len(h)]:
+            part = batch.slice(at, end - at)
+            at = end
+            if held and held[-1].column(0)[-1].as_py() != part.column(0)[0].as_py() and size >= TOGETHER:
+                yield compare(held)
+                held, size = [], 0
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column(4))).as_py() or 0
+    if held:
+        yield compare(held)
 
-    cold = found.where("kind = 1").select("h", "t", "start", "count", "body").repartition("h").sortWithinPartitions("h").mapInArrow(run, "t bigint, start bigint, count bigint")
-    lone = found.where("kind = 2").select("h", "g", "t", "start", "count")
-    hot = lone.join(lone.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), ["h", "g"]).select("t", "start", "count")
-    return cold.unionAll(hot)
+
+def _across(found: DataFrame) -> DataFrame:
+    """t, start, count of the strings that repeat between shards.
+
+    Strings of one key come together in one task. A key with more than HOT rows is dealt over parts of its texts, and each part sends one
+    string of each kind to the next level, until no key has more, or nothing is gained any more (its strings are then all different).
+    """
+    cols = ("h", "t", "start", "count", "body")
+    rows, marks = found.where("kind = 1").select(*cols), []
+    before = None
+    while True:
+        many = storage.table(rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "many")
+        left = many.agg(F.sum("n")).first()[0] or 0
+        if not left or before is not None and left > 0.9 * before:
+            break
+        before = left
+        part = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("t", F.lit(len(marks))), F.ceil(F.col("n") / HOT))).cast("bigint")
+        dealt = rows.join(many, "h", "left").withColumns({"_part": part, "up": F.col("n").isNotNull()}).repartition("h", "_part").sortWithinPartitions("h", "_part")
+        met = storage.table(dealt.select(*cols, "up").mapInArrow(_met, FOUND), "met")
+        marks.append(met.where("kind = 0").select("t", "start", "count"))
+        rows = met.where("kind = 1").select(*cols)
+    last = rows.withColumn("up", F.lit(False)).repartition("h").sortWithinPartitions("h").mapInArrow(_met, FOUND).select("t", "start", "count")
+    return reduce(DataFrame.unionAll, marks, last)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
