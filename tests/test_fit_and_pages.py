@@ -54,3 +54,25 @@ def test_a_job_that_cannot_be_asked_fails_in_the_end(spark):
     ask = ("job", 1, None, "refused")
     got = states(spark, ("navigate", None, "a"), ("video", 1, None, "ok", "queued", False, True), *[ask] * 7, ("job", 1, None, "ok", "processing"), *[ask] * 8)
     assert [x[3] for x in got[1:]] == ["job"] * 16 + ["failed"]
+
+
+def test_designed_track_hugs_its_outline(spark):
+    """Rings of the designed rows, drawn at the frames' times, lie on the ball's true footprint."""
+    from pyspark.sql import functions as F
+
+    from trackspark.sources import synthetic as S
+
+    rows = S.designed_track(spark).cache()
+    at = {round((r.t - 100) * 50): r for r in rows.collect()}
+    assert not set(range(300, 325)) & set(at) and 350 in at and not {341, 345, 349, 351, 359} & set(at) and {340 - 1, 361} <= set(at)
+    assert 151 not in at and 152 in at and 153 not in at
+    assert at[410].conf == 0.3 and at[430].conf == 0.92 and at[490].sl == 0 and at[150].flags & 4 and any(r.flags & 2 for r in at.values())
+    assert {at[k].ring for k in at if 0.45 < at[k].x < 0.55} == {"#101010"}
+    w, h = 640.0, 360.0
+    frame = F.bround((F.col("t") - 100) * 25, 0).cast("int")
+    rings = rows.where(F.bround((F.col("t") - 100) * 50, 0) % 2 == 0).select("video_id", frame.alias("frame"), (F.col("x") * w).alias("cx"), (F.col("y") * h).alias("cy"), (F.col("sl") * w).alias("half"), F.col("sa").alias("angle"), (F.col("r") * w + 0.75).alias("radius"), F.lit(1.5).alias("line"), "flags")
+    got = fit.fit_check(rings, S.designed_outline(spark), F.lit(5.0)).join(rings.select("video_id", "frame", "flags"), ["video_id", "frame"]).collect()
+    assert len(got) > 250
+    smooth = [r for r in got if r.flags & 2 == 0]
+    assert max(r.overshoot for r in smooth) < 1.5 and max(abs(r.tip_gap) for r in smooth) < 1.5
+    rows.unpersist()
