@@ -52,3 +52,13 @@ def default_range(current: Column, duration: Column, half: float = 30.0) -> Colu
     c = F.greatest(F.lit(0.0), F.least(F.coalesce(current, F.lit(0.0)), d))
     end = F.ceil(F.least(d, c + half))
     return F.struct(F.floor(F.greatest(F.lit(0.0), c - half)).alias("start"), end.alias("end"))
+
+
+def iso(ts: Column, millis: bool = True) -> Column:
+    """A UTC time (without zone) as 2026-01-31T23:59:59.123Z, cut to milliseconds, or to seconds."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'" if millis else "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def now_iso(millis: bool = True) -> Column:
+    """The query's own time as iso() gives it: the same for all rows."""
+    return iso(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), millis)

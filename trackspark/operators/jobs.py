@@ -79,6 +79,17 @@ def fail_videos(videos: DataFrame, jobs: DataFrame, events: DataFrame) -> DataFr
     return v.withColumns({"status": F.when(gone, "failed").otherwise(F.col("status")), "updated_at": F.when(gone, F.col("_at")).otherwise(F.col("updated_at"))}).drop("_at")
 
 
+def is_processing(jobs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (job_id, ...) with `processing`: whether that job is there and at work; what a worker asks before it saves."""
+    busy = jobs.where("status = 'processing'").select("job_id").distinct().withColumn("_busy", F.lit(True))
+    return asked.join(busy, "job_id", "left").withColumn("processing", F.coalesce("_busy", F.lit(False))).drop("_busy")
+
+
+def listed(videos: DataFrame, by: str = "updated_at", tie: str = "video_id") -> DataFrame:
+    """The whole list, what changed last first."""
+    return videos.orderBy(F.desc(by), tie)
+
+
 def recover(jobs: DataFrame, now: str) -> DataFrame:
     """After a restart: what was processing has failed."""
     hit = F.col("status") == "processing"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geometry, ids, layout
+from ..functions import clock, geometry, ids, layout
 from ..operators import asof, intervals, jobs, report
 from ..sources import probe
 from . import adapters as A
@@ -164,3 +164,15 @@ def one_long_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.track_rows(spark, sf_dir).groupBy("t").agg(F.min("event_id").alias("event_id")).withColumn("video_id", F.lit("v"))
     d = asof.neighbours(rows, rows.select("video_id", (F.col("t") + 600).alias("t"), F.col("event_id").alias("e")), "video_id", "t", extra=["e"])
     return d.select(F.col("e").alias("event_id"), "t", F.col("lo.t").alias("floor_t"), F.col("lo.event_id").alias("floor_event"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') || 'Z' AS to_millis, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS to_seconds FROM events""")
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.read(spark, sf_dir, "events").select("event_id", clock.iso(F.col("ts")).alias("to_millis"), clock.iso(F.col("ts"), millis=False).alias("to_seconds"))
+
+
+@query(f"""WITH {A.JOBS}, asked AS (SELECT (o_orderkey * 2)::VARCHAR AS job_id, o_custkey AS asker FROM orders) SELECT job_id, asker, EXISTS (SELECT 1 FROM jobs j WHERE j.job_id = a.job_id AND status = 'processing') AS processing FROM asked a""")
+def job_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether jobs that are asked for, some of which never were, are at work."""
+    asked = A.read(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2).cast("string").alias("job_id"), F.col("o_custkey").alias("asker"))
+    return jobs.is_processing(A.jobs(spark, sf_dir), asked)
