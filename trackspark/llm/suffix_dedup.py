@@ -265,7 +265,6 @@ def _shards(candidates: DataFrame) -> DataFrame:
             shared, first = repeats(x)
             keys, lists, hots = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
             starts, place, gram = owners(data, offs)
-            second = None
             bounds = np.searchsorted(starts, offs)
             out: list[tuple] = []
             for d, t in enumerate(keys):
@@ -283,9 +282,8 @@ def _shards(candidates: DataFrame) -> DataFrame:
                 out += [(0, None, t, int(s), int(n), None) for s, n in zip(*runs_of(shared[own]), strict=True)]
                 send = candidate & first[own]
                 if (hot & send).any():
-                    second = second or owners(data, offs, second=True)
-                    b = second[1][bounds[d] : bounds[d + 1]]
-                    h = np.where(hot, mix(h.view(np.uint64) ^ second[2][b]).view(np.int64), h)
+                    _, b, other = owners(data[o[d] : o[d + 1]], np.array([0, o[d + 1] - o[d]]), second=True)
+                    h = np.where(hot, mix(h.view(np.uint64) ^ other[b]).view(np.int64), h)
                 # a run of strings of one key
                 cut = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (send[1:] != send[:-1])])
                 for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(p)], strict=True):
