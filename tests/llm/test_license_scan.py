@@ -42,3 +42,17 @@ def test_notices(spark):
 
 def test_empty(spark):
     assert license_scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_phrases_are_the_contracts(spark):
+    rows = [(1, "the MIT license", None, 0), (2, "x under the mit license, under the MIT-license", None, 0), (3, "under mit license", None, 0)]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    key = lambda r: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels)
+    assert key(got[1]) == (3, 0, None, None, "", "mit")  # only the method's own label
+    assert key(got[2]) == (9, 2, 1, 5, "mit", "mit")
+    assert key(got[3]) == (3, 0, None, None, "", "")
+
+
+def test_repeated_notice_keeps_its_label(spark):
+    rows = [(1, "the mit license " * 20, None, 0)]
+    assert [(r.n_base, r.labels, r.score) for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()] == [(0, "mit", 1.0)]

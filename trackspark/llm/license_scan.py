@@ -16,9 +16,10 @@ STRETCH = 1.5
 MOST_GRAMS = 200_000
 
 #: Phrases whose exact places are counted, and their labels. Fixed values.
-PHRASES = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Notices as licence texts themselves word them, and their labels. Fixed values.
 NOTICES = (
+    ("the mit license", "mit"),
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
@@ -68,7 +69,7 @@ def license_scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOT
     All rolling grams of K words meet the templates' gram table by hash; votes gather on (document, template,
     diagonal = place in the document less place in the template). A phrase stands wherever its own diagonal has all its
     grams. For notices, neighbouring diagonals merge, and the merged span is verified: the share of the template's
-    different grams it holds, and its length. score is the largest such share among accepted spans, 0 without.
+    different grams it holds, and its length; one that stands verbatim on a diagonal is accepted however often it is repeated. score is the largest such share among accepted spans, 0 without.
 
     A null or empty text has no words; repeated rows are answered alike, a null doc_id too; an empty table gives no
     rows; other columns are ignored. Only hits are shuffled, and each hit's group lies within one document.
@@ -88,10 +89,10 @@ def license_scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOT
     merged = diagonals.where(~F.col("base"))
     merged = merged.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT).cast("int"), F.lit(1)))
     merged = merged.withColumn("span", F.sum("new").over(along)).groupBy(*keys, "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("js")))).alias("held"), (F.max("hi") - F.min("lo") + K).alias("length")
+        F.size(F.array_distinct(F.flatten(F.collect_list("js")))).alias("held"), (F.max("hi") - F.min("lo") + K).alias("length"), F.max(F.size("js") == F.col("grams")).alias("verbatim")
     )
     share = F.col("held") / F.col("grams")
-    spans = merged.where((share >= COVERAGE) & (F.col("length") <= STRETCH * (F.col("grams") + K - 1)))
+    spans = merged.where(F.col("verbatim") | (share >= COVERAGE) & (F.col("length") <= STRETCH * (F.col("grams") + K - 1)))
     spans = spans.groupBy("_id", "_text").agg(F.collect_set("label").alias("span_set"), F.max(share).alias("best"))
     none = F.array().cast("array<string>")
     found = base.join(spans, ["_id", "_text"], "full")
