@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,10 +62,21 @@ def quad_fit(rows: DataFrame, keys: list[str], value: str, frame: str = "frame")
     return g.select(*keys, "n", *(solve(k).alias(f"c{k}") for k in range(3)))
 
 
-def moments(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Weighted centroid and the half-axes and direction of the weighted covariance of (x, y, w)."""
-    w = F.col("w")
-    g = points.groupBy(*keys).agg(F.sum(w).alias("w"), *(F.sum(w * e).alias(n) for n, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")), ("syy", F.col("y") * F.col("y")), ("sxy", F.col("x") * F.col("y")))))
+def moments(points: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Weighted centroid and the half-axes and direction of the weighted covariance of (x, y, w).
+
+    With `order`, whose columns must tell a key's rows apart, sums are taken in that order, so that reruns agree to the last bit.
+    """
+    w, x, y = F.col("w"), F.col("x"), F.col("y")
+    terms = {"w": w, "sx": w * x, "sy": w * y, "sxx": w * x * x, "syy": w * y * y, "sxy": w * x * y}
+    if order is None:
+        g = points.groupBy(*keys).agg(*(F.sum(e).alias(n) for n, e in terms.items()))
+    else:
+        # running sums add row after row; the last row of a key holds them all
+        ordered = Window.partitionBy(*keys).orderBy(*order)
+        running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = [F.sum(e).over(running).alias(n) for n, e in terms.items()]
+        g = points.select(*keys, *sums, F.lead(F.lit(1)).over(ordered).isNull().alias("_last")).where("_last")
     cx, cy = F.col("sx") / w, F.col("sy") / w
     a, b, c = F.col("sxx") / w - cx * cx, F.col("syy") / w - cy * cy, F.col("sxy") / w - cx * cy
     root = F.sqrt(F.pow((a - b) / 2, F.lit(2.0)) + c * c)

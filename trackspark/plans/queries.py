@@ -338,8 +338,10 @@ def lead_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {A.FRAMES}, g AS (SELECT video_id, shot_id, sum(w) AS sw, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy, sum(w * x * x) / sum(w) AS xx, sum(w * y * y) / sum(w) AS yy, sum(w * x * y) / sum(w) AS xy FROM frames GROUP BY ALL),
 h AS (SELECT *, xx - cx * cx AS a, yy - cy * cy AS b, xy - cx * cy AS c FROM g) SELECT video_id, shot_id, round(cx, 3) AS cx, round(cy, 3) AS cy, round(2 * sqrt(greatest(0, (a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c))), 1) AS major FROM h""")
 def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = stats.moments(A.frames(spark, sf_dir), ["video_id", "shot_id"]).select("video_id", "shot_id", "cx", "cy", "major")
-    return _round(_round(got, 3, "cx", "cy"), 1, "major")
+    got = stats.moments(A.frames(spark, sf_dir), ["video_id", "shot_id"], ["frame"])
+    # exact ties are common here: the shift by powers of ten is rounded as in SQL, not the shortest decimal
+    places = lambda c, k: (F.round(F.col(c) * k, 0) / k).alias(c)
+    return got.select("video_id", "shot_id", places("cx", 1000.0), places("cy", 1000.0), places("major", 10.0))
 
 
 @query(f"WITH {A.FRAMES} SELECT video_id, shot_id, round(sum(score), 4) AS score, count(*) AS points, max(x) - min(x) + max(y) - min(y) AS extent FROM frames GROUP BY ALL")
