@@ -3,9 +3,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackspark.llm import jaccard_join as J
+from trackspark.llm import storage
 from trackspark.llm.components import components
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("v", T.StringType()), T.StructField("n", T.StringType())])
@@ -162,3 +164,24 @@ def test_one_of_each(spark):
     assert sorted(map(str, (r for r in kept if not shingle_set(r[1])))) == sorted(map(str, empty))
     linked = [r[0] for r in kept if shingle_set(r[1])]
     assert len(linked) == len(set(linked)) and set(map(str, linked)) >= {c for c in of if c != "None"} - {str(r[0]) for r in empty}
+
+
+def test_near_copies_meet_once(spark):
+    """Sets that share hundreds of entries meet in one of those that the same sets share, and as few pairs are looked at as there are."""
+    words_ = [f"w{i}" for i in range(900)]
+    rows = [(k, " ".join(w if (i * 7 + k * 13) % 90 else f"x{k}_{i}" for i, w in enumerate(words_))) for k in range(4)]
+    docs = J._rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    members = J._membership(docs, 1, 80, storage.table)
+    sizes = {}
+
+    def table(df, name):
+        out = storage.table(df, name)
+        sizes[name] = out.count()
+        return out
+
+    own = J._tokens(docs, members, members.select("v"), 1, table)
+    post, _ = J._postings(own, 80, table)
+    groups = post.groupBy("sig").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    assert groups.count() == groups.select("vs").distinct().count() and sizes["postings"] < sizes["entries"] / 5
+    met = J._across(post.withColumn("label", F.col("v")), own, 80, table)
+    assert met.count() == 6  # every pair links, and none is lost

@@ -27,8 +27,10 @@ GROUP = 6
 SMALL = 24
 #: Draws of one other set for each set before all pairs across components are checked.
 ROUNDS = 2
-#: Bits of a parity bitmap, in words of 64.
-BITMAP = 512
+#: Bits of a parity bitmap, in words of 64: sets of many hundreds of tokens differ by hundreds, which fewer bits cannot show.
+BITMAP = 2048
+#: Least open entries of a set that its rows carry, to leave out pairs that an entry before has brought together.
+LEAST = 16
 #: Identifiers that are broadcast to fetch texts, at most; beyond, texts are joined by shuffle.
 MOST_IDS = 2_000_000
 #: Sets that a task remembers having written; forgetting costs rows only.
@@ -220,7 +222,9 @@ def _tokens(rows: DataFrame, members: DataFrame, wanted: DataFrame, k: int, tabl
 def _postings(own: DataFrame, percent: int, table: Table) -> tuple[DataFrame, DataFrame]:
     """(sig, v) for each entry that different sets share, and (v, score): how widely the tokens of a set are shared.
 
-    The number of sets that have a token is exact. A set with more tokens of its own than any link allows writes nothing.
+    The number of sets that have a token is exact. A set with more tokens of its own than any link allows writes nothing. Of
+    entries that the same sets share, one stays: it brings together the pairs that all of them would. They are told by number, least,
+    largest, and two 64-bit hashes of their sets.
     """
     each = own.select("v", F.explode("tokens").alias("token"))
     df = each.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
@@ -240,7 +244,8 @@ def _postings(own: DataFrame, percent: int, table: Table) -> tuple[DataFrame, Da
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(r.column(0).to_numpy(), [len(s) for s in sigs]))], names=["sig", "v"])
 
     entries = table(back.select("v", "n", "tokens", "df").mapInArrow(run, "sig bigint, v bigint"), "entries")
-    shared = entries.groupBy("sig").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("sig")
+    same = {"lo": F.min("v"), "hi": F.max("v"), "c": F.count("*"), "h0": F.bit_xor(F.xxhash64("v")), "h1": F.bit_xor(F.xxhash64("v", F.lit(1)))}
+    shared = entries.groupBy("sig").agg(*(e.alias(name) for name, e in same.items())).where("lo <> hi").groupBy(*same).agg(F.min("sig").alias("sig")).select("sig")
     return table(entries.join(shared, "sig"), "postings"), back.select("v", (F.col("score") / F.col("n")).alias("score"))
 
 
@@ -273,11 +278,16 @@ def _across(labelled: DataFrame, own: DataFrame, percent: int, table: Table) ->
 
     Entries all of whose sets are of one component are closed. In the others every set outside the component that
     most of the entry's sets are of meets all sets of the entry; the join's condition holds the bitmaps, so only likely pairs leave it.
+    Near copies share most of their entries: a pair is left to the first of those that both sets carry.
     """
     sums = labelled.groupBy("sig", "label").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max_by("label", "c").alias("main"), F.count("*").alias("labels")).where("labels > 1").select("sig", "main")
-    full = table(labelled.join(sums, "sig").join(own.drop("tokens"), "v"), "open")
+    opened = table(labelled.join(sums, "sig"), "opened")
+    least = opened.groupBy("v").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, LEAST).alias("least"))
+    full = table(opened.join(own.drop("tokens").join(least, "v"), "v"), "open")
     on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.v") < F.col("y.v")))
-    pairs = full.where("label <> main").alias("x").join(full.alias("y"), on & _may_link("x", "y", percent))
+    # the first entry of both is never after one that both carry, so no pair is lost
+    first = F.coalesce(F.array_min(F.array_intersect("x.least", "y.least")) >= F.col("x.sig"), F.lit(True))
+    pairs = full.where("label <> main").alias("x").join(full.alias("y"), on & _may_link("x", "y", percent) & first)
     return table(pairs.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct(), "likely")
 
 
