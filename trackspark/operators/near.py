@@ -50,18 +50,43 @@ def run_stats(runs: Column, gap: int) -> Column:
     return F.aggregate(ordered, none, add, lambda s: F.struct(s["n"].cast("int").alias("frames"), (s["end"] - F.get(ordered, F.lit(0))["a"]).alias("span"), s["visits"].cast("int").alias("visits")))
 
 
+def crowded(cells: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The rows of cells (keys, _i, _j) but those that neither have `least` rows within two cells of their own nor are among such.
+
+    Strips of two cells' width are counted with the strips beside them, without copies; a row that can see `least` rows lies in a strip that
+    has them, and so do all rows that it sees within one strip more. Then blocks of two by two cells are counted alike, by nine copies of their counts.
+    """
+    half = {"_bi": F.floor(F.col("_i") / 2).cast("bigint"), "_bj": F.floor(F.col("_j") / 2).cast("bigint")}
+    rows = cells.withColumns(half)
+    for c in half:
+        # a strip stays if it or one beside it has enough around
+        around = Window.partitionBy(*keys).orderBy(c).rangeBetween(-1, 1)
+        strips = rows.groupBy(*keys, c).agg(F.count("*").alias("_n")).withColumn("_n", F.sum("_n").over(around)).withColumn("_n", F.max("_n").over(around))
+        rows = rows.join(strips.where(F.col("_n") >= least).select(*keys, c), [*keys, c], "left_semi")
+    rows = table(rows, "strips")
+    block = [*keys, "_bi", "_bj"]
+    near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    beside = lambda b: b.withColumn("_o", near).withColumns({"_bi": F.col("_bi") + F.col("_o.i"), "_bj": F.col("_bj") + F.col("_o.j")}).drop("_o")
+    blocks = rows.groupBy(*block).agg(F.count("*").alias("_n"))
+    # copies count at blocks without rows too; those drop out where rows are asked again
+    full = beside(blocks).groupBy(*block).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least).select(*block)
+    return rows.join(beside(full).distinct(), block, "left_semi").drop(*half)
+
+
 def static_points(points: DataFrame, radius: float, keys: list[str], ident: str, frame: str = "frame", min_frames: int = 4, min_span: int = 12, min_visits: int = 3, gap: int = 2) -> DataFrame:
     """keys, ident, frames, span, visits of points that something keeps coming back to: false detections that do not move.
 
     Points are dealt into cells half a radius wide, so that a cell's points are all neighbours, and a cell is one row: the box around
     its points and the runs of their frames. Two cells whose boxes lie within the radius of each other wholly count as such, and a
     cell that has only such neighbours decides all its points at once. Only points of a cell that some box reaches in part look at that box, and
-    at its points only if their own radius cuts it. Cells whose whole surroundings are in too few frames are left at once.
+    at its points only if their own radius cuts it. Points without enough others around go first (see crowded), before any cell is
+    copied; cells whose whole surroundings are in too few frames are left at once.
     """
     side = radius / 2
     cell = [*keys, "_i", "_j"]
     p = points.select(*keys, ident, frame, "x", "y", F.floor(F.col("x") / side).cast("bigint").alias("_i"), F.floor(F.col("y") / side).cast("bigint").alias("_j"))
     box = [f(c).alias(n) for c in ("x", "y") for f, n in ((F.min, f"_{c}0"), (F.max, f"_{c}1"))]
+    p = crowded(p, keys, min_frames)
     cells = table(p.groupBy(*cell).agg(*box).join(frame_runs(p, cell, frame), cell), "cells")
 
     offsets = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3))))
